@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalith.operators.hierarchy import hierarchy
+from catalith.operators.nested import shred
 from catalith.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "spider2_exec_mix_candidates")
+    return shred(c, "line_no", ["rubric", "missing", "findings"]).values().select("line_no", "field", "parent_path", "path")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "spider2_exec_mix_candidates")
     return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_found": p6_found}
 
 SQL: dict[str, str] = {
     "p6_found": """
