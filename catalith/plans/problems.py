@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalith.operators.hierarchy import hierarchy
 from catalith.operators.nested import shred
+from catalith.operators.orphans import catalog_orphans
 from catalith.session import table
 
 
@@ -16,14 +18,51 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return shred(c, "line_no", ["rubric", "missing", "findings"]).values().select("line_no", "field", "parent_path", "path")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = catalog_orphans(table(spark, sf, "snapshots"), table(spark, sf, "join_hints"))
+    return out.select("ref_table", "ref_id", "pos", "side", "status", "ym").distinct()
+
+
+def p3_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    out = catalog_orphans(table(spark, sf, "snapshots"), table(spark, sf, "join_hints"))
+    return out.groupBy("table_key", "ym", "status").agg(F.count("*").alias("n_refs"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "spider2_exec_mix_candidates")
     return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p6_found": p6_found}
+
+#: The key of a text column in DuckDB, and the references with their state.
+_KEY = "array_to_string([lower(trim(translate(s, '\"`[]', ''))) for s in string_split({0}, '.')], '.')"
+_ORPHANS = """
+        WITH snap AS (SELECT DISTINCT snap_id, source, built_at, payload FROM snapshots),
+        listed AS (SELECT DISTINCT snap_id, source, built_at, """ + _KEY.format(
+    "concat_ws('.', nullif(t->>'catalog', ''), nullif(t->>'schema', ''), nullif(t->>'name', ''))"
+) + """ AS table_key
+          FROM (SELECT snap_id, source, built_at, unnest(CAST(json_extract(payload, '$.tables') AS JSON[])) AS t FROM snap)),
+        span AS (SELECT DISTINCT snap_id, source, built_at, lead(built_at) OVER (PARTITION BY source ORDER BY built_at, snap_id) AS until
+                 FROM (SELECT DISTINCT snap_id, source, built_at FROM snap)),
+        life AS (SELECT table_key, l.built_at, until FROM listed l JOIN span USING (snap_id, source)),
+        edge AS (SELECT snap_id, built_at, unnest(CAST(json_extract(payload, '$.edges') AS JSON[])) AS e,
+                        generate_subscripts(CAST(json_extract(payload, '$.edges') AS JSON[]), 1) - 1 AS pos FROM snap),
+        raw AS (SELECT 'join_hints' AS ref_table, id AS ref_id, 0 AS pos, 'from' AS side, from_table AS name, created_at AS t FROM join_hints
+                UNION SELECT 'join_hints', id, 0, 'to', to_table, created_at FROM join_hints
+                UNION SELECT 'snapshots', snap_id, pos, 'from', e->>'from_table', built_at FROM edge
+                UNION SELECT 'snapshots', snap_id, pos, 'to', e->>'to_table', built_at FROM edge),
+        ref AS (SELECT *, """ + _KEY.format("name") + """ AS table_key FROM raw WHERE name IS NOT NULL AND trim(name) <> ''),
+        born AS (SELECT table_key, min(built_at) AS first_at FROM listed GROUP BY ALL),
+        orphan AS (SELECT r.*, CASE WHEN b.first_at <= r.t THEN 'deleted' WHEN b.first_at IS NOT NULL THEN 'late' ELSE 'missing' END AS status,
+                          strftime(r.t, '%Y-%m') AS ym
+                   FROM ref r LEFT JOIN born b USING (table_key)
+                   WHERE NOT EXISTS (SELECT 1 FROM life l WHERE l.table_key = r.table_key AND l.built_at <= r.t AND (l.until IS NULL OR l.until > r.t)))
+"""
 
 SQL: dict[str, str] = {
+    "p3_found": _ORPHANS + "SELECT DISTINCT ref_table, CAST(ref_id AS BIGINT) AS ref_id, CAST(pos AS INTEGER) AS pos, side, status, ym FROM orphan",
+    "p3_by_month": _ORPHANS + "SELECT table_key, ym, status, count(*) AS n_refs FROM (SELECT DISTINCT table_key, ref_table, ref_id, pos, side, status, ym FROM orphan) GROUP BY ALL",
     "p6_found": """
         WITH RECURSIVE lines AS (
           SELECT run_id, instance_id, lower(trim(id)) AS id, nullif(lower(trim(parent_id)), '') AS parent, line_no
