@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.operators.drift import run_files, schema_changes, unite
 from catalith.operators.hierarchy import hierarchy
 from catalith.operators.nested import shred
 from catalith.operators.orphans import catalog_orphans
@@ -28,12 +29,24 @@ def p3_by_month(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("table_key", "ym", "status").agg(F.count("*").alias("n_refs"))
 
 
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_files(table(spark, sf, "spider2_exec_legacy"), table(spark, sf, "spider2_exec_mix"), table(spark, sf, "spider2_exec_mix_candidates"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return schema_changes(_runs(spark, sf))
+
+
+def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return unite(_runs(spark, sf))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "spider2_exec_mix_candidates")
     return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}
 
 #: The key of a text column in DuckDB, and the references with their state.
 _KEY = "array_to_string([lower(trim(translate(s, '\"`[]', ''))) for s in string_split({0}, '.')], '.')"
