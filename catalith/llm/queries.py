@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalith.llm.survivors import described_tables, survivors, trust_order
 from catalith.llm.topn import top_n
 from catalith.session import table
 
@@ -13,14 +14,41 @@ from catalith.session import table
 TOP = 5
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = described_tables(table(spark, sf, "snapshots"), table(spark, sf, "connections"))
+    return survivors(rows, "table_key", "source", trust_order(), [["description"], ["owner"], ["row_count"]]).select("table_key", "field", "source")
+
+
+def p2_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The surviving record with the owner and the row count bound together, and the description fixed by the owner."""
+    rows = described_tables(table(spark, sf, "snapshots"), table(spark, sf, "connections"))
+    return survivors(rows, "table_key", "source", trust_order(), [["owner", "row_count"], ["description"], ["kind"]], [("owner", "description")])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "spider2_exec_mix_candidates")
     return top_n(c, "instance_id", "score", "line_no", TOP).select("instance_id", "rank_no", "line_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
 
 SQL: dict[str, str] = {
+    "p2_found": """
+        WITH latest AS (SELECT source, source_type, built_at, payload FROM (SELECT DISTINCT snap_id, source, source_type, built_at, payload FROM snapshots)
+                        QUALIFY row_number() OVER (PARTITION BY source ORDER BY built_at DESC, snap_id DESC) = 1),
+        conn AS (SELECT name, priority FROM (SELECT DISTINCT name, priority, updated_at, created_at FROM connections)
+                 QUALIFY row_number() OVER (PARTITION BY name ORDER BY updated_at DESC, created_at DESC) = 1),
+        t AS (SELECT source, replace(lower(trim(source_type)), '-', '_') AS st, built_at, unnest(CAST(json_extract(payload, '$.tables') AS JSON[])) AS t FROM latest),
+        r AS (SELECT array_to_string([lower(trim(translate(s, '"`[]', ''))) for s in string_split(
+                concat_ws('.', nullif(t->>'catalog', ''), nullif(t->>'schema', ''), nullif(t->>'name', '')), '.')], '.') AS table_key,
+                source, st, built_at, t->>'description' AS description, t->>'owner' AS owner, t->>'row_count' AS row_count FROM t),
+        p AS (SELECT r.*, coalesce(c.priority, CASE st WHEN 'user' THEN 0 WHEN 'collibra' THEN 10 WHEN 'dbt' THEN 20 WHEN 'unity_catalog' THEN 30
+                WHEN 'duckdb' THEN 40 WHEN 'ddl' THEN 50 WHEN 'aws_glue' THEN 60 ELSE 70 END) AS pr FROM r LEFT JOIN conn c ON c.name = r.source),
+        f AS (SELECT table_key, source, st, built_at, pr, unnest(['description', 'owner', 'row_count']) AS field, unnest([description, owner, row_count]) AS value FROM p
+              WHERE table_key IN (SELECT table_key FROM p GROUP BY ALL HAVING count(DISTINCT source) > 1))
+        SELECT table_key, field, source FROM f
+        WHERE value IS NOT NULL AND lower(trim(value)) NOT IN ('', '-', '?', 'n/a', 'none', 'null', 'unknown', 'tbd', 'todo')
+        QUALIFY row_number() OVER (PARTITION BY table_key, field ORDER BY st <> 'user', pr, built_at DESC, source) = 1""",
     "p5_found": """
         SELECT instance_id, CAST(rank_no AS INTEGER) AS rank_no, line_no FROM (
           SELECT instance_id, line_no, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, line_no) AS rank_no
