@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalith.llm.leakage import leaks
 from catalith.llm.lookalike import consistent_forms, lookalike_pairs
 from catalith.llm.survivors import described_tables, survivors, trust_order
 from catalith.llm.topn import top_n
@@ -31,6 +32,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(c, "instance_id", "score", "line_no", TOP).select("instance_id", "rank_no", "line_no")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id").select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id", near=True)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -39,7 +48,7 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     return consistent_forms(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_forms": p9_forms}
 
 SQL: dict[str, str] = {
     "p2_found": """
