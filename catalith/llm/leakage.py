@@ -26,7 +26,7 @@ SEED = 7
 #: Items are searched in blocks of at most so many passages, which bounds what is broadcast.
 BLOCK_PASSAGES = 200_000
 #: Cosine from which two passages are candidates. Equal passages have 1 whatever the rank, so that a run of PASSAGE words can't be missed.
-SAME, NEAR = 0.999, 0.97
+SAME, NEAR = 0.999, 0.92
 #: For paraphrases passages begin at every so many words; what is checked then reaches over the words between.
 STEP = 3
 #: For paraphrases: the share of a passage that the longest common subsequence holds, and of the item's telling words that the document has.
@@ -230,7 +230,7 @@ def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str,
     telling = [{vocab.value[w] for w in ws if w.isdigit()} | set(sorted({vocab.value[w] for w in ws}, key=lambda k: (-idf[k], k))[:5]) for _, ws in block] if near else None
     wire = sc.broadcast((word, win[order], vec[order], owner[order], [i for i, _ in block], telling))
     least = NEAR if near else SAME
-    unknown = int(size * (1 - least**2)) if near else 0  # with more, the cosine over all words stays below ``least``
+    unknown = size - int(np.ceil(COMMON * size)) if near else 0  # with more, the passage can't have enough words in common
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, win, vec, owner, item, telling = wire.value

@@ -61,7 +61,7 @@ def test_latent_space(spark):
             a[i * 3 + k // 12, w] += idf[w]
     assert (count == (a > 0).sum(axis=0)).all()
     right = np.linalg.svd(a, full_matrices=False)[2][:4].T
-    latent = leakage.latent_words(df, idf, 12, rank=4, extra=4)
+    latent = leakage.latent_words(df, idf, 12, rank=4, extra=4, power=6)
     assert np.linalg.norm(right - latent @ (latent.T @ right)) < 1e-2
 
 
