@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm.leakage import leaks
 from catalith.llm.lookalike import consistent_forms, lookalike_pairs
+from catalith.llm.mixing import mix, shares
 from catalith.llm.survivors import described_tables, survivors, trust_order
 from catalith.llm.topn import top_n
 from catalith.session import table
@@ -40,6 +41,15 @@ def p7_near(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id", near=True)
 
 
+def p8_uses(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).select("doc_id", "source", "tokens", "uses")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return shares(mix(table(spark, sf, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -48,7 +58,7 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     return consistent_forms(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p7_found": p7_found, "p7_near": p7_near, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
 SQL: dict[str, str] = {
     "p2_found": """
