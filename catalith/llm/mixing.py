@@ -134,17 +134,26 @@ def fit_classifier(labelled: DataFrame, classes: int, sample: int = SAMPLE) -> C
     with np.errstate(divide="ignore"):
         prior = np.log(seen_by / seen_by.sum())
     model = Classifier(prior, (present - present.mean(axis=1, keepdims=True)).astype(np.float32))
-    held, memo = draw.filter("held").select("text", "repo", "author", "k").limit(max(1, sample)).toLocalIterator(), {}
-    loss, right, seen = np.zeros(len(TEMPERATURES)), 0, 0
-    for r in held:
-        s = model.weight[_features(r.text, r.repo, r.author, memo)].sum(axis=0)
-        for i, temp in enumerate(TEMPERATURES):
-            x = s * temp + model.prior
-            loss[i] -= x[r.k] - x.max() - np.log(np.exp(x - x.max()).sum())
-        right += int(np.argmax(s + model.prior) == r.k)
-        seen += 1
-    model.temperature = TEMPERATURES[int(np.argmin(loss))] if seen else 1.0
-    model.accuracy = right / seen if seen else 0.0
+    wire = labelled.sparkSession.sparkContext.broadcast(model)
+    tries = len(TEMPERATURES)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, memo, m = np.zeros(tries + 2), {}, wire.value
+        for b in batches:
+            for text, repo, author, k in zip(*[b.column(c).to_pylist() for c in ("text", "repo", "author", "k")]):
+                s = m.weight[_features(text, repo, author, memo)].sum(axis=0)
+                for i, temp in enumerate(TEMPERATURES):
+                    x = s * temp + m.prior
+                    total[i] += min(50.0, np.log(np.exp(x - x.max()).sum()) + x.max() - x[k])  # a source without samples costs much, not all
+                total[tries:] += (int(np.argmax(s + m.prior) == k), 1)
+        yield pa.RecordBatch.from_pydict({"i": np.arange(tries + 2), "x": total})
+
+    rows = draw.filter("held").select("text", "repo", "author", "k").mapInArrow(score, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    got = np.zeros(tries + 2)
+    for r in rows:
+        got[r.i] = r.x
+    model.temperature = TEMPERATURES[int(np.argmin(got[:tries]))] if got[-1] else 1.0
+    model.accuracy = got[-2] / got[-1] if got[-1] else 0.0
     return model
 
 
