@@ -66,12 +66,13 @@ def words(text: Column) -> Column:
 
 def ngrams(tokens: Column, lo: int = 2, hi: int = NGRAM_MAX) -> Column:
     """Joined n-grams, shorter ones first."""
-    parts = []
-    for n in range(lo, hi + 1):
+
+    def of(n: int) -> Column:
         last = F.size(tokens) - n + 1
         at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(tokens, i, n), "_")))
-    return F.concat(*parts)
+        return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), "_"))
+
+    return F.concat(*[of(n) for n in range(lo, hi + 1)])
 
 
 def expansions() -> Column:
