@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from catalith.functions import text as X
 from catalith.operators import merge as M
+from catalith.session import cut
 from catalith.sources.snapshots import Catalog
 
 
@@ -27,15 +28,16 @@ class Objects:
 
 
 def objects(cat: Catalog) -> Objects:
+    """Written once: every later stage reads them, none parses payloads again."""
     t = M.merge_tables(cat).select(F.concat(F.lit("t:"), "table_key").alias("node"), "table_key", F.element_at(F.split("table_key", "\\."), -1).alias("bare"), "description", F.col("tags").alias("tags"))
-    mc = M.merge_columns(cat)
+    mc = cut(M.merge_columns(cat))
     c = mc.select(F.concat(F.lit("c:"), "table_key", F.lit("."), "col").alias("node"), "table_key", "col", "name", "description", "samples", "is_primary_key", "data_type", "ord")
     k = cat.terms.select("term", F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>"))).alias("p"), "description")
     node = F.concat(F.lit("k:"), "term")
     terms = k.select(node.alias("node"), "term", F.explode("p").alias("phrase"), "description").select("node", "term", F.lower(F.trim("phrase")).alias("phrase"), "description").filter("phrase <> ''").distinct()
     tt = M.term_targets(cat, mc)
     target = F.when(F.col("target_col").isNotNull(), F.concat(F.lit("c:"), "target_table", F.lit("."), "target_col")).otherwise(F.concat(F.lit("t:"), "target_table"))
-    return Objects(t, c, terms, tt.select(node.alias("node"), target.alias("target")).distinct(), M.distinct_edges(cat))
+    return Objects(cut(t), cut(c), cut(terms), cut(tt.select(node.alias("node"), target.alias("target")).distinct()), cut(M.distinct_edges(cat)))
 
 
 def postings(o: Objects) -> DataFrame:

@@ -12,6 +12,9 @@ from catalith.operators import families as FA
 from catalith.operators import infer as I
 from catalith.operators import lexical as L
 from catalith.operators import merge as M
+from catalith.operators import paths as P
+from catalith.operators import ranking as R
+from catalith.plans import link as K
 from catalith.plans.sqltext import CATALOG, strings
 from catalith.session import cut, table
 from catalith.sources.snapshots import catalog
@@ -131,12 +134,58 @@ def fused(spark: SparkSession, sf: str) -> DataFrame:
     return L.fuse([sparse, own]).select("qid", "table_key", F.round("score", 6).alias("score"))
 
 
+def rank_specificity(spark: SparkSession, sf: str) -> DataFrame:
+    return R.specificity(catalog_objects(spark, sf)).select("node", F.round("spec", 6).alias("spec"))
+
+
+def rank_transition(spark: SparkSession, sf: str) -> DataFrame:
+    """Transition probabilities between tables and columns (without token nodes)."""
+    o = catalog_objects(spark, sf)
+    e = R.graph_edges(o, L.postings(o)).filter("etype in ('contains', 'relation')")
+    return R.transition(e).select("u", "v", F.round("p", 6).alias("p"))
+
+
+def rank_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    o = catalog_objects(spark, sf)
+    seeds = cut(L.activate(questions(spark, sf), o, fuzzy=False))
+    return R.pagerank(R.graph_edges(o, L.postings(o)), seeds.select("qid", "node", "weight")).select("qid", "node", F.round("score", 8).alias("score"))
+
+
+def rank_table_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Table scores of the token seeds themselves: own, best three columns and the rest, with the direct bonus."""
+    o = catalog_objects(spark, sf)
+    seeds = cut(seeds_tokens(spark, sf))
+    scores = R.direct_evidence(R.table_scores(seeds.withColumnRenamed("weight", "score"), o.columns), seeds, o.columns)
+    return R.relative(scores).select("qid", "table_key", F.round("evidence", 5).alias("evidence"))
+
+
+def paths_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All join paths of up to three hops from the first table that has a relation."""
+    pairs = cut(M.relations(M.distinct_edges(_cat(spark, sf)), [k for k in M.JOIN_COST if k != "lineage"]))
+    first = pairs.agg(F.min("u").alias("u")).first()
+    p = P.paths_within(pairs, first.u if first else "", 3)
+    return p.select(F.array_join("path", " > ").alias("path"), F.round("cost", 4).alias("cost"))
+
+
+def link_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return K.link(questions(spark, sf), catalog_objects(spark, sf)).tables.select("qid", "table_key", F.round("score", 6).alias("score"), "anchor")
+
+
+def link_ddl(spark: SparkSession, sf: str) -> DataFrame:
+    cat = _cat(spark, sf)
+    o = L.objects(cat)
+    q = questions(spark, sf)
+    return K.render(K.link(q, o), q, o, M.merge_tables(cat))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "infer_by_name": infer_by_name, "infer_shared_key": infer_shared_key, "infer_edges": infer_edges,
     "family_shards": family_shards, "family_signatures": family_signatures, "family_jaccard": family_jaccard,
     "text_tokens": text_tokens, "text_lemmas": text_lemmas, "text_ngrams": text_ngrams,
     "lexical_postings": lexical_postings, "lexical_idf": lexical_idf, "lexical_hubs": lexical_hubs, "lexical_values": lexical_values,
     "seeds_tokens": seeds_tokens, "seeds_names": seeds_names, "activation": activation, "bm25f": bm25f, "fused": fused,
+    "rank_specificity": rank_specificity, "rank_transition": rank_transition, "rank_pagerank": rank_pagerank, "rank_table_evidence": rank_table_evidence,
+    "paths_from_table": paths_from_table, "link_tables": link_tables, "link_ddl": link_ddl,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -228,4 +277,21 @@ SQL: dict[str, str] = {
     "fused": CATALOG + _LEX + _BM + """, own AS (SELECT qid, node[3:] AS table_key, weight AS score FROM tokseed WHERE node LIKE 't:%'),
       r AS (SELECT qid, table_key, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY qid ORDER BY score DESC, table_key)) AS p FROM bm UNION ALL SELECT qid, table_key, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY qid ORDER BY score DESC, table_key)) FROM own)
       SELECT qid, table_key, round(sum(p), 6) AS score FROM r GROUP BY ALL""",
+    "rank_specificity": CATALOG + """, n AS (SELECT DISTINCT 't:' || table_key AS node, string_split(table_key, '.')[-1] AS name FROM ct UNION ALL SELECT 'c:' || table_key || '.' || col, col FROM mc)
+      SELECT node, round(CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 1.0 / ln(1 + count(*) OVER (PARTITION BY name)) ELSE 1.0 END, 6) AS spec FROM n""",
+    "rank_transition": CATALOG + """, e AS (SELECT 't:' || table_key AS u, 'c:' || table_key || '.' || col AS v, 0.5::DOUBLE AS w FROM mc
+      UNION ALL SELECT 't:' || least(from_key, to_key), 't:' || greatest(from_key, to_key), CAST(min(CASE kind WHEN 'foreign_key' THEN 1.0 WHEN 'relationship_test' THEN 1.0 WHEN 'join_hint' THEN 1.0 WHEN 'catalog_relation' THEN 1.3 WHEN 'lineage' THEN 1.6 WHEN 'inferred' THEN 2.5 ELSE 2.0 END) AS DOUBLE)
+        FROM de WHERE from_key <> to_key GROUP BY ALL), b AS (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e)
+      SELECT u, v, round(w / sum(w) OVER (PARTITION BY u), 6) AS p FROM b""",
+    "rank_table_evidence": CATALOG + _LEX + """, own AS (SELECT qid, node[3:] AS table_key, weight FROM tokseed WHERE node LIKE 't:%'),
+      col AS (SELECT qid, table_key, weight, row_number() OVER (PARTITION BY qid, table_key ORDER BY weight DESC, node) AS n FROM tokseed JOIN mc ON node = 'c:' || table_key || '.' || col),
+      sc AS (SELECT qid, table_key, sum(s) AS s FROM (SELECT qid, table_key, weight AS s FROM own UNION ALL SELECT qid, table_key, weight * CASE n WHEN 1 THEN 1 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 ELSE 0.02 END FROM col) GROUP BY ALL),
+      bst AS (SELECT qid, max(s) AS best FROM sc GROUP BY ALL),
+      fin AS (SELECT qid, table_key, sum(s) AS s FROM (SELECT * FROM sc UNION ALL SELECT qid, table_key, 0.35 * least(weight, 2) * best FROM own JOIN bst USING (qid) UNION ALL SELECT qid, table_key, 0.1 * least(weight, 2) * best FROM col JOIN bst USING (qid)) GROUP BY ALL)
+      SELECT qid, table_key, round(s / max(s) OVER (PARTITION BY qid), 5) AS evidence FROM fin""",
+    "paths_from_table": CATALOG + """, pr AS (SELECT least(from_key, to_key) AS u, greatest(from_key, to_key) AS v, CAST(min(CASE kind WHEN 'foreign_key' THEN 1.0 WHEN 'relationship_test' THEN 1.0 WHEN 'join_hint' THEN 1.0 WHEN 'catalog_relation' THEN 1.3 ELSE 2.5 END) AS DOUBLE) AS w
+        FROM de WHERE from_key <> to_key AND kind IN ('foreign_key', 'relationship_test', 'join_hint', 'catalog_relation', 'inferred') GROUP BY ALL),
+      b2 AS (SELECT u, v, w FROM pr UNION ALL SELECT v, u, w FROM pr),
+      go AS (SELECT min(u) AS u, [min(u)] AS path, 0::DOUBLE AS cost FROM pr UNION ALL SELECT b2.v, list_append(path, b2.v), cost + w FROM go JOIN b2 ON b2.u = go.u WHERE NOT list_contains(path, b2.v) AND len(path) <= 3)
+      SELECT array_to_string(path, ' > ') AS path, round(cost, 4) AS cost FROM go WHERE len(path) > 1""",
 }
