@@ -31,10 +31,11 @@ ITEM, ENTRY = "[]", "{}"
 class Node:
     """A type in the schema graph. kids: members, ITEM or ENTRY. plain: it has values of its own."""
 
-    __slots__ = ("kids", "plain", "back", "deep")
+    __slots__ = ("kids", "plain", "back", "deep", "table")
 
     def __init__(self, deep: int = 0):
         self.deep = deep
+        self.table: str | None = None
         self.kids: dict[str, Node] = {}
         self.plain = False
         self.back: set[str] = set()  # names of members that are an element further up: recursion
@@ -77,34 +78,42 @@ class Node:
         return n
 
 
+#: First characters of texts that may be JSON of an object or list.
+_OPENING = frozenset('{[" \t\r\n')
+_KIND = {bool: "boolean", str: "text", int: "number", float: "number"}
+
+
 def _observe(value, top: Node, field: str, limit: int) -> None:
     """Adds a value's types to the graph. A member with the name of an element above it is that element again."""
     todo = [(value, top, ((field, top),))]
     while todo:
         v, node, above = todo.pop()
-        if isinstance(v, dict):
+        kids = node.kids
+        if type(v) is dict:
             for k, c in v.items():
-                c = opened(c)
-                if isinstance(c, (dict, list)):
-                    if ENTRY in node.kids:
-                        todo.append((c, node.kids[ENTRY], above))
+                if type(c) is str and c[:1] in _OPENING and c:
+                    c = opened(c)
+                if type(c) is dict or type(c) is list:
+                    if ENTRY in kids:
+                        todo.append((c, kids[ENTRY], above))
                         continue
-                    seen = next((n for name, n in above if name == k), None)
-                    if seen is not None:
+                    i = next((i for i, (name, _) in enumerate(above) if name == k), None)
+                    if i is not None:
                         node.back.add(k)
-                        todo.append((c, seen, above[: next(i for i, (name, _) in enumerate(above) if name == k) + 1]))
+                        todo.append((c, above[i][1], above[: i + 1]))
                     else:
                         kid = node.kid(k)
                         todo.append((c, kid, (*above, (k, kid))))
                 else:
-                    node.kid(k if ENTRY not in node.kids else ENTRY).plain = True
-            if len(node.kids) > limit:
+                    (kids.get(k) or node.kid(k if ENTRY not in kids else ENTRY)).plain = True
+            if len(kids) > limit:
                 node.fold(limit)
-        elif isinstance(v, list):
+        elif type(v) is list:
             item = node.kid(ITEM)
             for c in v:
-                c = opened(c)
-                if isinstance(c, (dict, list)):
+                if type(c) is str and c[:1] in _OPENING and c:
+                    c = opened(c)
+                if type(c) is dict or type(c) is list:
                     todo.append((c, item, above))
                 else:
                     item.plain = True
@@ -145,7 +154,11 @@ def inlining(graph: dict[str, Node]) -> Plan:
                     holders.setdefault(name, set()).add(label)
                     at.append((kid, name, False))
                 todo.append((kid, name))
-    tables = {id(n): name for n, name, must in at if must or name in looped or len(holders.get(name, ())) > 1}
+    tables = {}
+    for n, name, must in at:
+        n.table = name if must or name in looped or len(holders.get(name, ())) > 1 else None
+        if n.table:
+            tables[id(n)] = name
     return Plan(graph, tables)
 
 
@@ -156,58 +169,62 @@ class Shredder:
         self.plan = plan
 
     def rows(self, value, field: str) -> list[list]:
-        plan = self.plan
-        top = plan.graph.get(field) or Node()
-        first = [plan.tables.get(id(top), field), None, None, None, None, []]
+        top = self.plan.graph.get(field) or Node()
+        first = [top.table or field, None, None, None, None, []]
         out = [first]
         slash = False
         todo = [(value, top, first, None, None, ((field, top),), 0)]
         while todo:
             v, node, row, path, rel, above, last = todo.pop()
-            if isinstance(v, dict):
+            kind = type(v)
+            if kind is dict:
+                entry = node.seen(ENTRY) if ENTRY in node.kids else None
+                held = row[5]
                 for k, c in v.items():
-                    if k == "" or "/" in k:
+                    if not k or "/" in k:
                         slash = True
-                    c = opened(c)
-                    if ENTRY in node.kids:
-                        step, kid, way = ENTRY, node.kids[ENTRY], above
+                    if type(c) is str and c[:1] in _OPENING and c:
+                        c = opened(c)
+                    kind = _KIND.get(type(c))
+                    if kind is None:
+                        if c is None:
+                            continue
+                        if entry is not None:
+                            self._open(c, entry, row, _join(path, k), None, k, above, True, out, todo)
+                            continue
+                        i = next((i for i, (name, _) in enumerate(above) if name == k), None)
+                        kid = node.seen(k) if i is None else above[i][1]
+                        self._open(c, kid, row, _join(path, k), _join(rel, k), k, (*above, (k, kid)) if i is None else above[: i + 1], False, out, todo)
+                    elif entry is not None:
+                        out.append([entry.table or row[0] + ENTRY, _join(path, k), row[0], row[1], k, [(None, len(k), kind, _text(c))]])
                     else:
-                        step = k
-                        i = next((i for i, (name, _) in enumerate(above) if name == k), None) if isinstance(c, (dict, list)) else None
-                        if i is not None:
-                            kid, way = above[i][1], above[: i + 1]
-                        else:
-                            kid = node.seen(k)
-                            way = (*above, (k, kid))
-                    self._go(c, kid, row, _join(path, k), rel, k, way, step == ENTRY, out, todo)
-            elif isinstance(v, list):
+                        held.append((k if rel is None else f"{rel}/{k}", len(k), kind, c if kind == "text" else _text(c)))
+            elif kind is list:
                 kid = node.seen(ITEM)
+                name = kid.table or row[0] + ENTRY
                 for i, c in enumerate(v):
-                    k = str(i)
-                    self._go(opened(c), kid, row, _join(path, k), rel, k, above, True, out, todo)
+                    if type(c) is str and c[:1] in _OPENING and c:
+                        c = opened(c)
+                    if c is not None:
+                        k = str(i)
+                        kind = _KIND.get(type(c))
+                        if kind is None:
+                            self._open(c, kid, row, _join(path, k), None, k, above, True, out, todo)
+                        else:
+                            out.append([name, _join(path, k), row[0], row[1], k, [(None, len(k), kind, _text(c))]])
             elif v is not None:
-                row[5].append((rel, last, _kind(v), _text(v)))
+                row[5].append((rel, last, _KIND[kind], _text(v)))
         return _once(out) if slash else out
 
-    def _go(self, c, kid, row, path, rel, k, above, repeated, out, todo):
-        name = self.plan.tables.get(id(kid))
-        if repeated and name is None:
-            name = row[0] + ENTRY
-        if name is not None and (repeated or isinstance(c, (dict, list))):
-            if c is None:
-                return
-            new = [name, path, row[0], row[1], k, []]
-            out.append(new)
-            if isinstance(c, (dict, list)):
-                todo.append((c, kid, new, path, None, above, 0))
-            else:
-                new[5].append((None, len(k), _kind(c), _text(c)))
-            return
-        inner = _join(rel, k)
-        if isinstance(c, (dict, list)):
-            todo.append((c, kid, row, path, inner, above, 0))
-        elif c is not None:
-            row[5].append((inner, len(k), _kind(c), _text(c)))
+    @staticmethod
+    def _open(c, kid: Node, row: list, path, rel, k: str, above: tuple, repeated: bool, out: list, todo: list) -> None:
+        """An object or list: a row of its own where its type has a table or it is repeated, else part of its holder's row."""
+        name = kid.table or (row[0] + ENTRY if repeated else None)
+        if name is not None:
+            row = [name, path, row[0], row[1], k, []]
+            out.append(row)
+            rel = None
+        todo.append((c, kid, row, path, rel, above, 0))
 
 
 def _join(path: str | None, more: str | None) -> str | None:
@@ -215,12 +232,8 @@ def _join(path: str | None, more: str | None) -> str | None:
     return more if path is None else path if more is None else f"{path}/{more}"
 
 
-def _kind(v) -> str:
-    return "boolean" if isinstance(v, bool) else "text" if isinstance(v, str) else "number"
-
-
 def _text(v) -> str:
-    return v if isinstance(v, str) else json.dumps(v)
+    return v if type(v) is str else "true" if v is True else "false" if v is False else repr(v)
 
 
 def _once(rows: list[list]) -> list[list]:
