@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.jsontext import Incomplete, opened, parse
+from catalith.functions.worker import no_cycle_search
 
 #: An object type with more different keys than this is a map: its keys are data and its entries are repeated.
 MAX_MEMBERS = 64
@@ -304,14 +305,15 @@ def schema_graph(df: DataFrame, fields: list[str], max_members: int = MAX_MEMBER
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = {f: Node() for f in fields}
         for b in batches:
-            for f in fields:
-                for text in b.column(f).to_pylist():
-                    if text is not None:
-                        try:
-                            value = opened(parse(text))
-                        except Incomplete:
-                            continue
-                        _observe(value, tops[f], f, max_members)
+            with no_cycle_search():
+                for f in fields:
+                    for text in b.column(f).to_pylist():
+                        if text is not None:
+                            try:
+                                value = opened(parse(text))
+                            except Incomplete:
+                                continue
+                            _observe(value, tops[f], f, max_members)
         yield pa.RecordBatch.from_pydict({"graph": [json.dumps({f: t.dump() for f, t in tops.items()})]})
 
     def merged(texts) -> dict[str, Node]:
@@ -350,31 +352,36 @@ def shred(df: DataFrame, id_col: str, fields: list[str], max_members: int = MAX_
         graph = {f: Node.load(x) for f, x in json.loads(wire.value).items()}
         shredder = Shredder(inlining(graph))
         for b in batches:
-            ids = b.column(id_col)
-            take, field, rows, bounds, flat = [], [], [], [0], []
-            for f in fields:
-                for i, text in enumerate(b.column(f).to_pylist()):
-                    if text is None:
-                        continue
-                    try:
-                        value = opened(parse(text))
-                    except Incomplete:
-                        continue
-                    for r in shredder.rows(value, f):
-                        take.append(i)
-                        field.append(f)
-                        rows.append(r)
-                        flat.extend(r[5])
-                        bounds.append(len(flat))
-            if not rows:
-                continue
-            cols = list(zip(*[r[:5] for r in rows]))
-            rel, last, kind, value = zip(*flat) if flat else ((), (), (), ())
-            items = pa.StructArray.from_arrays([pa.array(rel, pa.string()), pa.array(last, pa.int32()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=["rel", "last", "kind", "value"])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(take)), pa.array(field), *[pa.array(c, pa.string()) for c in cols], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items).cast(vals)],
-                names=[id_col, "field", "table", "row_path", "parent_table", "parent_row_path", "position", "vals"],
-            )
+            with no_cycle_search():
+                out = batch(b, shredder)
+            if out is not None:
+                yield out
+
+    def batch(b: pa.RecordBatch, shredder: Shredder) -> pa.RecordBatch | None:
+        take, field, rows, bounds, flat = [], [], [], [0], []
+        for f in fields:
+            for i, text in enumerate(b.column(f).to_pylist()):
+                if text is None:
+                    continue
+                try:
+                    value = opened(parse(text))
+                except Incomplete:
+                    continue
+                for r in shredder.rows(value, f):
+                    take.append(i)
+                    field.append(f)
+                    rows.append(r)
+                    flat.extend(r[5])
+                    bounds.append(len(flat))
+        if not rows:
+            return None
+        cols = list(zip(*[r[:5] for r in rows]))
+        rel, last, kind, value = zip(*flat) if flat else ((), (), (), ())
+        items = pa.StructArray.from_arrays([pa.array(rel, pa.string()), pa.array(last, pa.int32()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=["rel", "last", "kind", "value"])
+        return pa.RecordBatch.from_arrays(
+            [b.column(id_col).take(pa.array(take)), pa.array(field), *[pa.array(c, pa.string()) for c in cols], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items).cast(vals)],
+            names=[id_col, "field", "table", "row_path", "parent_table", "parent_row_path", "position", "vals"],
+        )
 
     schema = f"`{id_col}` {id_type}, field string, `table` string, row_path string, parent_table string, parent_row_path string, position string, vals array<struct<rel: string, last: int, kind: string, value: string>>"
     return Shredded(df.select(id_col, *fields).mapInArrow(run, schema), plan, id_col)
