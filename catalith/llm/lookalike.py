@@ -12,6 +12,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from math import log
 
 import numpy as np
@@ -45,36 +46,44 @@ _JOINED = re.compile(f"(?<=[\U0001f000-\U0001faff☀-➿️]){JOINER}(?=[\U0001f
 _KEPT_JOINER = "\U000f0000"
 
 
-def _table() -> dict[int, str | None]:
-    out: dict[int, str | None] = {}
-    for cp in (*range(0x20000), *range(0xE0000, 0xE1000)):  # no such characters elsewhere
+def _table() -> dict[str, str]:
+    """What becomes of characters that don't stay: nothing, a space, or their ordinary form."""
+    out: dict[str, str] = {}
+    for cp in (*range(0x80, 0x20000), *range(0xE0000, 0xE1000)):  # no such characters elsewhere
         c = chr(cp)
         kind = unicodedata.category(c)
         if kind == "Cf" and cp not in SEEN:
-            out[cp] = None
+            out[c] = ""
         elif kind == "Zs" and cp != 0x1680:
-            out[cp] = " "
+            out[c] = " "
         else:
             d = unicodedata.decomposition(c) if 0x3000 <= cp <= 0xFFFF else ""
             if d.startswith(("<wide>", "<narrow>")):
-                out[cp] = "".join(chr(int(x, 16)) for x in d.split()[1:])
-    out.update(dict.fromkeys(IGNORABLE))
+                out[c] = "".join(chr(int(x, 16)) for x in d.split()[1:])
+    out.update(dict.fromkeys(map(chr, IGNORABLE), ""))
     return out
 
 
-_TABLE: dict[int, str | None] | None = None
+@cache
+def _changes() -> tuple[re.Pattern, dict[str, str]]:
+    table = _table()
+    cps = sorted(map(ord, table))
+    runs, start = [], cps[0]
+    for a, b in zip(cps, [*cps[1:], -1]):
+        if b != a + 1:
+            runs.append(f"\\U{start:08x}-\\U{a:08x}")
+            start = b
+    return re.compile(f"[{''.join(runs)}]"), table
 
 
 def plain(text: str) -> str:
     """Width forms and blanks as ordinary ones, without ignorable characters, accents apart from their letters. A joiner between emoji is seen and stays."""
-    global _TABLE
     if text.isascii():
         return text
-    if _TABLE is None:
-        _TABLE = _table()
+    pattern, table = _changes()
     if JOINER in text:
         text = _JOINED.sub(_KEPT_JOINER, text)
-    text = unicodedata.normalize("NFD", text.translate(_TABLE))
+    text = unicodedata.normalize("NFD", pattern.sub(lambda m: table[m.group()], text))
     return text.replace(_KEPT_JOINER, JOINER)
 
 
