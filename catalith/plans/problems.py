@@ -74,6 +74,22 @@ _ORPHANS = """
 """
 
 SQL: dict[str, str] = {
+    "p1_found": """
+        WITH RECURSIVE raw AS (
+          SELECT line_no, 'rubric' AS field, rubric AS x FROM spider2_exec_mix_candidates UNION ALL SELECT line_no, 'missing', missing FROM spider2_exec_mix_candidates
+          UNION ALL SELECT line_no, 'findings', findings FROM spider2_exec_mix_candidates),
+        n AS (
+          SELECT line_no, field, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS path, CAST(x AS JSON) AS v FROM raw WHERE x IS NOT NULL AND json_valid(x)
+          UNION ALL
+          SELECT line_no, field, CASE WHEN step IS NULL THEN parent ELSE coalesce(path, '') END, CASE WHEN step IS NULL THEN path ELSE concat_ws('/', path, step) END, c FROM (
+            SELECT line_no, field, parent, path, unnest(map_keys(m)) AS step, unnest(map_values(m)) AS c FROM (
+              SELECT line_no, field, parent, path, CASE json_type(v)
+                WHEN 'OBJECT' THEN CAST(v AS MAP(VARCHAR, JSON))
+                WHEN 'ARRAY' THEN map_from_entries([(CAST(i - 1 AS VARCHAR), CAST(v AS JSON[])[i]) for i in range(1, CAST(json_array_length(v) AS BIGINT) + 1)]) END AS m FROM n WHERE json_type(v) IN ('OBJECT', 'ARRAY'))
+            UNION ALL SELECT line_no, field, parent, path, NULL, CAST(v->>'$' AS JSON) FROM n
+              WHERE json_type(v) = 'VARCHAR' AND regexp_matches(v->>'$', '^\\s*["{\\[]') AND json_valid(v->>'$')))
+        SELECT DISTINCT line_no, field, coalesce(parent, '') AS parent_path, coalesce(path, '') AS path FROM n
+        WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND NOT (json_type(v) = 'VARCHAR' AND regexp_matches(v->>'$', '^\\s*[{\\[]') AND json_valid(v->>'$'))""",
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_table, CAST(ref_id AS BIGINT) AS ref_id, CAST(pos AS INTEGER) AS pos, side, status, ym FROM orphan",
     "p3_by_month": _ORPHANS + "SELECT table_key, ym, status, count(*) AS n_refs FROM (SELECT DISTINCT table_key, ref_table, ref_id, pos, side, status, ym FROM orphan) GROUP BY ALL",
     "p6_found": """
