@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm.leakage import leaks
-from catalith.llm.lookalike import consistent_forms, lookalike_pairs
+from catalith.llm.lookalike import STAND, consistent_forms, lookalike_pairs
 from catalith.llm.mixing import mix, shares
 from catalith.llm.survivors import described_tables, survivors, trust_order
 from catalith.llm.topn import top_n
@@ -60,7 +60,30 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p7_found": p7_found, "p7_near": p7_near, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
+# Looks of texts in SQL: not the consistent form, but equal for the same texts.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_BLANK = "".join(map(chr, [0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+_ALIKE = [(c, s) for c, s in STAND.items() if c != s] + list(zip("ёЁїЇ", "ëËïÏ"))
+_LOOK = (
+    "nfc_normalize(translate(regexp_replace({0}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'), '"
+    + _WIDE.replace("'", "''") + _BLANK + "".join(c for c, _ in _ALIKE) + "', '" + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''").replace("{", "{{").replace("}", "}}") + " " * len(_BLANK) + "".join(s for _, s in _ALIKE) + "'))"
+)
+
+
+def _look(column: str) -> str:
+    return _LOOK.format(column)
+
+
 SQL: dict[str, str] = {
+    "p7_found": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower({_look('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower({_look('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        dw AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k + 11], ' ') for k in range(1, len(w) - 10)]) AS run FROM d WHERE len(w) >= 12),
+        iw AS (SELECT DISTINCT item_id, unnest([array_to_string(w[k:k + 11], ' ') for k in range(1, len(w) - 10)]) AS run FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)""",
+    "p9_found": f"""
+        WITH f AS (SELECT doc_id, text, md5({_look('text')}) AS look FROM documents WHERE text <> '')
+        SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p2_found": """
         WITH latest AS (SELECT source, source_type, built_at, payload FROM (SELECT DISTINCT snap_id, source, source_type, built_at, payload FROM snapshots)
                         QUALIFY row_number() OVER (PARTITION BY source ORDER BY built_at DESC, snap_id DESC) = 1),
