@@ -74,6 +74,35 @@ _ORPHANS = """
 """
 
 SQL: dict[str, str] = {
+    "p4_found": """
+        WITH RECURSIVE files AS (
+          SELECT file_id, run_id, series, written_at, config FROM spider2_exec_legacy UNION SELECT file_id, run_id, series, written_at, config FROM spider2_exec_mix),
+        ok AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY written_at, file_id) AS seq FROM files WHERE config IS NOT NULL AND json_valid(config)),
+        m AS (
+          SELECT series, seq, CAST('' AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS path, CAST(config AS JSON) AS v FROM ok
+          UNION ALL SELECT series, seq, coalesce(path, ''), concat_ws('/', path, k), c FROM (
+            SELECT series, seq, path, unnest(map_keys(o)) AS k, unnest(map_values(o)) AS c FROM (SELECT series, seq, path, CAST(v AS MAP(VARCHAR, JSON)) AS o FROM m WHERE json_type(v) = 'OBJECT'))),
+        gen AS (SELECT run_id, arg_min(CASE WHEN json_valid(generator) THEN CASE json_type(generator) WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'text' END ELSE 'text' END, line_no) AS ty
+                FROM spider2_exec_mix_candidates WHERE generator IS NOT NULL GROUP BY ALL),
+        mem AS (SELECT series, seq, parent, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' END AS ty,
+                  CASE WHEN json_type(v) = 'ARRAY' AND json_array_length(v) = 1 THEN json_extract(v, '$[0]') ELSE v END AS one FROM m WHERE path IS NOT NULL
+                UNION ALL SELECT series, seq, NULL, 'candidates.generator', ty, NULL FROM ok JOIN gen USING (run_id)),
+        val AS (SELECT *, CASE WHEN one IS NOT NULL AND json_type(one) NOT IN ('NULL', 'BOOLEAN', 'OBJECT') THEN CAST(one AS VARCHAR) END AS k FROM mem),
+        went AS (SELECT a.series, a.seq + 1 AS seq, a.parent, a.path, a.k FROM val a JOIN ok n ON n.series = a.series AND n.seq = a.seq + 1
+                 WHERE NOT EXISTS (SELECT 1 FROM val b WHERE b.series = a.series AND b.seq = a.seq + 1 AND b.path = a.path)),
+        came AS (SELECT a.series, a.seq, a.parent, a.path, a.k FROM val a WHERE a.seq > 1 AND NOT EXISTS (SELECT 1 FROM val b WHERE b.series = a.series AND b.seq = a.seq - 1 AND b.path = a.path)),
+        w1 AS (SELECT series, seq, parent, k, min(path) AS path FROM went WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+        c1 AS (SELECT series, seq, parent, k, min(path) AS path FROM came WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+        ren AS (SELECT series, seq, w1.path AS a, c1.path AS b FROM w1 JOIN c1 USING (series, seq, parent, k)),
+        runs AS (SELECT *, sum(fresh) OVER (PARTITION BY series, path ORDER BY seq) AS run FROM (
+                  SELECT series, seq, path, ty, CASE WHEN lag(seq) OVER (PARTITION BY series, path ORDER BY seq) = seq - 1 THEN 0 ELSE 1 END AS fresh FROM val)),
+        last AS (SELECT *, last_value(ty IGNORE NULLS) OVER (PARTITION BY series, path, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM runs),
+        cases AS (
+          SELECT series, seq, 'renamed' AS change_kind, a AS old_path, b AS new_path FROM ren
+          UNION ALL SELECT series, seq, 'removed', path, '' FROM went WHERE (series, seq, path) NOT IN (SELECT (series, seq, a) FROM ren)
+          UNION ALL SELECT series, seq, 'added', '', path FROM came WHERE (series, seq, path) NOT IN (SELECT (series, seq, b) FROM ren)
+          UNION ALL SELECT series, seq, 'type', path, path FROM last WHERE ty IS NOT NULL AND was IS NOT NULL AND ty <> was)
+        SELECT file_id, change_kind, old_path, new_path FROM cases JOIN ok USING (series, seq)""",
     "p1_found": """
         WITH RECURSIVE raw AS (
           SELECT line_no, 'rubric' AS field, rubric AS x FROM spider2_exec_mix_candidates UNION ALL SELECT line_no, 'missing', missing FROM spider2_exec_mix_candidates
