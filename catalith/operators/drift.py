@@ -91,7 +91,7 @@ def unite(files: DataFrame) -> DataFrame:
     """One row for each file with one column for each member of all configs, renamed members under one name.
 
     Renames link paths; a column bears the path that most files use. A column is double where every
-    value is a number, else text. Objects get no column, their members do; columns are named by path.
+    value is a number, else text. Objects get no column, their members do; columns are named by path, with ~2 and so on where names differ in case only.
     The links and paths that reach the driver grow with the schemas, not with the files; more than
     ``MAX_COLUMNS`` columns are an error."""
     rows = cut(compare_files(files))
@@ -114,10 +114,20 @@ def unite(files: DataFrame) -> DataFrame:
     numbers: dict[str, bool] = {}
     for p, (_, number) in used.items():
         numbers[find(p)] = numbers.get(find(p), True) and number
+    heads = sorted(numbers)
+    cell = {h: f"c{i}" for i, h in enumerate(heads)}
+    titles, taken = {}, {"file_id", "series", "at"}
+    for h in heads:  # columns compare without case
+        title, n = h, 1
+        while title.lower() in taken:
+            n += 1
+            title = f"{h}~{n}"
+        taken.add(title.lower())
+        titles[h] = title
     spark = files.sparkSession
-    named = spark.createDataFrame([(p, find(p)) for p in sorted(used)] or [("", "")], "path string, column string")
-    wide = values.join(F.broadcast(named), "path").groupBy("file_id").pivot("column", sorted(numbers) or [""]).agg(F.max("value"))
-    cols = [(F.col(f"`{c}`").cast("double") if numbers[c] else F.col(f"`{c}`")).alias(c) for c in sorted(numbers)]
+    named = spark.createDataFrame([(p, cell[find(p)]) for p in sorted(used)] or [("", "")], "path string, cell string")
+    wide = values.join(F.broadcast(named), "path").groupBy("file_id").pivot("cell", list(cell.values()) or [""]).agg(F.max("value"))
+    cols = [(F.col(cell[h]).cast("double") if numbers[h] else F.col(cell[h])).alias(titles[h]) for h in heads]
     ids = _complete(files).select("file_id", "series", "at")
     return ids.join(wide.select("file_id", *cols), "file_id", "left")
 

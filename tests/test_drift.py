@@ -68,6 +68,8 @@ def test_united_table(spark):
     assert [rows[i]["n"] for i in (1, 2, 3, 4)] == [1.0, 2.0, 2.5, None]
     assert [rows[i]["o/y"] for i in (1, 2, 3)] == ["p", "p", json.dumps(["q"])]
     assert "o/x" not in rows[1]
+    case = unite(files(spark, '{"k": 1, "K": "x", "at": "y", "a.b": 5, "`q`": true}')).first().asDict()
+    assert case["k~2"] == 1.0 and case["K"] == "x" and case["at~2"] == "y" and case["a.b"] == 5.0 and case["`q`"] == "true"
 
 
 def test_empty_and_repeated(spark):
