@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from catalith.functions.worker import no_cycle_search
 from catalith.llm.lookalike import Speller, speller_for
@@ -196,11 +197,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
     schema = f"d {d_type}, i {i_type}, n int"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, item_id, text, counts, size, block_passages):
-        out = out.unionByName(_search(docs, block, counts, doc_id, text, size, near, schema, d_type))
+        out = out.unionByName(_search(docs, block, counts, doc_id, text, size, near, schema, d_type, to_arrow_type(items.schema[item_id].dataType)))
     return out.groupBy("d", "i").agg(F.max("n").alias("n_words")).select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "n_words")
 
 
-def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str, size: int, near: bool, schema: str, d_type: str) -> DataFrame:
+def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str, size: int, near: bool, schema: str, d_type: str, i_arrow: pa.DataType) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     names = sorted({w for _, ws in block for w in ws})
     vocab = sc.broadcast({w: k for k, w in enumerate(names)})
@@ -266,6 +267,6 @@ def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str,
                                 found[pair] = n
             if found:
                 d, o = zip(*found)
-                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(d)), pa.array([item[k] for k in o]), pa.array(found.values(), pa.int32())], names=["d", "i", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(d)), pa.array([item[k] for k in o], i_arrow), pa.array(found.values(), pa.int32())], names=["d", "i", "n"])
 
     return known.mapInArrow(find, schema)
