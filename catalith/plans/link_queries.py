@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import text as X
 from catalith.operators import families as FA
+from catalith.operators.embedding import nearest
 from catalith.operators import infer as I
 from catalith.operators import lexical as L
 from catalith.operators import merge as M
@@ -178,6 +179,12 @@ def link_ddl(spark: SparkSession, sf: str) -> DataFrame:
     return K.render(K.link(q, o), q, o, M.merge_tables(cat))
 
 
+def embedding_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of all vectors for every vector whose id is divisible by 100."""
+    e = table(spark, sf, "embeddings")
+    return nearest(e.filter("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding").select("qid", "place", "oid", F.round("cosine", 5).alias("cosine"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "infer_by_name": infer_by_name, "infer_shared_key": infer_shared_key, "infer_edges": infer_edges,
     "family_shards": family_shards, "family_signatures": family_signatures, "family_jaccard": family_jaccard,
@@ -185,7 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexical_postings": lexical_postings, "lexical_idf": lexical_idf, "lexical_hubs": lexical_hubs, "lexical_values": lexical_values,
     "seeds_tokens": seeds_tokens, "seeds_names": seeds_names, "activation": activation, "bm25f": bm25f, "fused": fused,
     "rank_specificity": rank_specificity, "rank_transition": rank_transition, "rank_pagerank": rank_pagerank, "rank_table_evidence": rank_table_evidence,
-    "paths_from_table": paths_from_table, "link_tables": link_tables, "link_ddl": link_ddl,
+    "paths_from_table": paths_from_table, "link_tables": link_tables, "link_ddl": link_ddl, "embedding_nearest": embedding_nearest,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -294,4 +301,6 @@ SQL: dict[str, str] = {
       b2 AS (SELECT u, v, w FROM pr UNION ALL SELECT v, u, w FROM pr),
       go AS (SELECT min(u) AS u, [min(u)] AS path, 0::DOUBLE AS cost FROM pr UNION ALL SELECT b2.v, list_append(path, b2.v), cost + w FROM go JOIN b2 ON b2.u = go.u WHERE NOT list_contains(path, b2.v) AND len(path) <= 3)
       SELECT array_to_string(path, ' > ') AS path, round(cost, 4) AS cost FROM go WHERE len(path) > 1""",
+    "embedding_nearest": """WITH c AS (SELECT q.vec_id AS qid, o.vec_id AS oid, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 12) AS c FROM embeddings q JOIN embeddings o ON q.vec_id % 100 = 0)
+      SELECT qid, CAST(place AS INTEGER) AS place, oid, round(c, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, oid) AS place FROM c) WHERE place <= 5""",
 }
