@@ -116,11 +116,11 @@ def _fuzzy(forms: DataFrame, vocab: DataFrame) -> DataFrame:
     return scored.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= X.FUZZY_MATCHES).select("form", "close")
 
 
-def activate(questions: DataFrame, o: Objects, fuzzy: bool = True) -> DataFrame:
+def activate(questions: DataFrame, o: Objects, fuzzy: bool = True, post: DataFrame | None = None) -> DataFrame:
     """qid, node, weight, reasons: what questions(qid, text) say about the catalog.
 
     Four stages add up: glossary phrases and their targets, sample values, whole names, single tokens with their forms (scaled by rarity; a
-    form without a posting stands for close tokens). reasons are in the order of the stages. Null questions activate nothing."""
+    form without a posting stands for close tokens). post: the postings, if they are at hand. reasons are in the order of the stages. Null questions activate nothing."""
     q = question_words(questions.filter("text is not null"))
     low = q.select("qid", F.lower("text").alias("q"), "words")
     # a phrase's first word must be among the question's words: an equi join, then the exact test
@@ -141,8 +141,8 @@ def activate(questions: DataFrame, o: Objects, fuzzy: bool = True) -> DataFrame:
     c = part(val, F.col("node"), F.lit(X.VALUE_WEIGHT), stage(2, F.lit(0), F.concat(F.lit("value '"), "value", F.lit("' in question"))))
     g = q.select("qid", F.posexplode(F.concat(X.ngrams(F.col("tokens")), X.ngrams(F.col("raw")))).alias("ord", "gram")).join(names(o), "gram").groupBy("qid", "node").agg(F.min(F.struct("ord", "gram")).alias("m"))
     d = part(g, F.col("node"), F.lit(X.NGRAM_WEIGHT), stage(3, F.col("m.ord"), F.concat(F.lit("n-gram '"), F.col("m.gram"), F.lit("' == name"))))
-    post = postings(o)
-    rare = idf(post, node_count(o))
+    post = cut(postings(o)) if post is None else post
+    rare = cut(idf(post, node_count(o)))
     scaled = post.join(rare, "token").select("token", "node", (F.col("weight") * F.col("idf")).alias("w"))
     forms = token_forms(q)
     hits = forms.join(scaled.withColumnRenamed("token", "form"), "form")

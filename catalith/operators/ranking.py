@@ -20,7 +20,7 @@ CONTAINS, FK_COLUMN, GLOSSARY = 0.5, 0.8, 0.7
 ALPHA, TOLERANCE = 0.85, 1e-12
 TABLE_BONUS, COLUMN_BONUS, BONUS_CAP = 0.35, 0.10, 2.0
 #: Edges of a connected part that one task solves, for so many questions at a time; larger parts go by joins.
-LOCAL_EDGES, BLOCK = 2_000_000, 64
+LOCAL_EDGES, BLOCK = 2_000_000, 16
 
 
 def graph_edges(o: L.Objects, post: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def link(questions: DataFrame, o: L.Objects, opts: LinkOptions | None = None) ->
     opts = opts or LinkOptions()
     post = cut(L.postings(o))
     columns = cut(o.columns)
-    seeds = cut(L.activate(questions, o))
+    seeds = cut(L.activate(questions, o, post=post))
     weighted = seeds.join(R.specificity(o), "node", "left").select("qid", "node", (F.col("weight") * F.coalesce("spec", F.lit(1.0))).alias("weight"))
     nodes = cut(R.pagerank(R.graph_edges(o, post), weighted, opts.alpha))
     scored = R.direct_evidence(R.table_scores(nodes, columns), seeds, columns).filter("score > 0")
@@ -93,14 +93,17 @@ def render(linked: Linked, questions: DataFrame, o: L.Objects, tables: DataFrame
     """qid, ddl: the linked tables as annotated DDL, join paths last, the most reliable at the end. tables: the merged tables with description, row_count, kind, source."""
     c = linked.columns.join(o.columns.select("table_key", "col", "name", "data_type", F.col("description").alias("about"), "samples"), ["table_key", "col"])
     line = F.concat(F.lit("  "), "name", F.coalesce(F.concat(F.lit(" "), "data_type"), F.lit("")))
+    keys = o.columns.filter("is_primary_key").groupBy("table_key").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("k")).select("table_key", F.array_join(F.transform("k", lambda x: x["name"]), ", ").alias("pk"))
     cols = c.groupBy("qid", "table_key").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line"), F.coalesce("about", F.lit("")).alias("about"), "name", "samples"))).alias("c"))
     n = F.size("c")
     body = F.array_join(F.transform("c", lambda x, i: F.concat(x["line"], F.when(i < n - 1, F.lit(",")).otherwise(F.lit("")), F.when(x["about"] != "", F.concat(F.lit("  -- "), x["about"])).otherwise(F.lit("")))), "\n")
-    notes = F.array_join(F.array_compact(F.array(F.col("description"), F.concat(F.format_number("row_count", 0), F.lit(" rows")), F.when(F.col("kind") != "table", F.col("kind")), F.concat(F.lit("from "), "source"))), "; ")
+    six = lambda c: F.concat(F.array_join(F.slice(F.split(c, ","), 1, 6), ", "), F.when(F.size(F.split(c, ",")) > 6, F.lit(", ...")).otherwise(F.lit("")))
+    named = lambda word, c: F.when(F.col(c) != "", F.concat(F.lit(word), six(c)))
+    notes = F.array_join(F.array_compact(F.array(F.col("description"), F.concat(F.format_number("row_count", 0), F.lit(" rows")), F.when(F.col("kind") != "table", F.col("kind")), named("built from ", "upstream"), named("feeds ", "downstream"), F.concat(F.lit("from "), "source"))), "; ")
     quoted = lambda s: F.array_join(F.transform(F.slice(s, 1, 5), lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", ")
     values = F.array_join(F.transform(F.filter("c", lambda x: F.size(x["samples"]) > 0), lambda x: F.concat(F.lit("--   "), x["name"], F.lit(": "), quoted(x["samples"]))), "\n")
-    t = linked.tables.join(tables, "table_key").join(cols, ["qid", "table_key"], "left")
-    block = F.concat(F.lit("\nCREATE TABLE "), "table_key", F.lit(" (\n"), F.coalesce(body, F.lit("")), F.lit("\n);"), F.when(notes != "", F.concat(F.lit("  -- "), notes)).otherwise(F.lit("")))
+    t = linked.tables.join(tables, "table_key").join(cols, ["qid", "table_key"], "left").join(keys, "table_key", "left").join(M.lineage(o.edges), "table_key", "left")
+    block = F.concat(F.lit("\nCREATE TABLE "), "table_key", F.lit(" (\n"), F.coalesce(body, F.lit("")), F.coalesce(F.concat(F.lit(",\n  PRIMARY KEY ("), "pk", F.lit(")")), F.lit("")), F.lit("\n);"), F.when(notes != "", F.concat(F.lit("  -- "), notes)).otherwise(F.lit("")))
     sample = F.when(values != "", F.concat(F.lit("-- Sample values for "), "table_key", F.lit(":\n"), values))
     doc = t.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "table_key", block.alias("b"), sample.alias("v"), "anchor"))).alias("t"))  # at most max_tables
     p = linked.paths.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("reliability", (-F.col("place")).alias("z"), F.concat(F.lit("-- path ["), F.format_string("%.2f", "reliability"), F.lit("]: "), F.array_join("tables", " -> ")).alias("l")))).alias("p"))

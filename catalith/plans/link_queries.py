@@ -303,4 +303,10 @@ SQL: dict[str, str] = {
       SELECT array_to_string(path, ' > ') AS path, round(cost, 4) AS cost FROM go WHERE len(path) > 1""",
     "embedding_nearest": """WITH c AS (SELECT q.vec_id AS qid, o.vec_id AS oid, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 12) AS c FROM embeddings q JOIN embeddings o ON q.vec_id % 100 = 0)
       SELECT qid, CAST(place AS INTEGER) AS place, oid, round(c, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, oid) AS place FROM c) WHERE place <= 5""",
+    "lexical_values": CATALOG + f""", sv AS (SELECT table_key, col, v, min(((rk * 1000 + pos) * 1000 + cpos) * 100 + sp) AS r FROM (
+        SELECT table_key, col, rk, pos, cpos, unnest({strings('c', 'sample_values')}) AS v, generate_subscripts({strings('c', 'sample_values')}, 1) AS sp FROM cc) WHERE v IS NOT NULL GROUP BY ALL),
+      kept AS (SELECT *, row_number() OVER (PARTITION BY table_key, col ORDER BY r) AS n FROM sv),
+      w AS (SELECT 'c:' || table_key || '.' || col AS node, lower(trim(v)) AS value, [x for x in string_split_regex(lower(trim(v)), '[^a-z0-9]+') if x <> ''] AS l FROM kept WHERE n <= 20)
+      SELECT DISTINCT array_to_string(l, '_') AS gram, CAST(len(l) AS INTEGER) AS n_words, value, node FROM w
+      WHERE len(value) >= 3 AND NOT regexp_matches(regexp_replace(value, '[.-]', '', 'g'), '^[0-9]*$') AND len(l) > 0 AND len([x for x in l if NOT regexp_matches(x, '^[0-9]+$')]) > 0 AND (len(l) > 1 OR len(l[1]) >= 3)""",
 }

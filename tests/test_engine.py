@@ -53,7 +53,7 @@ def test_link(engine):
     cols = {r.col for r in got.columns.filter("qid = 1 and table_key = 'public.order_items'").collect()}
     assert {"id", "order_id"} <= cols and 2 not in tables
     text = engine.ddl("carrier for each customer")
-    assert "CREATE TABLE public.shipment (" in text and "-- path [" in text and "'UPS'" in text
+    assert "CREATE TABLE public.shipment (" in text and "PRIMARY KEY (id)" in text and "-- path [" in text and "'UPS'" in text
 
 
 def test_lookups(engine):
