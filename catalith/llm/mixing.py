@@ -294,6 +294,5 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     by = used.select("n", F.explode(F.array(*parts)).alias("e")).groupBy("e.source").agg(F.sum(F.col("n") * F.col("e.p")).alias("tokens"), F.sum("e.d").alias("n_docs"))
     spark = mixed.sparkSession
     goal = spark.createDataFrame([(s, float(x)) for s, x in zip(wanted.names, wanted.share)], "source string, target_share double")
-    total = used.agg(F.sum("n").alias("total"))
-    out = goal.join(by, "source", "left").join(total, how="cross")  # one row
-    return out.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0.0)).alias("tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    total = used.agg(F.sum("n")).first()[0] or 1
+    return goal.join(by, "source", "left").select("source", "target_share", F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0.0)).alias("tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
