@@ -52,17 +52,15 @@ def postings(o: Objects) -> DataFrame:
     return rows.groupBy("token", "node").agg(F.max("weight").alias("weight"))
 
 
-def node_count(o: Objects) -> DataFrame:
-    """One row n: tables, columns and terms."""
+def node_count(o: Objects) -> int:
+    """How many tables, columns and terms there are, at least 1."""
     nodes = o.tables.select("node").unionByName(o.columns.select("node")).unionByName(o.terms.select("node").distinct())
-    return nodes.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    return max(1, nodes.count())
 
 
-def idf(post: DataFrame, n: DataFrame) -> DataFrame:
-    """token, df, idf: rarity between IDF_FLOOR and about 1."""
-    return post.groupBy("token").agg(F.count("*").alias("df")).join(n, how="cross").select(  # one row
-        "token", "df", F.greatest(F.lit(X.IDF_FLOOR), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) / F.log(F.col("n") + 1.0)).alias("idf")
-    )
+def idf(post: DataFrame, n: int) -> DataFrame:
+    """token, df, idf: rarity between IDF_FLOOR and about 1 among n objects."""
+    return post.groupBy("token").agg(F.count("*").alias("df")).select("token", "df", F.greatest(F.lit(X.IDF_FLOOR), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) / F.log(F.lit(n + 1.0))).alias("idf"))
 
 
 def names(o: Objects) -> DataFrame:
@@ -173,11 +171,11 @@ def table_documents(o: Objects) -> DataFrame:
 def bm25f(questions: DataFrame, o: Objects, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """qid, table_key, score of the tables that share a token with a question."""
     docs = table_documents(o)
-    n = o.tables.agg(F.count("*").alias("n"))
+    n = o.tables.count()
     tf = docs.groupBy("table_key", "field", "token").agg(F.count("*").alias("tf"))
     length = docs.groupBy("table_key", "field").agg(F.count("*").alias("len"))
-    avg = length.groupBy("field").agg(F.sum("len").alias("total")).join(n, how="cross").select("field", (F.col("total") / F.col("n")).alias("avg"))  # one row
-    df = tf.groupBy("token").agg(F.countDistinct("table_key").alias("df")).join(n, how="cross").select("token", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))  # one row
+    avg = length.groupBy("field").agg((F.sum("len") / max(n, 1)).alias("avg"))
+    df = tf.groupBy("token").agg(F.countDistinct("table_key").alias("df")).select("token", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
     weight = F.create_map(*[x for k, w in FIELD_WEIGHT.items() for x in (F.lit(k), F.lit(w))])
     each = tf.join(length, ["table_key", "field"]).join(F.broadcast(avg), "field")  # five fields
     norm = each.groupBy("table_key", "token").agg(F.sum(weight[F.col("field")] * F.col("tf") / (1.0 - b + b * F.col("len") / F.col("avg"))).alias("t"))
