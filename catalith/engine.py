@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,28 @@ class Engine:
             self._built = (cat, L.objects(cat))
         return self._built
 
+    def save(self, folder: str) -> None:
+        """Sources, glossary and hints as Parquet tables; each source has a folder of its own, so that saving one again replaces it alone."""
+        for s, p in self.payloads.items():
+            snapshot_rows(self.spark, [p]).coalesce(1).write.mode("overwrite").parquet(f"{folder}/snapshots/source={hashlib.sha256(s.encode()).hexdigest()[:16]}")
+        rows = [(s, p["source_type"], self.priorities.get(s)) for s, p in self.payloads.items()]
+        self.spark.createDataFrame(rows, "name string, type string, priority int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/connections")
+        user = [json.dumps({"terms": list(self.terms.values()), "hints": self.hints})]
+        self.spark.createDataFrame([(u,) for u in user], "curation string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/curation")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Engine:
+        e = cls(spark)
+        known = {r.name: r.priority for r in spark.read.parquet(f"{folder}/connections").toLocalIterator()}
+        for r in spark.read.option("basePath", f"{folder}/snapshots").parquet(f"{folder}/snapshots").select("payload").toLocalIterator() if known else ():
+            p = json.loads(r.payload)
+            if p["source"] in known:
+                e.payloads[p["source"]] = p
+        e.priorities = {s: p for s, p in known.items() if p is not None}
+        user = json.loads(spark.read.parquet(f"{folder}/curation").first().curation)
+        e.terms, e.hints = {t["name"].strip().lower(): t for t in user["terms"]}, user["hints"]
+        return e
+
     def tables(self) -> DataFrame:
         return M.merge_tables(self.catalog)
 

@@ -18,7 +18,7 @@ from catalith.sources.snapshots import Catalog
 
 @dataclass
 class Objects:
-    """The merged catalog as node tables: tables(node, table_key, bare, description, tags), columns(node, table_key, col, name, description, samples), terms(node, term, phrase), targets(node, target)."""
+    """The merged catalog as node tables: tables(node, table_key, bare, description, tags, source), columns(node, table_key, col, name, description, samples), terms(node, term, phrase), targets(node, target)."""
 
     tables: DataFrame
     columns: DataFrame
@@ -27,9 +27,20 @@ class Objects:
     edges: DataFrame
 
 
+def scoped(o: Objects, source: str) -> Objects:
+    """Only what a source lists: its tables, their columns, edges with both ends in it, and the terms that still point at something."""
+    t = cut(o.tables.filter(F.array_contains(F.split("source", ","), source)))
+    keys = t.select("table_key")
+    c = cut(o.columns.join(keys, "table_key", "left_semi"))
+    nodes = t.select(F.col("node").alias("target")).unionByName(c.select(F.col("node").alias("target")))
+    targets = cut(o.targets.join(nodes, "target", "left_semi").select("node", "target"))
+    e = o.edges.join(keys.withColumnRenamed("table_key", "from_key"), "from_key", "left_semi").join(keys.withColumnRenamed("table_key", "to_key"), "to_key", "left_semi")
+    return Objects(t, c, cut(o.terms.join(targets.select("node").distinct(), "node", "left_semi")), targets, cut(e.select(*o.edges.columns)))
+
+
 def objects(cat: Catalog) -> Objects:
     """Written once: every later stage reads them, none parses payloads again."""
-    t = M.merge_tables(cat).select(F.concat(F.lit("t:"), "table_key").alias("node"), "table_key", F.element_at(F.split("table_key", "\\."), -1).alias("bare"), "description", F.col("tags").alias("tags"))
+    t = M.merge_tables(cat).select(F.concat(F.lit("t:"), "table_key").alias("node"), "table_key", F.element_at(F.split("table_key", "\\."), -1).alias("bare"), "description", F.col("tags").alias("tags"), "source")
     mc = cut(M.merge_columns(cat))
     c = mc.select(F.concat(F.lit("c:"), "table_key", F.lit("."), "col").alias("node"), "table_key", "col", "name", "description", "samples", "is_primary_key", "data_type", "ord")
     k = cat.terms.select("term", F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>"))).alias("p"), "description")
@@ -183,6 +194,21 @@ def bm25f(questions: DataFrame, o: Objects, k1: float = 1.2, b: float = 0.75) ->
     return forms.join(norm, "token").join(df, "token").groupBy("qid", "table_key").agg(F.sum(F.col("qw") * F.col("idf") * F.col("t") * (k1 + 1.0) / (k1 + F.col("t"))).alias("score"))
 
 
+def bm25_single(questions: DataFrame, o: Objects, method: str = "lucene", k1: float = 1.2, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+    """qid, table_key, score of plain BM25 (``lucene``) or BM25+ over one text of a table: names three times, business names and tags and descriptions once."""
+    repeat = {"name": 3, "columns": 3, "business": 3, "tags": 1, "desc": 1}
+    times = F.create_map(*[x for k, n in repeat.items() for x in (F.lit(k), F.lit(n))])
+    tf = table_documents(o).groupBy("table_key", "token").agg(F.sum(times[F.col("field")]).alias("tf"))
+    n = o.tables.count()
+    length = tf.groupBy("table_key").agg(F.sum("tf").alias("len"))
+    avg = (length.agg(F.sum("len")).first()[0] or 0) / max(n, 1) or 1.0
+    plus = method == "bm25+"
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).select("token", (F.log((n + 1.0) / F.col("df")) if plus else F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("idf"))
+    part = F.col("tf") * (k1 + 1 if plus else 1.0) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg)) + (delta if plus else 0.0)
+    forms = question_words(questions.filter("text is not null")).select("qid", F.explode(X.query_forms(F.col("tokens"))).alias("f")).groupBy("qid", F.col("f.form").alias("token")).agg(F.max("f.weight").alias("qw"))
+    return forms.join(tf, "token").join(length, "table_key").join(df, "token").groupBy("qid", "table_key").agg(F.sum(F.col("qw") * F.col("idf") * part).alias("score"))
+
+
 def ranks(scores: DataFrame) -> Column:
     return F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "table_key"))
 

@@ -151,3 +151,19 @@ def relative(scores: DataFrame) -> DataFrame:
     """qid, table_key, evidence: scores as parts of the question's best."""
     best = scores.groupBy("qid").agg(F.max("score").alias("best"))
     return scores.join(best, "qid").select("qid", "table_key", (F.col("score") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).alias("evidence"))
+
+
+def route_by_schema(scores: DataFrame, share: float) -> DataFrame:
+    """Scores blended with the mass of the best three tables of their schema, in parts of the best schema's."""
+    schema = F.regexp_replace("table_key", "\\.?[^.]*$", "")
+    s = scores.withColumn("s", schema)
+    n = F.row_number().over(Window.partitionBy("qid", "s").orderBy(F.desc("score"), "table_key"))
+    mass = s.withColumn("n", n).filter("n <= 3").groupBy("qid", "s").agg(F.sum("score").alias("mass"))
+    best = mass.groupBy("qid").agg(F.max("mass").alias("best"))
+    return s.join(mass, ["qid", "s"]).join(best, "qid").select("qid", "table_key", (F.col("score") * (1 - share + share * F.col("mass") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0))).alias("score"))
+
+
+def sparse_seeds(sparse: DataFrame, k: int = 5, weight: float = 1.0) -> DataFrame:
+    """qid, node, weight: the best ``k`` tables of a sparse ranking as teleports, by weight / rank."""
+    r = L.ranks(sparse)
+    return sparse.withColumn("r", r).filter(F.col("r") <= k).select("qid", F.concat(F.lit("t:"), "table_key").alias("node"), (weight / F.col("r")).alias("weight"))

@@ -26,7 +26,13 @@ class LinkOptions:
     uncapped_rank: int = 1
     rrf_k: int = 60
     alpha: float = 0.85
-    ranker: str = "rrf"
+    ranker: str = "rrf"  # rrf, ppr, bm25
+    bm25: str = "bm25f"  # bm25f, lucene, bm25+
+    schema_routing: float = 0.0
+    seed_sparse: bool = False
+    seed_k: int = 5
+    seed_weight: float = 1.0
+    source: str | None = None  # only tables that this source lists
 
 
 @dataclass
@@ -44,14 +50,19 @@ class Linked:
 def link(questions: DataFrame, o: L.Objects, opts: LinkOptions | None = None) -> Linked:
     """questions: qid, text. Activation, PageRank, fusion with BM25F, anchors, join paths, tables and columns."""
     opts = opts or LinkOptions()
+    if opts.source is not None:
+        o = L.scoped(o, opts.source)
     post = cut(L.postings(o))
     columns = cut(o.columns)
     seeds = cut(L.activate(questions, o, post=post))
-    weighted = seeds.join(R.specificity(o), "node", "left").select("qid", "node", (F.col("weight") * F.coalesce("spec", F.lit(1.0))).alias("weight"))
+    sparse = L.bm25f(questions, o) if opts.bm25 == "bm25f" else L.bm25_single(questions, o, opts.bm25)
+    start = seeds.select("qid", "node", "weight")
+    if opts.seed_sparse:
+        start = start.unionByName(R.sparse_seeds(sparse, opts.seed_k, opts.seed_weight)).groupBy("qid", "node").agg(F.sum("weight").alias("weight"))
+    weighted = start.join(R.specificity(o), "node", "left").select("qid", "node", (F.col("weight") * F.coalesce("spec", F.lit(1.0))).alias("weight"))
     nodes = cut(R.pagerank(R.graph_edges(o, post), weighted, opts.alpha))
     scored = R.direct_evidence(R.table_scores(nodes, columns), seeds, columns).filter("score > 0")
-    sparse = L.bm25f(questions, o)
-    dense = cut(scored)
+    dense = cut(R.route_by_schema(scored, opts.schema_routing) if opts.schema_routing else scored)
     both = R.relative(dense).unionByName(R.relative(sparse)).groupBy("qid", "table_key").agg(F.max("evidence").alias("evidence"))
     final = {"rrf": lambda: L.fuse([dense, sparse], opts.rrf_k), "ppr": lambda: dense, "bm25": lambda: sparse}[opts.ranker]()
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "table_key")

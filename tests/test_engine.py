@@ -151,3 +151,18 @@ def test_snapshot_feed(spark, tmp_path):
     df.filter("snap_id = 1").write.mode("append").parquet(src)  # late: an older build changes nothing
     run()
     assert {(r.source, r.snap_id) for r in feed.current(spark, f"{tmp_path}/out").collect()} == {("s", 2), ("t", 3)}
+
+
+def test_saved_scoped_and_other_rankers(spark, tmp_path):
+    e = Engine(spark)
+    e.add("ddl", "one", text="create table orders (id int primary key, customer_id int references customer(id)); create table customer (id int primary key, colour text)", priority=3)
+    e.add("ddl", "two", text="create table paint (id int primary key, colour text, customer_id int references customer(id))")
+    e.add_term("hue", None, ["tint"], ["public.paint.colour"])
+    e.save(str(tmp_path))
+    f = Engine.load(spark, str(tmp_path))
+    assert f.stats() == e.stats() and f.priorities == {"one": 3} and [r.term for r in f.glossary().collect()] == ["hue"]
+    only = f.link(["colour of each customer, by tint"], LinkOptions(source="one"))
+    assert {r.table_key for r in only.tables.collect()} <= {"public.orders", "public.customer"}
+    for o in (LinkOptions(ranker="bm25", bm25="bm25+"), LinkOptions(ranker="ppr", schema_routing=0.3), LinkOptions(bm25="lucene", seed_sparse=True)):
+        got = [r.table_key for r in f.link(["colour of each customer"], o).tables.orderBy(F.desc("score")).collect()]
+        assert "public.customer" in got[:2]
