@@ -84,7 +84,7 @@ def solve(tree: np.ndarray, ids: list[str], parents: list[str | None]) -> dict[s
     return {"root_id": [ids[r] if r >= 0 else "" for r in root.tolist()], "node_depth": depth, "path": path, "n_below": below}
 
 
-def _last_lines(keys: list[list], ids: list, lines: np.ndarray) -> np.ndarray:
+def _last_lines(keys: list[list], ids: list) -> np.ndarray:
     """Of rows sorted by (tree, id, line) the last of each (tree, id)."""
     n = len(ids)
     return np.fromiter((i for i in range(n) if i + 1 == n or ids[i] != ids[i + 1] or any(k[i] != k[i + 1] for k in keys)), np.int64)
@@ -116,7 +116,7 @@ def hierarchy(df: DataFrame, tree: list[str], id_col: str, parent_col: str, orde
         def solved(t: pa.Table) -> pa.RecordBatch:
             keys = [t.column(c).to_pylist() for c in tree]
             ids = t.column("id").to_pylist()
-            keep = _last_lines(keys, ids, None)
+            keep = _last_lines(keys, ids)
             t = t.take(pa.array(keep))
             keys = [t.column(c).to_pylist() for c in tree]
             code, tid, last = np.empty(t.num_rows, np.int64), -1, None

@@ -326,10 +326,8 @@ def schema_graph(df: DataFrame, fields: list[str], max_members: int = MAX_MEMBER
     def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"graph": [json.dumps({f: t.dump() for f, t in merged(pdf["graph"]).items()})]})
 
-    parts = df.select(*fields).mapInArrow(observe, "graph string")
-    if df.rdd.getNumPartitions() > MERGE_GROUPS:
-        parts = parts.withColumn("g", F.spark_partition_id() % MERGE_GROUPS).groupBy("g").applyInPandas(group, "graph string")
-    return merged(r.graph for r in parts.collect())
+    parts = df.select(*fields).mapInArrow(observe, "graph string").withColumn("g", F.spark_partition_id() % MERGE_GROUPS)
+    return merged(r.graph for r in parts.groupBy("g").applyInPandas(group, "graph string").collect())
 
 
 def shred(df: DataFrame, id_col: str, fields: list[str], max_members: int = MAX_MEMBERS) -> Shredded:
