@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,10 +87,34 @@ def schema_changes(files: DataFrame) -> DataFrame:
     return cases.unionByName(turned)
 
 
+def _side_by_side(values: DataFrame, paths: list[str]) -> set[tuple[str, str]]:
+    """The pairs of these paths that some file holds both of; their number grows with the schemas."""
+    if not paths:
+        return set()
+    some = values.join(F.broadcast(values.sparkSession.createDataFrame([(p,) for p in paths], "path string")), "path").groupBy("file_id").agg(F.array_sort(F.collect_set("path")).alias("paths")).select("paths").distinct()
+    pairs = some.select(F.explode("paths").alias("a"), "paths").select("a", F.explode("paths").alias("b")).filter("a < b").distinct()
+    return {(r["a"], r["b"]) for r in pairs.collect()}
+
+
+def _linked(links: list[tuple[str, str]], used: dict[str, tuple], both: set[tuple[str, str]]) -> Callable[[str], str]:
+    """The name that each path goes by: linked paths have one, unless a file holds two of those that would share it."""
+    head, group = {p: p for p in used}, {p: [p] for p in used}
+    for a, b in links:
+        x, y = head[a], head[b]
+        if x == y or any((min(p, q), max(p, q)) in both for p in group[x] for q in group[y]):
+            continue
+        big, small = sorted((x, y), key=lambda p: (-used[p][0], p))
+        for p in group[small]:
+            head[p] = big
+        group[big] += group.pop(small)
+    return head.__getitem__
+
+
 def unite(files: DataFrame) -> DataFrame:
     """One row for each file with one column for each member of all configs, renamed members under one name.
 
-    Renames link paths; a column bears the path that most files use. A column is double where every
+    Renames link paths, those seen most often first; paths that some file holds side by side stay columns
+    of their own, so no value is lost. A column bears the path that most files use. A column is double where every
     value is a number, else text. Objects get no column, their members do; columns are named by path, with ~2 and so on where names differ in case only.
     The links and paths that reach the driver grow with the schemas, not with the files; more than
     ``MAX_COLUMNS`` columns are an error."""
@@ -99,18 +123,9 @@ def unite(files: DataFrame) -> DataFrame:
     used = {r["path"]: (r["n"], r["numbers"]) for r in values.groupBy("path").agg(F.count("*").alias("n"), F.min(F.coalesce(F.col("type") == "number", F.lit(True))).alias("numbers")).limit(MAX_COLUMNS + 1).collect()}
     if len(used) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} members: give fewer files or raise MAX_COLUMNS")
-    head = {p: p for p in used}
-
-    def find(p: str) -> str:
-        while head[p] != p:
-            p = head[p]
-        return p
-
-    links = rows.filter("change_kind = 'renamed'").select("old_path", "new_path").distinct().collect()
-    for a, b in sorted((r["old_path"], r["new_path"]) for r in links):
-        if a in head and b in head and (x := find(a)) != (y := find(b)):
-            big, small = sorted((x, y), key=lambda p: (-used[p][0], p))
-            head[small] = big
+    renames = rows.filter("change_kind = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n")).collect()
+    links = [(r["old_path"], r["new_path"]) for r in sorted(renames, key=lambda r: (-r["n"], r["old_path"], r["new_path"])) if r["old_path"] in used and r["new_path"] in used]
+    find = _linked(links, used, _side_by_side(values, sorted({p for link in links for p in link})))
     numbers: dict[str, bool] = {}
     for p, (_, number) in used.items():
         numbers[find(p)] = numbers.get(find(p), True) and number

@@ -80,3 +80,16 @@ def test_empty_and_repeated(spark):
     c = spark.createDataFrame([("r2", 5, '["m"]'), ("r2", 1, None), ("r1", 2, None), (None, 3, "m")], "run_id string, line_no long, generator string")
     got = {tuple(r) for r in schema_changes(run_files(a, a.limit(0), c)).collect()}
     assert got == {(2, "added", "", "k"), (2, "added", "", "candidates.generator")}
+
+
+def test_linked_paths_in_one_file_lose_nothing(spark):
+    """A rename in one series must not unite paths that stand side by side in a file of another."""
+    run = [(1, "s", T0, '{"top": 7, "m": {"critic": "x"}}'), (2, "s", T0 + timedelta(1), '{"k": 7, "m": {"judge": "x"}}'), (3, "t", T0, '{"top": 1, "k": 2, "m": {"critic": "p", "judge": "q"}}'), (4, "t", T0 + timedelta(1), '{"k": null, "kk": "5"}')]
+    run += [(5, "u", T0, '{"a": "z1"}'), (6, "u", T0 + timedelta(1), '{"b": "z1"}'), (7, "u", T0 + timedelta(2), '{"c": "z1"}'), (8, "v", T0, '{"a": "left", "c": "right"}')]
+    df = spark.createDataFrame([(*r, None, "candidates.generator") for r in run], FILES)
+    rows = {r.file_id: r.asDict() for r in unite(df).collect()}
+    for file_id, _, _, config in run:
+        want = sorted(str(float(v)) if isinstance(v, int) else v for at, v in flooding.members(json.loads(config)).values() if v is not None and not isinstance(v, dict))
+        assert sorted(str(v) for k, v in rows[file_id].items() if v is not None and k not in ("file_id", "series", "at")) == want
+    assert rows[3]["m/critic"] == "p" and rows[3]["m/judge"] == "q" and rows[3]["top"] == 1.0 and rows[3]["k"] == 2.0
+    assert ("a" in rows[8]) + ("b" in rows[8]) + ("c" in rows[8]) == 2  # one of the two renames still unites
