@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from catalith.functions.jsontext import Incomplete, parse
 from catalith.operators.flooding import changes, kind_of, members
@@ -16,6 +17,8 @@ from catalith.session import cut
 
 #: The most columns of the united table.
 MAX_COLUMNS = 2000
+#: The name of the extra member of run files.
+GENERATOR = "candidates.generator"
 
 
 def _parsed(text: str | None):
@@ -25,14 +28,19 @@ def _parsed(text: str | None):
         return False, None
 
 
-def _complete(files: DataFrame) -> DataFrame:
-    """The files whose config is complete JSON."""
+def _marked(files: DataFrame) -> DataFrame:
+    """The files and whether their config is complete JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([t is not None and _parsed(t)[0] for t in b.column("config").to_pylist()], pa.bool_()))
+            yield b.append_column("complete", pa.array([t is not None and _parsed(t)[0] for t in b.column("config").to_pylist()], pa.bool_()))
 
-    return files.mapInArrow(run, files.schema)
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("complete", BooleanType())]))
+
+
+def _complete(files: DataFrame) -> DataFrame:
+    """The files whose config is complete JSON."""
+    return _marked(files).filter("complete").drop("complete")
 
 
 def compare_files(files: DataFrame) -> DataFrame:
@@ -110,9 +118,11 @@ def _linked(links: list[tuple[str, str]], used: dict[str, tuple], both: set[tupl
     return head.__getitem__
 
 
-def unite(files: DataFrame) -> DataFrame:
+def unite(files: DataFrame, extra: str | None = None) -> DataFrame:
     """One row for each file with one column for each member of all configs, renamed members under one name.
 
+    A file whose config is null or cut has a row too, with ``complete`` false and no members. The files' ``extra_value``
+    comes under the name in ``extra``, if one is given.
     Renames link paths, those seen most often first; paths that some file holds side by side stay columns
     of their own, so no value is lost. A column bears the path that most files use. A column is double where every
     value is a number, else text. Objects get no column, their members do; columns are named by path, with ~2 and so on where names differ in case only.
@@ -131,7 +141,7 @@ def unite(files: DataFrame) -> DataFrame:
         numbers[find(p)] = numbers.get(find(p), True) and number
     heads = sorted(numbers)
     cell = {h: f"c{i}" for i, h in enumerate(heads)}
-    titles, taken = {}, {"file_id", "series", "at"}
+    titles, taken = {}, {"file_id", "series", "at", "complete", *([extra.lower()] if extra else [])}
     for h in heads:  # columns compare without case
         title, n = h, 1
         while title.lower() in taken:
@@ -143,24 +153,30 @@ def unite(files: DataFrame) -> DataFrame:
     named = spark.createDataFrame([(p, cell[find(p)]) for p in sorted(used)] or [("", "")], "path string, cell string")
     wide = values.join(F.broadcast(named), "path").groupBy("file_id").pivot("cell", list(cell.values()) or [""]).agg(F.max("value"))
     cols = [(F.col(cell[h]).cast("double") if numbers[h] else F.col(cell[h])).alias(titles[h]) for h in heads]
-    ids = _complete(files).select("file_id", "series", "at")
+    ids = _marked(files).select("file_id", "series", "at", "complete", *([F.col("extra_value").alias(extra)] if extra else []))
     return ids.join(wide.select("file_id", *cols), "file_id", "left")
 
 
 def run_files(legacy: DataFrame, mix: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The run files of both tables, one for each file_id (of rows that differ, the one received last), with the type of their candidates' generator."""
+    """The run files of both tables, one for each file_id (of rows that differ, the one received last), with the type of their candidates' generator.
+
+    extra_value: JSON list of all generators of the run, by their first line; a text that is a list counts as its elements."""
     cols = ["file_id", "run_id", "series", "written_at", "received_at", "config"]
     both = legacy.select(*cols).unionByName(mix.select(*cols)).filter("file_id is not null")
     files = both.groupBy("file_id").agg(F.max(F.struct("received_at", "written_at", "series", "run_id", "config")).alias("f")).select("file_id", "f.*")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = []
+            kind, each = [], []
             for t in b.column("generator").to_pylist():
                 ok, v = _parsed(t)
-                kind.append(kind_of(v) if ok and isinstance(v, (list, dict)) else "text")
-            yield pa.RecordBatch.from_arrays([b.column("run_id"), b.column("n"), pa.array(kind)], names=["run_id", "n", "type"])
+                whole = ok and isinstance(v, (list, dict))
+                kind.append(kind_of(v) if whole else "text")
+                each.append([json.dumps(x, sort_keys=True, ensure_ascii=False) for x in (v if isinstance(v, list) else [v if whole else t])])
+            yield pa.RecordBatch.from_arrays([b.column("run_id"), b.column("n"), pa.array(kind, pa.string()), pa.array(each, pa.list_(pa.string()))], names=["run_id", "n", "type", "each"])
 
     told = candidates.filter("generator is not null and run_id is not null").groupBy("run_id", "generator").agg(F.min("line_no").alias("n"))
-    gens = told.select("run_id", "n", "generator").mapInArrow(kinds, "run_id string, n long, type string").groupBy("run_id").agg(F.min(F.struct("n", "type"))["type"].alias("extra"))
-    return files.join(gens, "run_id", "left").select("file_id", "series", F.col("written_at").alias("at"), "config", "extra", F.lit("candidates.generator").alias("extra_name"))
+    gens = told.select("run_id", "n", "generator").mapInArrow(kinds, "run_id string, n long, type string, each array<string>")
+    every = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "each"))), lambda x: x["each"])))
+    runs = gens.groupBy("run_id").agg(F.min(F.struct("n", "type"))["type"].alias("extra"), F.concat(F.lit("["), F.array_join(every, ", "), F.lit("]")).alias("extra_value"))
+    return files.join(runs, "run_id", "left").select("file_id", "series", F.col("written_at").alias("at"), "config", "extra", F.lit(GENERATOR).alias("extra_name"), "extra_value")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.operators.drift import run_files, schema_changes, unite
+from catalith.operators.drift import GENERATOR, run_files, schema_changes, unite
 from catalith.operators.hierarchy import hierarchy
 from catalith.operators.nested import shred
 from catalith.operators.orphans import catalog_orphans
@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return unite(_runs(spark, sf))
+    return unite(_runs(spark, sf), GENERATOR)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from catalith.operators import flooding
-from catalith.operators.drift import run_files, schema_changes, unite
+from catalith.operators.drift import GENERATOR, run_files, schema_changes, unite
 
 T0 = datetime(2031, 1, 1)
 FILES = "file_id long, series string, at timestamp, config string, extra string, extra_name string"
@@ -90,6 +90,17 @@ def test_linked_paths_in_one_file_lose_nothing(spark):
     rows = {r.file_id: r.asDict() for r in unite(df).collect()}
     for file_id, _, _, config in run:
         want = sorted(str(float(v)) if isinstance(v, int) else v for at, v in flooding.members(json.loads(config)).values() if v is not None and not isinstance(v, dict))
-        assert sorted(str(v) for k, v in rows[file_id].items() if v is not None and k not in ("file_id", "series", "at")) == want
+        assert sorted(str(v) for k, v in rows[file_id].items() if v is not None and k not in ("file_id", "series", "at", "complete")) == want
     assert rows[3]["m/critic"] == "p" and rows[3]["m/judge"] == "q" and rows[3]["top"] == 1.0 and rows[3]["k"] == 2.0
     assert ("a" in rows[8]) + ("b" in rows[8]) + ("c" in rows[8]) == 2  # one of the two renames still unites
+
+
+def test_all_runs_and_their_generators(spark):
+    run = "file_id long, run_id string, series string, written_at timestamp, received_at timestamp, config string"
+    a = spark.createDataFrame([(1, "r1", "s", T0, T0, '{"k": 1, "complete": "x"}'), (2, "r2", "s", T0 + timedelta(1), T0, '{"k": '), (3, "r3", "s", T0, T0, None), (4, "r4", "s", T0, T0, "{}")], run)
+    c = spark.createDataFrame([("r1", 9, '["m", "n"]'), ("r1", 3, "n"), ("r1", 4, '{"b": 1, "a": [2]}'), ("r1", 5, '["cut'), ("r2", 1, '["m"]'), ("r4", 7, "[]")], "run_id string, line_no long, generator string")
+    rows = {r.file_id: r.asDict() for r in unite(run_files(a, a.limit(0), c), GENERATOR).collect()}
+    assert {i: r["complete"] for i, r in rows.items()} == {1: True, 2: False, 3: False, 4: True}
+    got = {i: r["candidates.generator"] for i, r in rows.items()}
+    assert json.loads(got[1]) == ["n", {"a": [2], "b": 1}, '["cut', "m"] and got[2] == '["m"]' and got[3] is None and got[4] == "[]"
+    assert rows[1]["k"] == 1.0 and rows[1]["complete~2"] == "x" and rows[2]["k"] is None
