@@ -29,8 +29,8 @@ SEED = 7
 BLOCK_PASSAGES = 200_000
 #: Cosine from which two passages are candidates. Equal passages have 1 whatever the rank, so that a run of PASSAGE words can't be missed.
 SAME, NEAR = 0.999, 0.92
-#: For paraphrases passages begin at every so many words; what is checked then reaches over the words between.
-STEP = 3
+#: For paraphrases: passages of items in a group of close ones, and the most groups.
+GROUP, MOST_GROUPS = 64, 1024
 #: For paraphrases: the share of a passage that the longest common subsequence holds, and of the item's telling words that the document has.
 COMMON, ANSWER = 0.75, 0.6
 
@@ -120,15 +120,14 @@ def latent_words(docs: DataFrame, idf: np.ndarray, size: int, rank: int = RANK,
     return latent
 
 
-def _windows(ids: np.ndarray, off: np.ndarray, size: int, unknown: int, step: int = 1) -> np.ndarray:
-    """Starts of the windows that lie in one document, ``step`` words apart, and have at most so many unknown words."""
+def _windows(ids: np.ndarray, off: np.ndarray, size: int, unknown: int) -> np.ndarray:
+    """Starts of the windows that lie in one document and have at most so many unknown words."""
     if len(ids) < size:
         return np.zeros(0, np.int64)
     bad = np.cumsum(np.r_[0, ids < 0])
     start = np.arange(len(ids) - size + 1)
     last = np.repeat(off[1:], np.diff(off))[: len(start)]
-    pos = start - np.repeat(off[:-1], np.diff(off))[: len(start)]
-    return start[(start + size <= last) & (bad[start + size] - bad[start] <= unknown) & (pos % step == 0)]
+    return start[(start + size <= last) & (bad[start + size] - bad[start] <= unknown)]
 
 
 def _vectors(ids: np.ndarray, start: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +154,72 @@ def _close(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndar
                 yield o[i], j + s
 
 
+def _groups(y: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Groups of close rows: (centre, rows, the least cosine with the centre of a row that is close to any of the group)."""
+    if not len(y):
+        return []
+    c = y[np.linspace(0, len(y) - 1, max(1, min(len(y) // GROUP, MOST_GROUPS))).astype(int)]
+    for _ in range(5):
+        near = np.concatenate([np.argmax(y[at : at + 8192] @ c.T, axis=1) for at in range(0, len(y), 8192)])
+        total = np.zeros_like(c)
+        np.add.at(total, near, y)
+        n = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(n > 0, total / np.where(n > 0, n, 1), c)
+    out = []
+    for g in np.unique(near):
+        rows = np.flatnonzero(near == g)
+        wide = np.arccos(np.clip((y[rows] @ c[g]).min(), -1, 1)) + np.arccos(least)
+        out.append((c[g], rows, float(np.cos(min(np.pi, wide))) - 1e-3))
+    return out
+
+
+def _close_groups(x: np.ndarray, y: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray, float]], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with a cosine of ``least`` or more, for one too low for a sorted coordinate to rule out much: angles add up, so a row too far from a group's centre is close to none of the group."""
+    if not groups:
+        return
+    centres, bound = np.vstack([c for c, _, _ in groups]), np.array([b for _, _, b in groups], np.float32)
+    for at in range(0, len(x), 8192):
+        near = x[at : at + 8192] @ centres.T >= bound
+        for g in np.flatnonzero(near.any(axis=0)):
+            o, rows = at + np.flatnonzero(near[:, g]), groups[g][1]
+            for s in range(0, len(rows), 1024):
+                part = rows[s : s + 1024]
+                k = np.flatnonzero((x[o] @ y[part].T >= least).ravel())
+                if len(k):
+                    yield o[k // len(part)], part[k % len(part)]
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in arrays of ``least`` rows or more, but for the last."""
+    held, n = [], 0
+    for p in pairs:
+        held.append(p)
+        n += len(p[0])
+        if n >= least:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _marks(w: np.ndarray) -> np.ndarray:
+    """The words of each window as bits; words may share a bit, unknown ones have none."""
+    bits = np.where(w >= 0, np.uint64(1) << (w.astype(np.int64) % 64).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1)
+
+
+def common_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """common_words of each row of a and the same row of b."""
+    row = np.zeros((b.shape[1] + 1, len(a)), np.int16)
+    for x in a.T:
+        corner = row[0]
+        for k in range(b.shape[1]):
+            up = row[k + 1].copy()
+            row[k + 1] = np.where(x == b[:, k], corner + 1, np.maximum(up, row[k]))
+            corner = up
+    return row[-1]
+
+
 def common_words(a, b) -> int:
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)
@@ -225,46 +290,48 @@ def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str,
     word = np.vstack([latent * idf[:, None], np.zeros((1, latent.shape[1]))]).astype(np.float32)
     ids = np.concatenate([np.array([vocab.value[w] for w in ws]) for _, ws in block])
     off = np.cumsum([0, *[len(ws) for _, ws in block]])
-    step = STEP if near else 1
-    start = _windows(ids, off, size, 0, step)
+    start = _windows(ids, off, size, 0)
     owner = np.searchsorted(off, start, "right") - 1
     win, vec = _vectors(ids, start, word, size)
     order = np.argsort(vec[:, 0], kind="stable")
     telling = [{vocab.value[w] for w in ws if w.isdigit()} | set(sorted({vocab.value[w] for w in ws}, key=lambda k: (-idf[k], k))[:5]) for _, ws in block] if near else None
-    wire = sc.broadcast((word, win[order], vec[order], owner[order], [i for i, _ in block], telling))
     least = NEAR if near else SAME
+    wire = sc.broadcast((word, win[order], vec[order], owner[order], [i for i, _ in block], telling, _groups(vec[order], least) if near else None))
     unknown = size - int(np.ceil(COMMON * size)) if near else 0  # with more, the passage can't have enough words in common
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, win, vec, owner, item, telling = wire.value
+        word, win, vec, owner, item, telling, groups = wire.value
+        marks = _marks(win) if near else None
         for b in batches:
             ids, off = _flat(b)
-            start = _windows(ids, off, size, unknown, step)
+            start = _windows(ids, off, size, unknown)
             found: dict[tuple[int, int], int] = {}
+            told: dict[tuple[int, int], bool] = {}
             for at in range(0, len(start), 65_536):
                 s = start[at : at + 65_536]
                 w, v = _vectors(ids, s, word, size)
                 doc = np.searchsorted(off, s, "right") - 1
-                for i, j in _close(v, vec, least):
-                    if not near:
+                if not near:
+                    for i, j in _close(v, vec, least):
                         ok = (w[i] == win[j]).all(axis=1)
                         for d, o in set(zip(doc[i[ok]].tolist(), owner[j[ok]].tolist())):
                             found[d, o] = size
-                        continue
+                    continue
+                missing = ~_marks(w)
+                likely = ((i[ok], j[ok]) for i, j in _close_groups(v, vec, groups, least) if (ok := np.bitwise_count(marks[j] & missing[i]) <= unknown).any())
+                for i, j in _gathered(likely, 65_536):
                     shared = np.zeros(len(i), np.int64)  # bounds the common subsequence
                     for k in range(size):
                         shared += (w[i] == win[j, k][:, None]).any(axis=1)
                     ok = shared >= COMMON * size
-                    for a, c in zip(i[ok].tolist(), j[ok].tolist()):
-                        if found.get((int(doc[a]), int(owner[c])), 0) >= size - STEP:
-                            continue
-                        n = common_words(w[a].tolist(), win[c].tolist())
-                        pair = (int(doc[a]), int(owner[c]))
-                        if n >= COMMON * size and n > found.get(pair, 0):
-                            need = telling[pair[1]]
-                            have = set(ids[off[pair[0]] : off[pair[0] + 1]].tolist())
-                            if len(need & have) >= ANSWER * len(need):
-                                found[pair] = n
+                    i, j = i[ok], j[ok]
+                    common = common_lengths(w[i], win[j])
+                    ok = common >= COMMON * size
+                    for n, d, o in zip(common[ok].tolist(), doc[i[ok]].tolist(), owner[j[ok]].tolist()):
+                        if (d, o) not in told:
+                            told[d, o] = len(telling[o].intersection(ids[off[d] : off[d + 1]].tolist())) >= ANSWER * len(telling[o])
+                        if told[d, o] and (d, o) not in found:
+                            found[d, o] = n
             if found:
                 d, o = zip(*found)
                 yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(d)), pa.array([item[k] for k in o], i_arrow), pa.array(found.values(), pa.int32())], names=["d", "i", "n"])

@@ -67,3 +67,34 @@ def test_latent_space(spark):
 
 def test_common_words():
     assert common_words("abcbdab", "bdcaba") == 4 and common_words("", "a") == 0
+
+
+def test_near_at_every_position(spark):
+    """Runs of a passage's length at every offset of items and documents."""
+    rnd = random.Random(9)
+    vocab = [chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(90)]
+    items = [(i, " ".join(rnd.sample(vocab, 14))) for i in range(60)]
+    docs, want = [], set()
+    for i, t in items:
+        for k in range(3):
+            d = 3 * i + k
+            docs.append((d, " ".join([f"lead{d}"] * (d % 4) + t.split()[k : k + 12] + [f"tail{d}"] * 4)))
+            want.add((d, i))
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id"
+    assert want <= {(r.doc_id, r.item_id) for r in leaks(*args, near=True).collect()}
+
+
+def test_close_groups():
+    """The grouped search finds the pairs of the whole product."""
+    rnd = np.random.default_rng(3)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rnd.standard_normal((n, 4)).astype(np.float32))
+    x, y = unit(3000), unit(1500)
+    got = [(a, b) for i, j in leakage._close_groups(x, y, leakage._groups(y, 0.92), 0.92) for a, b in zip(i.tolist(), j.tolist())]
+    cosine = x @ y.T
+    assert len(got) == len(set(got)) and {*zip(*map(np.ndarray.tolist, np.nonzero(cosine >= 0.9201)))} <= set(got) <= {*zip(*map(np.ndarray.tolist, np.nonzero(cosine >= 0.9199)))}
+
+
+def test_common_lengths():
+    rnd = np.random.default_rng(5)
+    a, b = rnd.integers(0, 6, (200, 12)), rnd.integers(0, 6, (200, 12))
+    assert leakage.common_lengths(a, b).tolist() == [common_words(x, y) for x, y in zip(a.tolist(), b.tolist())]
