@@ -31,8 +31,8 @@ BLOCK_PASSAGES = 200_000
 SAME, NEAR = 0.999, 0.92
 #: For paraphrases: passages of items in a group of close ones, and the most groups.
 GROUP, MOST_GROUPS = 64, 1024
-#: For paraphrases: the share of a passage that the longest common subsequence holds, and of the item's telling words that the document has.
-COMMON, ANSWER = 0.75, 0.6
+#: For paraphrases: the share of a passage that the longest common subsequence holds, and of the telling words (numbers and the RARE rarest words), of the passage or of the item, that the document has.
+COMMON, ANSWER, RARE = 0.75, 0.6, 5
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -189,6 +189,16 @@ def _close_groups(x: np.ndarray, y: np.ndarray, groups: list[tuple[np.ndarray, n
                     yield o[k // len(part)], part[k % len(part)]
 
 
+def _telling(w: np.ndarray, idf: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which words of each window are numbers or among its RARE rarest."""
+    place = np.empty(len(idf), np.int64)
+    place[np.lexsort((np.arange(len(idf)), -idf))] = np.arange(len(idf))
+    r = place[w]
+    low = np.sort(r, axis=1)
+    nth = np.cumsum(np.c_[np.ones(len(w), bool), low[:, 1:] != low[:, :-1]], axis=1)
+    return number[w] | (r <= np.where(nth <= RARE, low, -1).max(axis=1, keepdims=True))
+
+
 def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same pairs in arrays of ``least`` rows or more, but for the last."""
     held, n = [], 0
@@ -253,7 +263,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
     Words are runs of letters and digits of the texts' consistent form. Passages are all windows of ``size`` words, of items
     and documents alike. Candidates are pairs of passages that are close in the latent space. Without ``near``: pairs that share
     a run of ``size`` words (n_words = size); equal passages have the cosine 1, so the search misses none. With ``near``: pairs whose longest common
-    subsequence has COMMON of a passage's words or more (n_words is the longest), where the document also has ANSWER of the item's numbers and rare words.
+    subsequence has COMMON of a passage's words or more (n_words is the longest), where the document also has ANSWER of the numbers and rare words of
+    the passage or of the whole item; equal passages need no more.
     Null and short texts leak nothing; repeated ids give one row; an empty table gives none. Word statistics and the latent space
     come from all documents. Items are searched in blocks, each with one pass over the documents' words.
     """
@@ -294,19 +305,19 @@ def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str,
     owner = np.searchsorted(off, start, "right") - 1
     win, vec = _vectors(ids, start, word, size)
     order = np.argsort(vec[:, 0], kind="stable")
-    telling = [{vocab.value[w] for w in ws if w.isdigit()} | set(sorted({vocab.value[w] for w in ws}, key=lambda k: (-idf[k], k))[:5]) for _, ws in block] if near else None
+    telling = [{vocab.value[w] for w in ws if w.isdigit()} | set(sorted({vocab.value[w] for w in ws}, key=lambda k: (-idf[k], k))[:RARE]) for _, ws in block] if near else None
+    tells = _telling(win[order], idf, np.array([w.isdigit() for w in names], bool)) if near else None
     least = NEAR if near else SAME
-    wire = sc.broadcast((word, win[order], vec[order], owner[order], [i for i, _ in block], telling, _groups(vec[order], least) if near else None))
+    wire = sc.broadcast((word, win[order], vec[order], owner[order], [i for i, _ in block], telling, tells, _groups(vec[order], least) if near else None))
     unknown = size - int(np.ceil(COMMON * size)) if near else 0  # with more, the passage can't have enough words in common
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, win, vec, owner, item, telling, groups = wire.value
+        word, win, vec, owner, item, telling, tells, groups = wire.value
         marks = _marks(win) if near else None
         for b in batches:
             ids, off = _flat(b)
             start = _windows(ids, off, size, unknown)
             found: dict[tuple[int, int], int] = {}
-            told: dict[tuple[int, int], bool] = {}
             for at in range(0, len(start), 65_536):
                 s = start[at : at + 65_536]
                 w, v = _vectors(ids, s, word, size)
@@ -327,10 +338,15 @@ def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str,
                     i, j = i[ok], j[ok]
                     common = common_lengths(w[i], win[j])
                     ok = common >= COMMON * size
-                    for n, d, o in zip(common[ok].tolist(), doc[i[ok]].tolist(), owner[j[ok]].tolist()):
-                        if (d, o) not in told:
-                            told[d, o] = len(telling[o].intersection(ids[off[d] : off[d + 1]].tolist())) >= ANSWER * len(telling[o])
-                        if told[d, o] and (d, o) not in found:
+                    i, j, common = i[ok], j[ok], common[ok]
+                    at_doc, have = -1, set()
+                    for k in np.argsort(doc[i], kind="stable").tolist():
+                        d, o, n = int(doc[i[k]]), int(owner[j[k]]), int(common[k])
+                        if (d, o) in found:
+                            continue
+                        if d != at_doc:
+                            at_doc, have = d, set(ids[off[d] : off[d + 1]].tolist())
+                        if n == size or any(len(x & have) >= ANSWER * len(x) for x in (set(win[j[k], tells[j[k]]].tolist()), telling[o])):
                             found[d, o] = n
             if found:
                 d, o = zip(*found)

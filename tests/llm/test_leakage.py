@@ -98,3 +98,15 @@ def test_common_lengths():
     rnd = np.random.default_rng(5)
     a, b = rnd.integers(0, 6, (200, 12)), rnd.integers(0, 6, (200, 12))
     assert leakage.common_lengths(a, b).tolist() == [common_words(x, y) for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_part_of_an_item(spark):
+    """A passage copied from a long item, word by word or with a word changed, whose telling words are elsewhere; but not one without its own number and rare words."""
+    common = "please count all of the open orders that were sent last week".split()
+    item = " ".join(common) + " " + " ".join(f"rare{i} {4000 + i}" for i in range(20))
+    docs = [(1, "so " + " ".join(common)), (2, " ".join(common).replace("open", "late")), (3, "unrelated text about the weather of last week and the orders of the day")]
+    docs += [(10 + i, " ".join(random.Random(i).choices(common, k=20))) for i in range(40)]
+    got = {r.doc_id: r.n_words for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"), "doc_id", "item_id", near=True).collect()}
+    assert 1 in got and 2 in got and 3 not in got
+    rank = np.array([1.0, 5, 4, 3, 2, 6, 7, 8])
+    assert leakage._telling(np.array([[0, 1, 1, 2, 3, 4, 5, 6], [0, 0, 0, 7, 7, 7, 1, 1]]), rank, np.arange(8) == 0).tolist() == [[True, True, True, True, True, False, True, True], [True] * 8]
