@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catalith.session import cut
+
 # Hops of an alternative path, paths looked at for a pair, and the flow.
 CUTOFF, MOST, EPSILON = 6, 64, 1e-9
 FLOW, LEAST_FLOW, LENGTH_PENALTY, TOP_PATHS = 0.8, 0.05, 0.1, 8
@@ -122,12 +124,16 @@ def join_paths(pairs: DataFrame, parts: DataFrame, ranked: DataFrame) -> DataFra
     return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= TOP_PATHS).withColumn("reliability", F.round("reliability", 4))
 
 
-def paths_within(pairs: DataFrame, source: str, hops: int = CUTOFF) -> DataFrame:
-    """path, cost of all simple paths from a table of at most ``hops`` joins, by one round of joins for each hop."""
+def paths_within(pairs: DataFrame, source: str | None = None, hops: int = CUTOFF) -> DataFrame:
+    """path, cost of all simple paths from a table (from every table, if none is given) of at most ``hops`` joins, by one round of joins for each hop."""
     both = pairs.select("u", "v", "weight").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    at = pairs.sparkSession.createDataFrame([(source, [source], 0.0)], "u string, path array<string>, cost double")
+    if source is None:
+        at = both.select("u").distinct().select("u", F.array("u").alias("path"), F.lit(0.0).alias("cost"))
+    else:
+        at = pairs.sparkSession.createDataFrame([(source, [source], 0.0)], "u string, path array<string>, cost double")
     out = None
     for _ in range(hops):
         at = at.join(both, "u").filter(~F.array_contains("path", F.col("v"))).select(F.col("v").alias("u"), F.array_append("path", F.col("v")).alias("path"), (F.col("cost") + F.col("weight")).alias("cost"))
+        at = cut(at)  # else each hop runs all hops before it again
         out = at if out is None else out.unionByName(at)
     return out.select("path", "cost")

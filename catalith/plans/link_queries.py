@@ -160,14 +160,23 @@ def rank_table_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return R.relative(scores).select("qid", "table_key", F.round("evidence", 5).alias("evidence"))
 
 
+def _joinable(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(M.relations(M.distinct_edges(_cat(spark, sf)), [k for k in M.JOIN_COST if k != "lineage"]))
+
+
 def paths_from_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All join paths of up to three hops from the first table that has a relation."""
-    pairs = cut(M.relations(M.distinct_edges(_cat(spark, sf)), [k for k in M.JOIN_COST if k != "lineage"]))
+    """All join paths of up to three hops from the first table that has a relation: the part of paths_from_tables that SQL checks."""
+    pairs = _joinable(spark, sf)
     first = pairs.agg(F.min("u").alias("u")).first()
     p = P.paths_within(pairs, first.u if first else "", 3)
     return p.select(F.array_join("path", " > ").alias("path"), F.round("cost", 4).alias("cost"))
 
 
+def paths_from_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """All join paths from every table that has a relation, up to the operator's cutoff."""
+    return P.paths_within(_joinable(spark, sf)).select(F.array_join("path", " > ").alias("path"), F.round("cost", 4).alias("cost"))
+
+
 def link_tables(spark: SparkSession, sf: str) -> DataFrame:
     return K.link(questions(spark, sf), catalog_objects(spark, sf)).tables.select("qid", "table_key", F.round("score", 6).alias("score"), "anchor")
 
@@ -192,7 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexical_postings": lexical_postings, "lexical_idf": lexical_idf, "lexical_hubs": lexical_hubs, "lexical_values": lexical_values,
     "seeds_tokens": seeds_tokens, "seeds_names": seeds_names, "activation": activation, "bm25f": bm25f, "fused": fused,
     "rank_specificity": rank_specificity, "rank_transition": rank_transition, "rank_pagerank": rank_pagerank, "rank_table_evidence": rank_table_evidence,
-    "paths_from_table": paths_from_table, "link_tables": link_tables, "link_ddl": link_ddl, "embedding_nearest": embedding_nearest,
+    "paths_from_table": paths_from_table, "paths_from_tables": paths_from_tables, "link_tables": link_tables, "link_ddl": link_ddl, "embedding_nearest": embedding_nearest,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)

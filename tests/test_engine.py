@@ -166,3 +166,20 @@ def test_saved_scoped_and_other_rankers(spark, tmp_path):
     for o in (LinkOptions(ranker="bm25", bm25="bm25+"), LinkOptions(ranker="ppr", schema_routing=0.3), LinkOptions(bm25="lucene", seed_sparse=True)):
         got = [r.table_key for r in f.link(["colour of each customer"], o).tables.orderBy(F.desc("score")).collect()]
         assert "public.customer" in got[:2]
+
+
+def test_paths_from_every_table(spark):
+    """All simple paths of up to CUTOFF hops, against plain search: a ring of eight with a chord and a part of its own."""
+    ring = [(f"t{i}", f"t{(i + 1) % 8}", 1.0 + i / 8) for i in range(8)] + [("t0", "t4", 2.5), ("x", "y", 1.3)]
+    g = P.neighbours(ring)
+    want, todo = {}, [((n,), 0.0) for n in g]
+    while todo:
+        path, cost = todo.pop()
+        for v, w in g[path[-1]].items():
+            if v not in path and len(path) <= P.CUTOFF:
+                want[*path, v] = cost + w
+                todo.append(((*path, v), cost + w))
+    rows = P.paths_within(spark.createDataFrame(ring, "u string, v string, weight double")).collect()
+    got = {tuple(r.path): r.cost for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[p] - c) < 1e-9 for p, c in want.items())
+    assert max(map(len, got)) == P.CUTOFF + 1 and {p[0] for p in got} == set(g)
