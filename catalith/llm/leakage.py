@@ -263,7 +263,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
     Words are runs of letters and digits of the texts' consistent form. Passages are all windows of ``size`` words, of items
     and documents alike. Candidates are pairs of passages that are close in the latent space. Without ``near``: pairs that share
     a run of ``size`` words (n_words = size); equal passages have the cosine 1, so the search misses none. With ``near``: pairs whose longest common
-    subsequence has COMMON of a passage's words or more (n_words is the longest), where the document also has ANSWER of the numbers and rare words of
+    subsequence has COMMON of a passage's words or more (n_words is the longest of the passages that pass), where the document also has ANSWER of the numbers and rare words of
     the passage or of the whole item; equal passages need no more.
     Null and short texts leak nothing; repeated ids give one row; an empty table gives none. Word statistics and the latent space
     come from all documents. Items are searched in blocks, each with one pass over the documents' words.
@@ -340,9 +340,9 @@ def _search(docs: DataFrame, block: list[tuple], counts, doc_id: str, text: str,
                     ok = common >= COMMON * size
                     i, j, common = i[ok], j[ok], common[ok]
                     at_doc, have = -1, set()
-                    for k in np.argsort(doc[i], kind="stable").tolist():
+                    for k in np.lexsort((-common, doc[i])).tolist():
                         d, o, n = int(doc[i[k]]), int(owner[j[k]]), int(common[k])
-                        if (d, o) in found:
+                        if found.get((d, o), 0) >= n:
                             continue
                         if d != at_doc:
                             at_doc, have = d, set(ids[off[d] : off[d + 1]].tolist())

@@ -110,3 +110,18 @@ def test_part_of_an_item(spark):
     assert 1 in got and 2 in got and 3 not in got
     rank = np.array([1.0, 5, 4, 3, 2, 6, 7, 8])
     assert leakage._telling(np.array([[0, 1, 1, 2, 3, 4, 5, 6], [0, 0, 0, 7, 7, 7, 1, 1]]), rank, np.arange(8) == 0).tolist() == [[True, True, True, True, True, False, True, True], [True] * 8]
+
+
+def test_n_words_is_the_longest(spark):
+    """A whole copy after poorer ones counts in full, however the documents lie in partitions."""
+    rnd = random.Random(2)
+    items = [(i, " ".join(rnd.sample([f"{a}{b}q" for a in "bcdfg" for b in "aeiouy"], 13))) for i in range(20)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        poor = [x for k, x in enumerate(w) if k not in (3, 6, 9)]
+        docs.append((i, " ".join(poor + ["stop"] * 4 + w + ["stop"] * 4 + poor)))
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for n in (1, 5):
+        got = {(r.doc_id, r.item_id): r.n_words for r in leaks(dd.repartition(n, "doc_id"), ii, "doc_id", "item_id", near=True).collect()}
+        assert [got.get((i, i)) for i, _ in items] == [12] * len(items)
