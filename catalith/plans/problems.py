@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalith.operators.drift import GENERATOR, run_files, schema_changes, unite
 from catalith.operators.hierarchy import hierarchy
 from catalith.operators.nested import shred
-from catalith.operators.orphans import catalog_orphans
+from catalith.operators.orphans import catalog_orphans, catalog_orphans_now
 from catalith.session import table
 
 
@@ -29,6 +29,11 @@ def p3_by_month(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("table_key", "ym", "status").agg(F.count("*").alias("n_refs"))
 
 
+def p3_current(spark: SparkSession, sf: str) -> DataFrame:
+    """The orphans as of now: tables with references and no source that lists them."""
+    return catalog_orphans_now(table(spark, sf, "snapshots"), table(spark, sf, "join_hints"))
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return run_files(table(spark, sf, "spider2_exec_legacy"), table(spark, sf, "spider2_exec_mix"), table(spark, sf, "spider2_exec_mix_candidates"))
 
@@ -46,7 +51,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p3_current": p3_current, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}
 
 #: The key of a text column in DuckDB, and the references with their state.
 _KEY = "array_to_string([lower(trim(translate(s, '\"`[]', ''))) for s in string_split({0}, '.')], '.')"
@@ -121,6 +126,11 @@ SQL: dict[str, str] = {
         WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND NOT (json_type(v) = 'VARCHAR' AND regexp_matches(v->>'$', '^\\s*[{\\[]') AND json_valid(v->>'$'))""",
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_table, CAST(ref_id AS BIGINT) AS ref_id, CAST(pos AS INTEGER) AS pos, side, status, ym FROM orphan",
     "p3_by_month": _ORPHANS + "SELECT table_key, ym, status, count(*) AS n_refs FROM (SELECT DISTINCT table_key, ref_table, ref_id, pos, side, status, ym FROM orphan) GROUP BY ALL",
+    "p3_current": _ORPHANS + """, last_build AS (SELECT snap_id, source, built_at FROM span WHERE until IS NULL),
+        live AS (SELECT DISTINCT l.table_key FROM listed l JOIN last_build b USING (snap_id, source)),
+        held AS (SELECT r.* FROM ref r WHERE r.t IS NOT NULL AND (r.ref_table = 'join_hints' OR r.ref_id IN (SELECT snap_id FROM last_build)))
+        SELECT table_key, count(*) AS n_refs, CASE WHEN b.first_at IS NULL THEN 'missing' ELSE 'deleted' END AS status
+        FROM held h LEFT JOIN born b USING (table_key) WHERE table_key NOT IN (SELECT table_key FROM live) GROUP BY table_key, b.first_at""",
     "p6_found": """
         WITH RECURSIVE lines AS (
           SELECT run_id, instance_id, lower(trim(id)) AS id, nullif(lower(trim(parent_id)), '') AS parent, line_no

@@ -8,9 +8,11 @@ from catalith.engine import Engine
 from catalith.operators import candidates as C
 from catalith.operators import lexical as L
 from catalith.operators import paths as P
+from catalith.operators import orphans as O
 from catalith.operators import ranking as R
 from catalith.plans.link import LinkOptions
 from catalith.streaming import feed
+import json
 import sys
 
 sys.path.insert(0, __file__.rpartition("/")[0])
@@ -153,6 +155,23 @@ def test_snapshot_feed(spark, tmp_path):
     assert {(r.source, r.snap_id) for r in feed.current(spark, f"{tmp_path}/out").collect()} == {("s", 2), ("t", 3)}
 
 
+def test_feed_counts(spark, tmp_path):
+    """The counts that batches move on are those that a full count gives."""
+    snap = lambda i, s, day, tables, edges: (i, s, f"2030-01-{day:02} 00:00:00", json.dumps({"tables": [{"name": t} for t in tables], "edges": [{"from_table": a, "to_table": b} for a, b in edges]}))
+    rows = [snap(1, "s", 1, "ab", ["ab", "az"]), snap(2, "s", 3, "bc", ["by", "bc"]), snap(3, "t", 2, "a", ["ax"]), snap(4, "t", 4, "", []), snap(5, "u", 1, "y", ["yy"])]
+    df = spark.createDataFrame(rows, "snap_id long, source string, built_at string, payload string").withColumn("built_at", F.to_timestamp("built_at"))
+    none = spark.createDataFrame([], "id int, from_table string, to_table string, created_at timestamp")
+    for n, ids in enumerate(([1, 3], [2], [1], [4, 5])):
+        batch = df.filter(F.col("snap_id").isin(ids))
+        for _ in range(2):  # a batch that is run again changes nothing
+            feed.merge_into(spark, batch, str(tmp_path), n)
+    whole = O.key_counts(*O.catalog_references(df, none))
+    got = feed.counts(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in whole.collect()}
+    assert {tuple(r) for r in O.orphans_now(got).collect()} == set()
+    assert {r.table_key: (r.n_refs, r.status) for r in O.catalog_orphans_now(df.filter("snap_id < 4"), none).collect()} == {"x": (1, "missing"), "y": (1, "missing")}
+
+
 def test_saved_scoped_and_other_rankers(spark, tmp_path):
     e = Engine(spark)
     e.add("ddl", "one", text="create table orders (id int primary key, customer_id int references customer(id)); create table customer (id int primary key, colour text)", priority=3)
