@@ -17,8 +17,6 @@ from difflib import SequenceMatcher
 VALUE, NAME, TYPE = 0.6, 0.25, 0.15
 #: Residual at which the flow has converged, and the most rounds.
 RESIDUAL, ROUNDS = 1e-4, 100
-#: Up to so many pairs under one pair of holders all are looked at; beyond, those with an equal value or name.
-ALL_PAIRS = 1024
 
 
 def kind_of(v) -> str | None:
@@ -71,18 +69,7 @@ def pairs_to_flood(old: dict, new: dict) -> dict[tuple[str, str], list[tuple[str
         gone = [p for k, p in names_a.items() if k not in names_b]
         come = [p for k, p in names_b.items() if k not in names_a]
         kids = [(p, names_b[k]) for k, p in names_a.items() if k in names_b]
-        if len(gone) * len(come) <= ALL_PAIRS:
-            kids += [(p, q) for p in gone for q in come]
-        else:
-            near = set()
-            for key in (lambda p, m: value_key(m[p][1]), lambda p, m: _name(p)):
-                left, right = defaultdict(list), defaultdict(list)
-                for p in gone:
-                    left[key(p, old)].append(p)
-                for q in come:
-                    right[key(q, new)].append(q)
-                near |= {(left[k][0], right[k][0]) for k in left if k is not None and len(left[k]) == len(right.get(k, ())) == 1}
-            kids += sorted(near)
+        kids += [(p, q) for p in gone for q in come]
         graph[a, b] = kids
         todo += [(p, q) for p, q in kids if isinstance(old[p][1], dict) and isinstance(new[q][1], dict)]
     return graph
@@ -119,9 +106,9 @@ def flood(old: dict, new: dict) -> dict[tuple[str, str], float]:
     return sim
 
 
-def correspondences(old: dict, new: dict) -> dict[str, str]:
-    """old path -> new path, one to one: the most similar pairs first, members only under holders that correspond; equal paths always correspond."""
-    sim = flood(old, new)
+def correspondences(old: dict, new: dict, sim: dict[tuple[str, str], float] | None = None) -> dict[str, str]:
+    """old path -> new path, one to one: the most similar pairs first, members only under holders that correspond; equal paths always correspond. sim: the flooded similarities, if they are at hand."""
+    sim = flood(old, new) if sim is None else sim
     out, taken = {p: p for p in old if p in new}, {p for p in new if p in old}
     for (p, q), _ in sorted(sim.items(), key=lambda x: (old[x[0][0]][0].count("/"), -x[1], x[0])):
         at, to = old[p][0], new[q][0]

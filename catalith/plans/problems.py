@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.operators.drift import GENERATOR, run_files, schema_changes, unite
+from catalith.operators.drift import GENERATOR, compare_files, matches, run_files, schema_changes, unite, united_names
 from catalith.operators.hierarchy import hierarchy
 from catalith.operators.nested import shred
 from catalith.operators.orphans import catalog_orphans, catalog_orphans_now
-from catalith.session import table
+from catalith.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,12 +46,29 @@ def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
     return unite(_runs(spark, sf), GENERATOR)
 
 
+def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """What flooding matched: two paths, how often, their mean similarity, and the columns of p4_runs that they are in."""
+    files = cut(_runs(spark, sf))
+    names = united_names(files)
+    m = matches(compare_files(files, True)).withColumn("similarity", F.round("similarity", 4))
+    for side in "ab":
+        m = m.join(names.select(F.col("path").alias(side), F.col("name").alias(f"column_{side}")), side, "left")
+    return m.select("a", "b", "n", "similarity", "column_a", "column_b")
+
+
+def p4_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """file_id, complete, n_values: how many values each row of p4_runs has. SQL counts the members that are no object in the files themselves: nothing may be lost or doubled."""
+    u = p4_runs(spark, sf)
+    own = [c for c in u.columns if c not in ("file_id", "series", "at", "complete", GENERATOR)]
+    return u.select("file_id", "complete", sum((F.col(f"`{c}`").isNotNull().cast("long") for c in own), F.lit(0).cast("long")).alias("n_values"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "spider2_exec_mix_candidates")
     return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p3_current": p3_current, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p3_current": p3_current, "p4_found": p4_found, "p4_runs": p4_runs, "p4_matches": p4_matches, "p4_kept": p4_kept, "p6_found": p6_found}
 
 #: The key of a text column in DuckDB, and the references with their state.
 _KEY = "array_to_string([lower(trim(translate(s, '\"`[]', ''))) for s in string_split({0}, '.')], '.')"
@@ -108,6 +125,14 @@ SQL: dict[str, str] = {
           UNION ALL SELECT series, seq, 'added', '', path FROM came WHERE (series, seq, path) NOT IN (SELECT (series, seq, b) FROM ren)
           UNION ALL SELECT series, seq, 'type', path, path FROM last WHERE ty IS NOT NULL AND was IS NOT NULL AND ty <> was)
         SELECT file_id, change_kind, old_path, new_path FROM cases JOIN ok USING (series, seq)""",
+    "p4_kept": """
+        WITH RECURSIVE files AS (SELECT file_id, arg_max(config, (received_at, written_at)) AS config FROM (
+            SELECT file_id, received_at, written_at, coalesce(config, '') AS config FROM spider2_exec_legacy UNION ALL SELECT file_id, received_at, written_at, coalesce(config, '') FROM spider2_exec_mix) WHERE file_id IS NOT NULL GROUP BY file_id),
+        m AS (
+          SELECT file_id, false AS inner_, CAST(CASE WHEN json_valid(config) THEN config END AS JSON) AS v FROM files
+          UNION ALL SELECT file_id, true, CASE WHEN json_type(c) = 'VARCHAR' AND regexp_matches(c->>'$', '^\\s*[{\\[]') AND json_valid(c->>'$') THEN CAST(c->>'$' AS JSON) ELSE c END
+            FROM (SELECT file_id, unnest(map_values(CAST(v AS MAP(VARCHAR, JSON)))) AS c FROM m WHERE json_type(v) = 'OBJECT'))
+        SELECT f.file_id, json_valid(any_value(f.config)) AS complete, count(*) FILTER (inner_ AND json_type(v) NOT IN ('OBJECT', 'NULL')) AS n_values FROM files f JOIN m USING (file_id) GROUP BY f.file_id""",
     "p1_found": """
         WITH RECURSIVE raw AS (
           SELECT line_no, 'rubric' AS field, rubric AS x FROM spider2_exec_mix_candidates UNION ALL SELECT line_no, 'missing', missing FROM spider2_exec_mix_candidates

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from catalith.operators import flooding
-from catalith.operators.drift import GENERATOR, run_files, schema_changes, unite
+from catalith.operators.drift import GENERATOR, file_members, run_files, schema_changes, unite
 
 T0 = datetime(2031, 1, 1)
 FILES = "file_id long, series string, at timestamp, config string, extra string, extra_name string"
@@ -32,13 +32,16 @@ configs = st.recursive(st.dictionaries(st.sampled_from("abcdefg"), scalars, max_
 
 
 @settings(max_examples=400, deadline=None)
-@given(configs, configs, st.sampled_from([0, 1024]))
-def test_renames_are_those_of_the_definition(old, new, limit):
-    flooding.ALL_PAIRS, before = limit, flooding.ALL_PAIRS
-    try:
-        assert set(flooding.changes(old, new)) == plain(old, new)
-    finally:
-        flooding.ALL_PAIRS = before
+@given(configs, configs)
+def test_renames_are_those_of_the_definition(old, new):
+    assert set(flooding.changes(old, new)) == plain(old, new)
+
+
+def test_as_many_correspondences_as_members():
+    """However many members go and come under one holder, without an equal value or name among them."""
+    for n in (31, 33, 40):
+        old, new = flooding.members({f"old_{i}": i for i in range(n)}), flooding.members({f"fresh_{i}": f"v{i}" for i in range(n)})
+        assert len(flooding.correspondences(old, new)) == n
 
 
 def test_correspondences_follow_holders():
@@ -66,10 +69,23 @@ def test_united_table(spark):
     df = files(spark, '{"n": 1, "o": {"x": "p"}}', '{"n": 2, "o": {"y": "p"}}', '{"n": 2.5, "o": {"y": ["q"]}}', "5")
     rows = {r.file_id: r.asDict() for r in unite(df).collect()}
     assert [rows[i]["n"] for i in (1, 2, 3, 4)] == [1.0, 2.0, 2.5, None]
-    assert [rows[i]["o/y"] for i in (1, 2, 3)] == ["p", "p", json.dumps(["q"])]
+    assert [rows[i]["o/y"] for i in (1, 2, 3)] == ['["p"]', '["p"]', '["q"]']
     assert "o/x" not in rows[1]
     case = unite(files(spark, '{"k": 1, "K": "x", "at": "y", "a.b": 5, "`q`": true}')).first().asDict()
-    assert case["k~2"] == 1.0 and case["K"] == "x" and case["at~2"] == "y" and case["a.b"] == 5.0 and case["`q`"] == "true"
+    assert case["k~2"] == 1.0 and case["K"] == "x" and case["at~2"] == "y" and case["a.b"] == 5.0 and case["`q`"] is True
+
+
+def test_flooding_decides_the_columns(spark):
+    """No value is equal, so only names, types and neighbours can tell: the renamed holder takes its members along."""
+    df = files(spark, '{"agent": {"gen_model": "m1", "steps": 4, "early": "0.5"}}', '{"agent_config": {"gen_models": ["m2", "m3"], "steps": 5, "early": 0.7}}', '{"agent_config": "{\\"gen_models\\": 7, \\"steps\\": 6}", "note": "[cut"}')
+    rows = {r.file_id: r.asDict() for r in unite(df).collect()}
+    head = lambda end: next(k for k in rows[1] if k.endswith(end))
+    gen = head("gen_model") if any(k.endswith("gen_model") for k in rows[1]) else head("gen_models")
+    assert [rows[i][gen] for i in (1, 2, 3)] == ['["m1"]', '["m2","m3"]', "[7]"]
+    assert [rows[i][head("steps")] for i in (1, 2, 3)] == [4.0, 5.0, 6.0] and [rows[i][head("early")] for i in (1, 2, 3)] == [0.5, 0.7, None]
+    assert rows[3]["note"] == "[cut" and len(rows[1]) == 4 + 4
+    long = {(r.file_id, r.path): r.value for r in file_members(df).collect()}
+    assert long[3, "agent_config/steps"] == "6" and len(long) == 9
 
 
 def test_empty_and_repeated(spark):
