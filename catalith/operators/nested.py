@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions.jsontext import Incomplete, opened, parse
 from catalith.functions.worker import no_cycle_search
+from catalith.session import cut
 
 #: An object type with more different keys than this is a map: its keys are data and its entries are repeated.
 MAX_MEMBERS = 64
@@ -54,12 +55,13 @@ class Node:
         return self if self.deep >= MAX_DEPTH else self.kids.get(name) or Node(self.deep + 1)
 
     def fold(self, limit: int) -> None:
-        """Too many keys: they become data, and their types one."""
+        """Too many keys: they become data, and their types one. Folding early or late gives the same: keys only ever add up."""
         names = [k for k in self.kids if k not in (ITEM, ENTRY)]
-        if ENTRY in self.kids or len(names) > limit:
+        if ENTRY in self.kids or len(self.back.union(names)) > limit:
             into = self.kid(ENTRY)
             for k in names:
                 into.merge(self.kids.pop(k), limit)
+            self.back.clear()  # keys that are data name no types
 
     def merge(self, other: Node, limit: int) -> None:
         self.plain |= other.plain
@@ -85,30 +87,34 @@ _KIND = {bool: "boolean", str: "text", int: "number", float: "number"}
 
 
 def _observe(value, top: Node, field: str, limit: int) -> None:
-    """Adds a value's types to the graph. A member with the name of an element above it is that element again."""
+    """Adds a value's types to the graph. A member with the name of an element above it is that element again, also among the entries of a map, so that it doesn't matter when an object is found to be one."""
     todo = [(value, top, ((field, top),))]
     while todo:
         v, node, above = todo.pop()
         kids = node.kids
         if type(v) is dict:
+            deeper = []
             for k, c in v.items():
                 if type(c) is str and c[:1] in _OPENING and c:
                     c = opened(c)
                 if type(c) is dict or type(c) is list:
-                    if ENTRY in kids:
-                        todo.append((c, kids[ENTRY], above))
-                        continue
                     i = next((i for i, (name, _) in enumerate(above) if name == k), None)
-                    if i is not None:
-                        node.back.add(k)
-                        todo.append((c, above[i][1], above[: i + 1]))
+                    if i is None:
+                        deeper.append((c, k))
                     else:
-                        kid = node.kid(k)
-                        todo.append((c, kid, (*above, (k, kid))))
-                else:
-                    (kids.get(k) or node.kid(k if ENTRY not in kids else ENTRY)).plain = True
-            if len(kids) > limit:
+                        if ENTRY not in kids:
+                            node.back.add(k)
+                        todo.append((c, above[i][1], above[: i + 1]))
+                        continue
+                kid = kids.get(ENTRY) or node.kid(k)
+                if type(c) is not dict and type(c) is not list:
+                    kid.plain = True
+            if len(kids) + len(node.back) > limit:
                 node.fold(limit)
+            entry = kids.get(ENTRY)  # only now is it known for this object
+            for c, k in deeper:
+                kid = entry or kids[k]
+                todo.append((c, kid, (*above, (k, kid))))
         elif type(v) is list:
             item = node.kid(ITEM)
             for c in v:
@@ -164,14 +170,17 @@ def inlining(graph: dict[str, Node]) -> Plan:
 
 
 class Shredder:
-    """Rows of one text: (table, path, parent table, parent path, position, [(relative path, last step's length, kind, value)])."""
+    """Rows of one text: (table, path, parent table, parent path, slot, position, [(relative path, last step's length, kind, value)]).
+
+    The parent table and path are the foreign key; slot is the path, inside the parent row, of the object or list that
+    holds the row (None: the parent row's own), position the key or index in it: path = parent path / slot / position."""
 
     def __init__(self, plan: Plan):
         self.plan = plan
 
     def rows(self, value, field: str) -> list[list]:
         top = self.plan.graph.get(field) or Node()
-        first = [top.table or field, None, None, None, None, []]
+        first = [top.table or field, None, None, None, None, None, []]
         out = [first]
         slash = False
         todo = [(value, top, first, None, None, ((field, top),), 0)]
@@ -180,7 +189,7 @@ class Shredder:
             kind = type(v)
             if kind is dict:
                 entry = node.seen(ENTRY) if ENTRY in node.kids else None
-                held = row[5]
+                held = row[6]
                 for k, c in v.items():
                     if not k or "/" in k:
                         slash = True
@@ -190,14 +199,11 @@ class Shredder:
                     if kind is None:
                         if c is None:
                             continue
-                        if entry is not None:
-                            self._open(c, entry, row, _join(path, k), None, k, above, True, out, todo)
-                            continue
                         i = next((i for i, (name, _) in enumerate(above) if name == k), None)
-                        kid = node.seen(k) if i is None else above[i][1]
-                        self._open(c, kid, row, _join(path, k), _join(rel, k), k, (*above, (k, kid)) if i is None else above[: i + 1], False, out, todo)
+                        kid = above[i][1] if i is not None else node.seen(k) if entry is None else entry
+                        self._open(c, kid, row, _join(path, k), _join(rel, k), rel, k, (*above, (k, kid)) if i is None else above[: i + 1], entry is not None, out, todo)
                     elif entry is not None:
-                        out.append([entry.table or row[0] + ENTRY, _join(path, k), row[0], row[1], k, [(None, len(k), kind, _text(c))]])
+                        out.append([entry.table or row[0] + ENTRY, _join(path, k), row[0], row[1], rel, k, [(None, len(k), kind, _text(c))]])
                     else:
                         held.append((k if rel is None else f"{rel}/{k}", len(k), kind, c if kind == "text" else _text(c)))
             elif kind is list:
@@ -210,19 +216,19 @@ class Shredder:
                         k = str(i)
                         kind = _KIND.get(type(c))
                         if kind is None:
-                            self._open(c, kid, row, _join(path, k), None, k, above, True, out, todo)
+                            self._open(c, kid, row, _join(path, k), None, rel, k, above, True, out, todo)
                         else:
-                            out.append([name, _join(path, k), row[0], row[1], k, [(None, len(k), kind, _text(c))]])
+                            out.append([name, _join(path, k), row[0], row[1], rel, k, [(None, len(k), kind, _text(c))]])
             elif v is not None:
-                row[5].append((rel, last, _KIND[kind], _text(v)))
+                row[6].append((rel, last, _KIND[kind], _text(v)))
         return _once(out) if slash else out
 
     @staticmethod
-    def _open(c, kid: Node, row: list, path, rel, k: str, above: tuple, repeated: bool, out: list, todo: list) -> None:
+    def _open(c, kid: Node, row: list, path, rel, slot, k: str, above: tuple, repeated: bool, out: list, todo: list) -> None:
         """An object or list: a row of its own where its type has a table or it is repeated, else part of its holder's row."""
         name = kid.table or (row[0] + ENTRY if repeated else None)
         if name is not None:
-            row = [name, path, row[0], row[1], k, []]
+            row = [name, path, row[0], row[1], slot, k, []]
             out.append(row)
             rel = None
         todo.append((c, kid, row, path, rel, above, 0))
@@ -242,29 +248,39 @@ def _once(rows: list[list]) -> list[list]:
     seen = set()
     for r in rows:
         kept = []
-        for rel, last, kind, value in r[5]:
+        for rel, last, kind, value in r[6]:
             mark = (_join(r[1], rel), last)
             if mark not in seen:
                 seen.add(mark)
                 kept.append((rel, last, kind, value))
-        r[5] = kept
+        r[6] = kept
     return rows
 
 
 @dataclass
 class Shredded:
-    """rows: the rows of all tables. plan: which types have tables, and their members."""
+    """rows: the rows of all tables, each with its key (id, field, row_path) and the foreign key of its holder's row (id, field,
+    parent_row_path in parent_table). plan: which types have tables, and their members. Texts are read again wherever
+    ``rows`` are used: take ``kept`` or ``write`` for more than one table."""
 
     rows: DataFrame
     plan: Plan
     id_col: str
 
+    def kept(self) -> Shredded:
+        """The same with its rows written once."""
+        return Shredded(cut(self.rows), self.plan, self.id_col)
+
+    def write(self, folder: str) -> None:
+        """All tables in one pass: Parquet, one folder a table, so that a reader of one table opens its files only."""
+        self.rows.write.partitionBy("table").mode("overwrite").parquet(folder)
+
     def table(self, name: str) -> DataFrame:
-        """One flat table: line, field, row_path, the foreign key (parent_table, parent_path), the position or key in it, and its inlined columns, named v:path."""
+        """One flat table: line, field, row_path, the foreign key (parent_table, parent_row_path), slot and position in it, and its inlined columns, named v:path."""
         cols = sorted(self._columns(name))
         base = self.rows.filter(F.col("table") == name)
         value = lambda c: F.get(F.filter("vals", lambda v: F.coalesce(v["rel"], F.lit("")) == c), 0)["value"]
-        return base.select(self.id_col, "field", "row_path", "parent_table", "parent_row_path", "position", *[value(c).alias(f"v:{c}") for c in cols])
+        return base.select(self.id_col, "field", "row_path", "parent_table", "parent_row_path", "slot", "position", *[value(c).alias(f"v:{c}") for c in cols])
 
     def _columns(self, name: str) -> set[str]:
         out: set[str] = set()
@@ -289,18 +305,20 @@ class Shredded:
         return out
 
     def values(self) -> DataFrame:
-        """Every scalar: line, field, table, row_path, parent_path, path, kind, value."""
-        v = self.rows.filter(F.size("vals") > 0).select(self.id_col, "field", "table", "row_path", F.explode("vals").alias("v"))
+        """Every scalar: line, field, table, row_path, parent_path (of the object or list that holds it), path, kind, value.
+
+        A scalar that is a row of its own hangs where its foreign key and slot say; an inlined one under the rest of its path in its row."""
+        v = self.rows.filter(F.size("vals") > 0).select(self.id_col, "field", "table", "row_path", "parent_row_path", "slot", F.explode("vals").alias("v"))
         path = F.concat_ws("/", "row_path", F.col("v.rel"))
-        flat = v.select(self.id_col, "field", "table", "row_path", path.alias("path"), F.col("v.last").alias("last"), F.col("v.kind").alias("kind"), F.col("v.value").alias("value"))
-        return flat.select(self.id_col, "field", "table", "row_path", F.expr("substring(path, 1, greatest(length(path) - last - 1, 0))").alias("parent_path"), "path", "kind", "value")
+        holder = F.when(F.col("v.rel").isNull(), F.concat_ws("/", "parent_row_path", "slot")).otherwise(F.concat_ws("/", "row_path", F.expr("CASE WHEN length(v.rel) > v.last THEN substring(v.rel, 1, length(v.rel) - v.last - 1) END")))
+        return v.select(self.id_col, "field", "table", "row_path", holder.alias("parent_path"), path.alias("path"), F.col("v.kind").alias("kind"), F.col("v.value").alias("value"))
 
 
 def schema_graph(df: DataFrame, fields: list[str], max_members: int = MAX_MEMBERS) -> dict[str, Node]:
     """The types of all complete JSON texts of all rows, built in each task, merged in groups and then on the driver.
 
-    What a task or group sends is bounded by ``max_members``: larger objects are folded to maps, which
-    doesn't depend on how the rows lie."""
+    What a task or group sends is bounded by ``max_members``: larger objects are folded to maps. The graph
+    is the same however the rows lie in tasks."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = {f: Node() for f in fields}
@@ -323,7 +341,7 @@ def schema_graph(df: DataFrame, fields: list[str], max_members: int = MAX_MEMBER
                 tops[f].merge(Node.load(x), max_members)
         return tops
 
-    def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"graph": [json.dumps({f: t.dump() for f, t in merged(pdf["graph"]).items()})]})
 
     parts = df.select(*fields).mapInArrow(observe, "graph string").withColumn("g", F.spark_partition_id() % MERGE_GROUPS)
@@ -369,17 +387,17 @@ def shred(df: DataFrame, id_col: str, fields: list[str], max_members: int = MAX_
                     take.append(i)
                     field.append(f)
                     rows.append(r)
-                    flat.extend(r[5])
+                    flat.extend(r[6])
                     bounds.append(len(flat))
         if not rows:
             return None
-        cols = list(zip(*[r[:5] for r in rows]))
+        cols = list(zip(*[r[:6] for r in rows]))
         rel, last, kind, value = zip(*flat) if flat else ((), (), (), ())
         items = pa.StructArray.from_arrays([pa.array(rel, pa.string()), pa.array(last, pa.int32()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=["rel", "last", "kind", "value"])
         return pa.RecordBatch.from_arrays(
             [b.column(id_col).take(pa.array(take)), pa.array(field), *[pa.array(c, pa.string()) for c in cols], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items).cast(vals)],
-            names=[id_col, "field", "table", "row_path", "parent_table", "parent_row_path", "position", "vals"],
+            names=[id_col, "field", "table", "row_path", "parent_table", "parent_row_path", "slot", "position", "vals"],
         )
 
-    schema = f"`{id_col}` {id_type}, field string, `table` string, row_path string, parent_table string, parent_row_path string, position string, vals array<struct<rel: string, last: int, kind: string, value: string>>"
+    schema = f"`{id_col}` {id_type}, field string, `table` string, row_path string, parent_table string, parent_row_path string, slot string, position string, vals array<struct<rel: string, last: int, kind: string, value: string>>"
     return Shredded(df.select(id_col, *fields).mapInArrow(run, schema), plan, id_col)

@@ -19,6 +19,21 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return shred(c, "line_no", ["rubric", "missing", "findings"]).values().select("line_no", "field", "parent_path", "path")
 
 
+def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of all flat tables: key (line_no, field, row_path), table, foreign key (parent_table, parent_row_path), where in the parent row it hangs, and the inlined values by path."""
+    rows = shred(table(spark, sf, "spider2_exec_mix_candidates"), "line_no", ["rubric", "missing", "findings"]).rows
+    own = F.map_from_entries(F.transform("vals", lambda v: F.struct(F.coalesce(v["rel"], F.lit("")), v["value"])))
+    return rows.select("line_no", "field", F.coalesce("row_path", F.lit("")).alias("row_path"), F.col("table").alias("table_name"), "parent_table", F.when(F.col("parent_table").isNotNull(), F.coalesce("parent_row_path", F.lit(""))).alias("parent_row_path"), "slot", "position", F.to_json(own).alias("inlined"))
+
+
+def p1_links(spark: SparkSession, sf: str) -> DataFrame:
+    """table_name, parent_table, n_rows, n_lost: how many rows hang on which table, and how many of their foreign keys meet no row (none may)."""
+    rows = cut(p1_tables(spark, sf).select("line_no", "field", "row_path", "table_name", "parent_table", "parent_row_path"))
+    held = rows.select("line_no", "field", F.col("row_path").alias("parent_row_path"), F.col("table_name").alias("parent_table"), F.lit(1).alias("there")).distinct()
+    linked = rows.join(held, ["line_no", "field", "parent_row_path", "parent_table"], "left")
+    return linked.groupBy("table_name", "parent_table").agg(F.count("*").alias("n_rows"), F.count_if(F.col("parent_table").isNotNull() & F.col("there").isNull()).alias("n_lost"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     out = catalog_orphans(table(spark, sf, "snapshots"), table(spark, sf, "join_hints"))
     return out.select("ref_table", "ref_id", "pos", "side", "status", "ym").distinct()
@@ -68,7 +83,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_by_month": p3_by_month, "p3_current": p3_current, "p4_found": p4_found, "p4_runs": p4_runs, "p4_matches": p4_matches, "p4_kept": p4_kept, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_links": p1_links, "p3_found": p3_found, "p3_by_month": p3_by_month, "p3_current": p3_current, "p4_found": p4_found, "p4_runs": p4_runs, "p4_matches": p4_matches, "p4_kept": p4_kept, "p6_found": p6_found}
 
 #: The key of a text column in DuckDB, and the references with their state.
 _KEY = "array_to_string([lower(trim(translate(s, '\"`[]', ''))) for s in string_split({0}, '.')], '.')"

@@ -34,9 +34,11 @@ def local(values, limit=nested.MAX_MEMBERS):
     for v in values:
         got = []
         for r in sh.rows(opened(v), "f"):
-            for rel, last, _, _ in r[5]:
-                path = nested._join(r[1], rel) or ""
-                got.append((path[: max(len(path) - last - 1, 0)], path))
+            if r[2] is not None:  # the foreign key, slot and position give the path
+                assert r[1] == nested._join(nested._join(r[3], r[4]), r[5])
+            for rel, last, _, _ in r[6]:
+                up = nested._join(r[3], r[4]) if rel is None else nested._join(r[1], rel[: len(rel) - last - 1] if len(rel) > last else None)
+                got.append((up or "", nested._join(r[1], rel) or ""))
         out.append(got)
     return out
 
@@ -52,6 +54,33 @@ def test_every_scalar_once(vs, limit):
         assert len(got) == len(set(got))
 
 
+names = st.recursive(st.none() | st.integers(), lambda c: st.lists(c, max_size=2) | st.dictionaries(st.sampled_from("abcdefgh"), c, max_size=6), max_leaves=25)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(names, min_size=1, max_size=6), st.sampled_from([1, 3, 5]), st.randoms())
+def test_schema_does_not_depend_on_the_tasks(vs, limit, rnd):
+    """One task, or any split of the values over tasks merged in any order, with objects at, below and above the limit of a map."""
+
+    def graph(tasks):
+        tops = []
+        for t in tasks:
+            tops.append(nested.Node())
+            for v in t:
+                nested._observe(v, tops[-1], "f", limit)
+        whole = nested.Node()
+        for t in tops:
+            whole.merge(nested.Node.load(t.dump()), limit)
+        return json.dumps(whole.dump(), sort_keys=True), nested.inlining({"f": whole}).names
+
+    want = graph([vs])
+    for _ in range(3):
+        some = vs[:]
+        rnd.shuffle(some)
+        at = sorted(rnd.randrange(len(some) + 1) for _ in range(2))
+        assert graph([some[: at[0]], some[at[0] : at[1]], some[at[1] :]]) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(values.map(json.dumps) | st.text(alphabet='{}[]",:1a \\n', max_size=12))
 def test_deep_parser_agrees(text):
@@ -74,7 +103,7 @@ def test_depth_is_no_limit():
     assert got[1].count("/") == 29999
 
 
-def test_tables_and_links(spark):
+def test_tables_and_links(spark, tmp_path):
     rows = [
         (1, '{"at": {"x": 1}, "list": [{"at": {"x": 2}, "n": null}, {"kids": [{"kids": []}, {"at": {"x": 3}}]}]}', "drop"),
         (2, '"{\\"at\\": {\\"x\\": 4}}"', "drop"), (3, '{"cut": ', None), (4, None, None), (5, "", None), (6, "[]", None), (7, "5", None), (8, "null", None),
@@ -88,4 +117,8 @@ def test_tables_and_links(spark):
     assert (1, "list/1/kids/1/at", "list/1/kids/1", "3") in at
     keys = {(r.line_no, r.row_path) for r in s.rows.collect()}
     assert all((r.line_no, r.parent_row_path) in keys for r in s.rows.collect() if r.parent_row_path is not None)
+    once = s.kept()
+    assert {r.parent_path for r in once.values().collect()} == {"", "at", "list/0/at", "list/1/kids/1/at"}
+    once.write(f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t/table=doc%3Aat").count() == 4
     assert nested.shred(df.filter("line_no < 0"), "line_no", ["doc"]).values().count() == 0
