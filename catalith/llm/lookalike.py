@@ -206,10 +206,8 @@ def consistent_forms(df: DataFrame, id_col: str, text_col: str, counts: Broadcas
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, form string")
 
 
-def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: rows whose texts are not equal but have one form. Null and empty texts make none.
-
-    Texts and forms are compared by 128-bit digests. Only forms with different texts are paired, class by class of equal texts; then the classes' members are joined on."""
+def _digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, f, t of the rows whose text is not null or empty and whose form other texts share: 128-bit digests of form and text. Written once."""
     counts = speller_for((df, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +225,28 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = cut(df.select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, f binary, t binary"))
     several = rows.groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("f")
-    some = cut(rows.join(several, "f", "left_semi"))
+    return cut(rows.join(several, "f", "left_semi"))
+
+
+def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: rows whose texts are not equal but have one form. Null and empty texts make none.
+
+    Only forms with different texts are paired, class by class of equal texts; then the classes' members are joined on. This
+    gives every pair: a form with many copies of several texts has many; ``lookalike_classes`` says the same in one row for each row."""
+    some = _digests(df, id_col, text_col)
     classes = some.select("f", "t").distinct()
     pairs = classes.select("f", F.col("t").alias("t1")).join(classes.select("f", F.col("t").alias("t2")), "f").filter("t1 < t2")
     left = some.select("f", F.col("t").alias("t1"), F.col("id").alias("x"))
     right = some.select("f", F.col("t").alias("t2"), F.col("id").alias("y"))
     out = pairs.join(left, ["f", "t1"]).join(right, ["f", "t2"]).filter("x <> y")
     return out.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+
+
+def lookalike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, text_id, n_texts, n_docs) of each row whose text looks like another, different one: the least id of all rows that
+    look so, the least id of those with just this text, and how many texts and rows look so. Grows with the rows, not with the pairs;
+    two rows are a pair if class_id is the same and text_id is not. Null and empty texts are in no class; a repeated id has one row for each text."""
+    some = _digests(df, id_col, text_col)
+    texts = some.groupBy("f", "t").agg(F.min("id").alias("text_id"), F.countDistinct("id").alias("n"))
+    forms = texts.groupBy("f").agg(F.min("text_id").alias("class_id"), F.count("*").alias("n_texts"), F.sum("n").alias("n_docs"))
+    return some.distinct().join(texts.select("f", "t", "text_id"), ["f", "t"]).join(forms, "f").select(F.col("id").alias(id_col), "class_id", "text_id", "n_texts", "n_docs")

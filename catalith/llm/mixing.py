@@ -26,7 +26,9 @@ from catalith.session import cut
 SAMPLE, FEATURES, SMOOTH, HELD_OUT = 20_000, 1 << 14, 0.1, 5
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 #: Projected gradient with momentum: the largest deviation of a share, or change of all deviations, that ends it, and the most rounds.
-CLOSE, STILL, ROUNDS = 1e-6, 1e-7, 120
+CLOSE, STILL, ROUNDS = 1e-6, 1e-7, 2000
+#: Rounds after which the documents' rates are written, so that no round repeats more than these.
+STATE = 25
 #: Sources with a target at most; they are held on the driver.
 MAX_SOURCES = 1000
 #: Parts of a use in the exact sums of rates.
@@ -42,14 +44,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def load_tokenizer(path: str):
-    """A byte-level BPE from a file of ranks."""
-    import public_tokenizers
+def load_tokenizer(path: str, pattern: str | None = None):
+    """A byte-level BPE from a file of ranks. pattern: how it splits words; without one, that of the folder of public vocabularies."""
     import tiktoken
 
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def source_name(c: Column) -> Column:
@@ -101,6 +107,7 @@ class Classifier:
     weight: np.ndarray  # features x classes
     temperature: float = 1.0
     accuracy: float = 0.0
+    held_out: int = 0
 
     def logits(self, features: list[int]) -> np.ndarray:
         return self.weight[features].sum(axis=0) * self.temperature + self.prior
@@ -138,33 +145,36 @@ def fit_classifier(labelled: DataFrame, classes: int, sample: int = SAMPLE) -> C
     tries = len(TEMPERATURES)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, memo, m = np.zeros(tries + 2), {}, wire.value
+        total, memo, m = np.zeros(2 * tries + 1), {}, wire.value
         for b in batches:
             for text, repo, author, k in zip(*[b.column(c).to_pylist() for c in ("text", "repo", "author", "k")]):
                 s = m.weight[_features(text, repo, author, memo)].sum(axis=0)
                 for i, temp in enumerate(TEMPERATURES):
                     x = s * temp + m.prior
                     total[i] += min(50.0, np.log(np.exp(x - x.max()).sum()) + x.max() - x[k])  # a source without samples costs much, not all
-                total[tries:] += (int(np.argmax(s + m.prior) == k), 1)
-        yield pa.RecordBatch.from_pydict({"i": np.arange(tries + 2), "x": total})
+                    total[tries + i] += int(np.argmax(x) == k)
+                total[-1] += 1
+        yield pa.RecordBatch.from_pydict({"i": np.arange(2 * tries + 1), "x": total})
 
     rows = draw.filter("held").select("text", "repo", "author", "k").mapInArrow(score, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    got = np.zeros(tries + 2)
+    got = np.zeros(2 * tries + 1)
     for r in rows:
         got[r.i] = r.x
-    model.temperature = TEMPERATURES[int(np.argmin(got[:tries]))] if got[-1] else 1.0
-    model.accuracy = got[-2] / got[-1] if got[-1] else 0.0
+    best = int(np.argmin(got[:tries]))
+    model.temperature = TEMPERATURES[best] if got[-1] else 1.0
+    model.accuracy, model.held_out = float(got[tries + best] / got[-1] if got[-1] else 0.0), int(got[-1])
     return model
 
 
-def memberships(docs: DataFrame, targets: Targets, doc_id: str, tokenizer: str) -> DataFrame:
-    """doc, tokens, k (the source, or the likeliest) and post (null where the source is known) of each document."""
+def memberships(docs: DataFrame, targets: Targets, doc_id: str, tokenizer: str) -> tuple[Classifier, DataFrame]:
+    """The classifier, and doc, tokens, k (the source, or the likeliest) and post (null where the source is known) of each document."""
     names = {s: k for k, s in enumerate(targets.names)}
     classes = len(names)
     known = F.create_map(*[x for s, k in names.items() for x in (F.lit(s), F.lit(k))])
     name = source_name(F.col("source"))
     rows = docs.select(F.col(doc_id).alias("doc"), "text", "repo", "author", F.when(name.isNotNull(), F.coalesce(F.try_element_at(known, name), F.lit(classes - 1))).alias("k"))
-    model = rows.sparkSession.sparkContext.broadcast(fit_classifier(rows.filter("k is not null"), classes))
+    fitted = fit_classifier(rows.filter("k is not null"), classes)
+    model = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, memo = load_tokenizer(tokenizer).encode_ordinary, {}
@@ -178,26 +188,38 @@ def memberships(docs: DataFrame, targets: Targets, doc_id: str, tokenizer: str)
                     k[i] = int(np.argmax(post[i]))
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(tokens, pa.int64()), pa.array(k, pa.int32()), pa.array(post, pa.list_(pa.float64()))], names=["doc", "tokens", "k", "post"])
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tokens long, k int, post array<double>")
+    return fitted, rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tokens long, k int, post array<double>")
 
 
 @dataclass
 class Rates:
-    """steps: the scaled deviations of all rounds; a document's rate follows from them, its distribution and its cap. total: tokens of the whole mix."""
+    """steps: momentum and scaled deviations of all rounds; a document's rate follows from them, its distribution and its cap. total: tokens of the whole mix. converged: whether the rounds ended by themselves; deviation: the largest of a share from its goal then."""
 
     start: np.ndarray
-    steps: list[np.ndarray]
+    steps: list[tuple[float, np.ndarray]]
     cap: np.ndarray
     total: float
+    converged: bool = True
+    deviation: float = 0.0
 
-    def of(self, post: np.ndarray, k: np.ndarray, ahead: bool = False) -> np.ndarray:
-        """Rates of rows with distributions post and (likeliest) sources k; ahead: where their momentum takes them."""
+    def of(self, post: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Rates of rows with distributions post and (likeliest) sources k."""
         cap = self.cap[k]
-        r = was = np.minimum(post @ self.start, cap)
-        for t, s in enumerate(self.steps):
-            go = r + (r - was) * (t / (t + 3))
-            r, was = np.clip(go - post @ s, 0.0, cap), r
-        return r + (r - was) * (len(self.steps) / (len(self.steps) + 3)) if ahead else r
+        r = np.minimum(post @ self.start, cap)
+        return advance(post, r, r, cap, self.steps)[0]
+
+
+def advance(post: np.ndarray, r: np.ndarray, was: np.ndarray, cap: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates now and one round before after these rounds, from those before them."""
+    for momentum, s in steps:
+        r, was = np.clip(r + (r - was) * momentum - post @ s, 0.0, cap), r
+    return r, was
+
+
+def _posts(b: pa.RecordBatch, rows: np.ndarray | None = None) -> np.ndarray:
+    """The distributions of a batch (of some of its rows) as a matrix, without a Python object for each number."""
+    a = b.column("post") if rows is None else b.column("post").take(pa.array(rows))
+    return a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
 
 
 def solve_rates(members: DataFrame, targets: Targets, total_tokens: float | None = None) -> Rates:
@@ -205,10 +227,11 @@ def solve_rates(members: DataFrame, targets: Targets, total_tokens: float | None
 
     Minimises the squared deviations of the sources' expected tokens from their targets, each relative to what the source has, over rates
     between 0 and the cap of a document's source. Documents of one known source share a rate, so they are summed first; documents with a distribution are summed where it
-    is the same and stay distributed: a round sends each task the deviations so far and gets one number for each source back.
+    is the same and stay distributed with the rates of this round and the one before: a round sends each task the deviations since those rates were
+    written (every STATE rounds) and gets one number for each source back.
 
     Without ``total_tokens`` the whole mix is as large as the caps allow with all shares met; a larger one leaves sources at their caps short of their shares. The share of sources without tokens is spread evenly over the others,
-    which is the nearest that shares adding up to 1 can be."""
+    which is the nearest that shares adding up to 1 can be. The rounds end when the deviations are small or stand still; ``converged`` says whether they did within ROUNDS."""
     classes = len(targets.names)
     fixed = np.zeros(classes)
     for r in members.filter("post is null").groupBy("k").agg(F.sum("tokens").alias("n")).collect():
@@ -221,7 +244,7 @@ def solve_rates(members: DataFrame, targets: Targets, total_tokens: float | None
             total = np.zeros(classes)
             for b in batches:
                 if b.num_rows:
-                    total += f(np.array(b.column("post").to_pylist()), b.column("k").to_numpy(), b.column("n").to_numpy())
+                    total += f(b)
             yield pa.RecordBatch.from_pydict({"k": np.arange(classes), "x": total})
 
         out = np.zeros(classes)
@@ -229,7 +252,7 @@ def solve_rates(members: DataFrame, targets: Targets, total_tokens: float | None
             out[r.k] = r.x
         return out
 
-    have = fixed + add(lambda post, k, n: n @ post)
+    have = fixed + add(lambda b: b.column("n").to_numpy() @ _posts(b))
     usable = (have > 0) & (targets.cap > 0) & (targets.share > 0)
     if not usable.any():
         return Rates(np.zeros(classes), [], np.zeros(classes), 0.0)
@@ -240,18 +263,68 @@ def solve_rates(members: DataFrame, targets: Targets, total_tokens: float | None
     hard = usable & (goal > 0)
     total = float(total_tokens or (cap[hard] * have[hard] / goal[hard]).min())
     scale = np.where(have > 0, have / total, 1.0)
-    rates, before = Rates(np.minimum(goal / scale, cap), [], cap, total), None
+    rates, before = Rates(np.minimum(goal / scale, cap), [], cap, total, False), None
+    one = np.eye(classes)
+    kept = (np.minimum(one @ rates.start, cap), np.minimum(one @ rates.start, cap))
+    held = 0  # rounds that the written state has
+
+    def state(b: pa.RecordBatch, wire) -> tuple[np.ndarray, ...]:
+        start, steps, cap, at = wire.value
+        post, k = _posts(b), b.column("k").to_numpy()
+        if at:
+            r, was = b.column("r").to_numpy(), b.column("was").to_numpy()
+        else:
+            r = was = np.minimum(post @ start, cap[k])
+        return post, *advance(post, r, was, cap[k], steps)
+
+    t, cost = 0, np.inf  # rounds since the momentum was last taken away, and the squared deviations
     for _ in range(ROUNDS):
-        wire = sc.broadcast(rates)
-        now = (fixed * rates.of(np.eye(classes), np.arange(classes), True) + add(lambda post, k, n, wire=wire: (n * wire.value.of(post, k, True)) @ post)) / total
+        momentum = t / (t + 3)
+        wire = sc.broadcast((rates.start, rates.steps[held:], cap, held))
+
+        def expected(b: pa.RecordBatch, wire=wire, momentum=momentum) -> np.ndarray:
+            post, r, was = state(b, wire)
+            return (b.column("n").to_numpy() * (r + (r - was) * momentum)) @ post
+
+        if rates.steps:
+            kept = advance(one, *kept, cap, rates.steps[-1:])
+        now = (fixed * (kept[0] + (kept[0] - kept[1]) * momentum) + add(expected)) / total
         off = np.where(have > 0, now - goal, 0.0)
-        if np.abs(off).max() < CLOSE or before is not None and np.abs(off - before).max() < STILL:
+        rates.deviation = float(np.abs(off).max())
+        if rates.deviation < CLOSE or before is not None and np.abs(off - before).max() < STILL:
+            rates.converged = True
             break
         before = off
-        rates = Rates(rates.start, [*rates.steps, off / scale], cap, total)
+        rates.steps.append((momentum, off / scale))
+        worse = (off**2 / scale).sum() > cost
+        t, cost = 0 if worse else t + 1, (off**2 / scale).sum()
+        if len(rates.steps) - held == STATE:
+            wire = sc.broadcast((rates.start, rates.steps[held:], cap, held))
+
+            def write(batches: Iterator[pa.RecordBatch], wire=wire) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        _, r, was = state(b, wire)
+                        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("post", "k", "n")], pa.array(r), pa.array(was)], names=["post", "k", "n", "r", "was"])
+
+            soft, held = cut(soft.mapInArrow(write, "post array<double>, k int, n long, r double, was double")), len(rates.steps)
     return rates
 
 
+def _solved(docs: DataFrame, targets: DataFrame, doc_id: str, tokenizer: str | None, total_tokens: float | None) -> tuple[Targets, Classifier, DataFrame, Rates]:
+    wanted = current_targets(targets)
+    model, rows = memberships(docs, wanted, doc_id, tokenizer or default_tokenizer())
+    members = cut(rows)
+    return wanted, model, members, solve_rates(members, wanted, total_tokens)
+
+
+def mix_report(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tokenizer: str | None = None, total_tokens: float | None = None) -> DataFrame:
+    """One row on how a mix came about: accuracy of the classifier on held-out documents (null if there are none), its temperature, rounds, converged, the largest deviation of an expected share, and the tokens of the mix."""
+    _, model, _, rates = _solved(docs, targets, doc_id, tokenizer, total_tokens)
+    row = (model.accuracy if model.held_out else None, model.held_out, model.temperature, len(rates.steps), rates.converged, rates.deviation, rates.total)
+    return docs.sparkSession.createDataFrame([row], "accuracy double, held_out long, temperature double, rounds int, converged boolean, deviation double, total_tokens double")
+
+
 def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tokenizer: str | None = None, total_tokens: float | None = None) -> DataFrame:
     """doc_id, source, tokens, uses, post: how often each document is used.
 
@@ -259,9 +332,8 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tokenizer:
     none; (no target) where no target names it, which is never used. Of equal rows each counts. A document is used at most max_repeats times of its (likeliest) source; one without tokens, as with a
     null or empty text, not at all. Uses are the rates rounded along the documents of a source in order of size, so that its tokens come out within about one document. Empty tables give no rows, no targets no uses.
     """
-    wanted = current_targets(targets)
-    members = cut(memberships(docs, wanted, doc_id, tokenizer or default_tokenizer()))
-    rates = members.sparkSession.sparkContext.broadcast(solve_rates(members, wanted, total_tokens))
+    wanted, _, members, solved = _solved(docs, targets, doc_id, tokenizer, total_tokens)
+    rates = members.sparkSession.sparkContext.broadcast(solved)
     classes = len(wanted.names)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +346,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tokenizer:
             soft = np.flatnonzero(post.is_valid().to_numpy(zero_copy_only=False))
             if len(soft):
                 r = r.copy()
-                r[soft] = rates.value.of(np.array(post.take(pa.array(soft)).to_pylist()), k[soft])
+                r[soft] = rates.value.of(_posts(b, soft), k[soft])
             part = np.where(tokens > 0, np.round(r * UNIT), 0).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*b.schema.names, "part"])
 
@@ -290,8 +362,10 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, actual_share, tokens, n_docs of a mix: its tokens by source, those of documents without one by their distribution; n_docs by the likeliest."""
     wanted = current_targets(targets)
     used = mixed.filter("uses > 0").withColumn("n", F.col("tokens") * F.col("uses"))
-    parts = [F.struct(F.lit(s).alias("source"), F.coalesce(F.get("post", F.lit(k)), (F.col("source") == s).cast("double")).alias("p"), (F.col("source") == s).cast("long").alias("d")) for k, s in enumerate(wanted.names)]
-    by = used.select("n", F.explode(F.array(*parts)).alias("e")).groupBy("e.source").agg(F.sum(F.col("n") * F.col("e.p")).alias("tokens"), F.sum("e.d").alias("n_docs"))
+    known = used.groupBy("source").agg(F.sum(F.when(F.col("post").isNull(), F.col("n"))).cast("double").alias("tokens"), F.count("*").alias("n_docs"))
+    parts = F.array(*[F.struct(F.lit(s).alias("source"), F.get("post", F.lit(k)).alias("p")) for k, s in enumerate(wanted.names)])
+    soft = used.filter("post is not null").groupBy("post").agg(F.sum("n").alias("n")).select("n", F.explode(parts).alias("e")).groupBy("e.source").agg(F.sum(F.col("n") * F.col("e.p")).alias("tokens"), F.lit(0).cast("long").alias("n_docs"))
+    by = known.unionByName(soft).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n_docs").alias("n_docs"))
     spark = mixed.sparkSession
     goal = spark.createDataFrame([(s, float(x)) for s, x in zip(wanted.names, wanted.share)], "source string, target_share double")
     total = used.agg(F.sum("n")).first()[0] or 1

@@ -125,3 +125,24 @@ def test_n_words_is_the_longest(spark):
     for n in (1, 5):
         got = {(r.doc_id, r.item_id): r.n_words for r in leaks(dd.repartition(n, "doc_id"), ii, "doc_id", "item_id", near=True).collect()}
         assert [got.get((i, i)) for i, _ in items] == [12] * len(items)
+
+
+def test_recall_of_changed_passages(spark):
+    """Parts of items with every fifth, sixth or eighth word replaced, or with two neighbours swapped, among unrelated documents."""
+    rnd = random.Random(11)
+    vocab = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in "aeiou" for c in "kmnrt"]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randrange(30, 70)))) for i in range(60)]
+    docs, want = [(10_000 + i, " ".join(rnd.choices(vocab, k=60))) for i in range(100)], set()
+    for i, t in items:
+        for n, step in enumerate((5, 6, 8, 0)):
+            w = t.split()[:26]
+            w = [f"zq{rnd.randrange(10**6)}" if step and k % step == step - 1 else x for k, x in enumerate(w)]
+            if not step:
+                w[3], w[4], w[15], w[16] = w[4], w[3], w[16], w[15]
+            d = 4 * i + n
+            docs.append((d, " ".join(["before"] * (d % 3) + w)))
+            a, b = words(docs[-1][1]), words(t)
+            if any(common_words(a[x : x + 12], b[y : y + 12]) >= 9 for x in range(len(a) - 11) for y in range(len(b) - 11)):
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id", near=True).collect()}
+    assert len(want) > 200 and len(want & got) >= 0.9 * len(want)

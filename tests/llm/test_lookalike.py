@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from catalith.llm import lookalike
-from catalith.llm.lookalike import SPELLINGS, Speller, bigram_counts, consistent_forms, lookalike_pairs, plain
+from catalith.llm.lookalike import SPELLINGS, Speller, bigram_counts, consistent_forms, lookalike_classes, lookalike_pairs, plain
 
 
 def counts(text):
@@ -69,6 +69,10 @@ def test_pairs_and_counts(spark):
     want = {(a, b) for g in same for a in g for b in g if a < b and text[a] != text[b]}
     got = [tuple(r) for r in lookalike_pairs(df, "doc_id", "text").collect()]
     assert set(got) == want and len(got) == len(want)
+    cls = {r.doc_id: (r.class_id, r.text_id, r.n_texts, r.n_docs) for r in lookalike_classes(df, "doc_id", "text").collect()}
+    assert {(a, b) for a in cls for b in cls if a < b and cls[a][0] == cls[b][0] and cls[a][1] != cls[b][1]} == want
+    assert cls[3] == (1, 1, 3, 44) and cls[2] == (1, 2, 3, 44) and cls[11] == (10, 11, 2, 2) and len(cls) == 48
+    assert lookalike_classes(df.limit(0), "doc_id", "text").count() == 0
     forms = {r.doc_id: r.form for r in consistent_forms(df, "doc_id", "text").collect()}
     assert forms[5] is None and forms[6] == "" and forms[2] == "cat" and forms[11] == long
     assert lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0

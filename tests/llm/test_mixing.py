@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from catalith.llm import mixing
-from catalith.llm.mixing import Targets, current_targets, fit_classifier, mix, shares, solve_rates
+from catalith.llm.mixing import Targets, current_targets, fit_classifier, mix, mix_report, shares, solve_rates
 
 DOCS = "doc_id long, text string, source string, repo string, author string, uses string"
 TARGETS = "source string, target_share double, max_repeats int, set_at timestamp"
@@ -84,6 +84,26 @@ def test_rates_against_a_plain_solver(spark):
         assert cost < plain + 1e-5, total
 
 
+def test_state_and_convergence(spark, monkeypatch):
+    """However often the rates are written, the same rounds come out; a bound on the rounds is reported."""
+    rnd = np.random.default_rng(5)
+    t = Targets(["a", "b", mixing.OTHER], np.array([0.9, 0.1, 0]), np.array([1, 3, 0]))
+    posts = [rnd.dirichlet([0.5] * 3) for _ in range(200)]
+    df = spark.createDataFrame([(i, 10 + i % 7, int(p[:2].argmax()), p.tolist()) for i, p in enumerate(posts)], "doc long, tokens long, k int, post array<double>")
+    runs = []
+    for n in (9, 1000):
+        monkeypatch.setattr(mixing, "STATE", n)
+        runs.append(solve_rates(df, t))
+    assert len(runs[0].steps) == len(runs[1].steps) and runs[0].converged and all(np.allclose(a, b, atol=1e-12) for x, y in zip(runs[0].steps, runs[1].steps) for a, b in zip(x, y))
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    assert not solve_rates(df, t, 10_000.0).converged
+
+
+def test_report(docs, targets):
+    r = mix_report(docs, targets).first()
+    assert r.accuracy > 0.85 and r.held_out > 300 and r.converged and r.deviation < 0.02 and r.total_tokens > 0
+
+
 def test_empty(spark, docs, targets):
     assert mix(docs.limit(0), targets).count() == 0
     none = mix(docs, targets.limit(0))
