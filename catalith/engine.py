@@ -104,9 +104,11 @@ class Engine:
     def find_table(self, name: str) -> str | None:
         """The key of a table by its full name, else of the only one whose name ends so."""
         name = name.lower()
-        hit = self.objects.tables.filter((F.col("table_key") == name) | F.col("table_key").endswith(f".{name}")).select("table_key").limit(2).collect()
-        exact = [r.table_key for r in hit if r.table_key == name]
-        return exact[0] if exact else hit[0].table_key if len(hit) == 1 else None
+        t = self.objects.tables
+        if not t.filter(F.col("table_key") == name).isEmpty():
+            return name
+        hit = t.filter(F.col("table_key").endswith(f".{name}")).select("table_key").limit(2).collect()  # two are too many already
+        return hit[0].table_key if len(hit) == 1 else None
 
     def relations(self, a: str, b: str) -> DataFrame:
         return self.objects.edges.filter(((F.col("from_key") == a) & (F.col("to_key") == b)) | ((F.col("from_key") == b) & (F.col("to_key") == a)))
@@ -136,7 +138,11 @@ class Engine:
         q = questions if isinstance(questions, DataFrame) else self.spark.createDataFrame(list(enumerate(questions)), "qid int, text string")
         return K.link(q, self.objects, opts)
 
+    def explain(self, questions: list[str] | DataFrame, opts: K.LinkOptions | None = None) -> DataFrame:
+        """qid, what, place, name, score, why: the seeds, nodes and tables behind the links of each question."""
+        return K.explain(self.link(questions, opts))
+
     def ddl(self, question: str, opts: K.LinkOptions | None = None) -> str:
         q = self.spark.createDataFrame([(0, question)], "qid int, text string")
-        row = K.render(self.link(q, opts), q, self.objects, self.tables()).first()
+        row = K.render(self.link(q, opts), q, self.objects, self.tables(), (opts or K.LinkOptions()).render_samples).first()
         return row.ddl if row else ""

@@ -19,15 +19,14 @@ STOPWORDS = """
 """.split()
 
 # Short forms and what they stand for.
-ABBREVIATIONS = dict(
-    x.split(":")
-    for x in """
-    acct:account addr:address amt:amount avg:average cat:category cnt:count cust:customer dept:department desc:description
-    dim:dimension dt:date emp:employee fct:fact id:identifier inv:invoice loc:location mgr:manager no:number num:number
-    org:organization pct:percent prod:product qty:quantity stg:staging tbl:table ts:timestamp txn:transaction usr:user
-    yr:year mth:month grp:group cd:code nm:name ref:reference src:source agg:aggregate
-""".split()
-)
+ABBREVIATIONS = {
+    "acct": "account", "addr": "address", "amt": "amount", "avg": "average", "cat": "category", "cnt": "count",
+    "cust": "customer", "dept": "department", "desc": "description", "dim": "dimension", "dt": "date", "emp": "employee",
+    "fct": "fact", "id": "identifier", "inv": "invoice", "loc": "location", "mgr": "manager", "no": "number",
+    "num": "number", "org": "organization", "pct": "percent", "prod": "product", "qty": "quantity", "stg": "staging",
+    "tbl": "table", "ts": "timestamp", "txn": "transaction", "usr": "user", "yr": "year", "mth": "month",
+    "grp": "group", "cd": "code", "nm": "name", "ref": "reference", "src": "source", "agg": "aggregate",
+}
 
 # Weights of what is indexed, and of what a question says.
 NAME_WEIGHT, TAG_WEIGHT, BUSINESS_WEIGHT, DESC_WEIGHT, TERM_DESC_WEIGHT = 1.0, 0.5, 0.9, 0.35, 0.3
@@ -93,7 +92,7 @@ def name_tokens(name: Column) -> Column:
     return F.concat(tokens, F.flatten(long))
 
 
-def query_forms(tokens: Column) -> Column:
+def query_forms(tokens: Column, min_numeric: int = MIN_NUMERIC) -> Column:
     """(form, weight, why) of each question token: itself, its lemma, what it abbreviates and its short forms."""
     form = lambda f, w, why: F.struct(f.alias("form"), F.lit(w).alias("weight"), why.alias("why"))
 
@@ -107,5 +106,5 @@ def query_forms(tokens: Column) -> Column:
         )
         return F.filter(F.concat(own, short), lambda s: s["form"].isNotNull())
 
-    said = F.filter(tokens, lambda t: ~(t.rlike("^[0-9]+$") & (F.length(t) < MIN_NUMERIC)))
+    said = F.filter(tokens, lambda t: ~(t.rlike("^[0-9]+$") & (F.length(t) < min_numeric)))
     return F.flatten(F.transform(said, of))

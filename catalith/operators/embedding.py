@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from catalith.functions import text as X
+
 # Nearest objects of a phrase, the least cosine, and the weight of a seed.
 TOP_K, THRESHOLD, WEIGHT = 5, 0.5, 0.8
 #: Query vectors that are sent to the tasks at a time.
@@ -32,16 +34,15 @@ def nearest(queries: DataFrame, objects: DataFrame, qid: str, oid: str, vector:
     """qid, oid, cosine, place: the ``k`` most similar objects of each query, exactly; equal cosines by the smaller id.
 
     Queries go out in blocks of a bounded size, each against all objects; a task keeps the best k of its own rows for each query, only those
-    are shuffled. Null and empty vectors match nothing, a zero vector has the cosine 0 to all. Vectors of another length than the block's first are left out."""
+    are shuffled. Null and empty vectors match nothing, a zero vector has the cosine 0 to all. Vectors are compared with those of their length."""
     q_type, o_type = queries.schema[qid].dataType.simpleString(), objects.schema[oid].dataType.simpleString()
     q_arrow = to_arrow_type(queries.schema[qid].dataType)
     spark = queries.sparkSession
     out = spark.createDataFrame([], f"qid {q_type}, oid {o_type}, cosine double")
-    held: list[tuple] = []
+    held: dict[int, list[tuple]] = {}
 
     def against(rows: list[tuple]) -> DataFrame:
         size = len(rows[0][1])
-        rows = [r for r in rows if len(r[1]) == size]
         wire = spark.sparkContext.broadcast(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], float))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,17 +62,46 @@ def nearest(queries: DataFrame, objects: DataFrame, qid: str, oid: str, vector:
         return objects.select(F.col(oid).alias("o"), F.col(vector).alias("v")).mapInArrow(run, f"qid {q_type}, oid {o_type}, cosine double")
 
     for r in queries.select(qid, vector).toLocalIterator():
-        if r[1]:
-            held.append((r[0], r[1]))
-        if len(held) == block:
-            out, held = out.unionByName(against(held)), []
-    if held:
-        out = out.unionByName(against(held))
+        if r[1] and None not in r[1]:
+            own = held.setdefault(len(r[1]), [])
+            own.append((r[0], r[1]))
+            if len(own) == block:
+                out = out.unionByName(against(held.pop(len(r[1]))))
+    for own in held.values():
+        out = out.unionByName(against(own))
     w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "oid")
     return out.withColumn("place", F.row_number().over(w).cast("int")).filter(F.col("place") <= k)
 
 
-def embedding_seeds(phrases: DataFrame, objects: DataFrame) -> DataFrame:
-    """qid, node, weight: phrases(pid, qid, vector) and objects(node, vector); an object counts once for a question, by its closest phrase."""
-    near = nearest(phrases, objects, "pid", "node", "vector", TOP_K, THRESHOLD)
-    return near.join(phrases.select(F.col("pid").alias("p"), F.col("qid").alias("question")), near["qid"] == F.col("p")).groupBy(F.col("question").alias("qid"), F.col("oid").alias("node")).agg((WEIGHT * F.max("cosine")).alias("weight"))
+def embedding_seeds(phrases: DataFrame, objects: DataFrame, least: float = THRESHOLD, k: int = TOP_K, weight: float = WEIGHT) -> DataFrame:
+    """qid, node, weight, reason: phrases(pid, qid, phrase, vector) and objects(node, vector); an object counts once for a question, by its closest phrase (of equals the first)."""
+    near = nearest(phrases, objects, "pid", "node", "vector", k, least).select(F.col("qid").alias("p"), F.col("oid").alias("node"), "cosine")
+    own = near.join(phrases.select(F.col("pid").alias("p"), "qid", "phrase"), "p").groupBy("qid", "node").agg(F.min(F.struct(-F.col("cosine"), "p", "phrase")).alias("m"))
+    cosine = -F.col("m.col1")
+    return own.select("qid", "node", (weight * cosine).alias("weight"), F.concat(F.lit("embedding '"), "m.phrase", F.lit("' ("), F.format_string("%.2f", cosine), F.lit(")")).alias("reason"))
+
+
+# Phrases of a question at most, and from which length on the text after a blank line is a document of its own.
+MAX_PHRASES, QUESTION_PART = 80, 400
+
+
+def question_phrases(questions: DataFrame) -> DataFrame:
+    """pid, qid, phrase: the tokens of each question, then its n-grams with blanks, the first MAX_PHRASES different ones; short numbers say nothing."""
+    head = F.split_part(F.col("text"), F.lit("\n\n"), F.lit(1))
+    part = F.when(F.contains(F.col("text"), F.lit("\n\n")) & (F.length("text") > QUESTION_PART), head).otherwise(F.col("text"))
+    tokens = F.filter(X.tokenize(part), lambda t: ~(t.rlike("^[0-9]+$") & (F.length(t) < X.MIN_NUMERIC)))
+    said = questions.filter("text is not null").select("qid", tokens.alias("t"))
+    grams = F.transform(X.ngrams(F.col("t")), lambda g: F.replace(g, F.lit("_"), F.lit(" ")))
+    each = said.select("qid", F.posexplode(F.slice(F.array_distinct(F.concat("t", grams)), 1, MAX_PHRASES)).alias("n", "phrase"))
+    return each.select(F.concat(F.col("qid").cast("string"), F.lit(":"), F.format_string("%03d", "n")).alias("pid"), "qid", "phrase")
+
+
+def object_texts(o) -> DataFrame:
+    """node, text to embed of every table, column and term of Objects: names (a column's after its table's), other names, synonyms and description, as words."""
+    words = lambda c: F.array_join(X.tokenize(c, keep_stop=True), " ")
+    join = lambda *parts: F.regexp_replace(F.btrim(F.concat_ws(" ", *parts)), " +", " ")
+    other = words(F.array_join("business", " "))
+    t = o.tables.select("node", join(words(F.col("bare")), other, words(F.col("description"))).alias("text"))
+    c = o.columns.select("node", join(words(F.element_at(F.split("table_key", "\\."), -1)), words(F.col("name")), other, words(F.col("description"))).alias("text"))
+    k = o.terms.groupBy("node").agg(F.array_join(F.sort_array(F.collect_set("phrase")), " ").alias("p"), F.max("description").alias("d")).select("node", join(words(F.col("p")), words(F.col("d"))).alias("text"))
+    return t.unionByName(c).unionByName(k)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.names import table_key_col
+from catalith.session import cut, store
 from catalith.sources.snapshots import Catalog
 
 MAX_SAMPLES = 20
 # What a join over a relation costs, by its kind.
 JOIN_COST = {"foreign_key": 1.0, "relationship_test": 1.0, "join_hint": 1.0, "catalog_relation": 1.3, "lineage": 1.6, "inferred": 2.5}
 UNKNOWN_COST = 2.0
+AFFINITY = 1.0
 
 
 def _first(value: str, rank: Column, ok: Column) -> Column:
@@ -40,6 +43,27 @@ def merge_tables(cat: Catalog) -> DataFrame:
     return out.join(tags, "table_key", "left").withColumn("tags", F.coalesce(F.array_join("tags", ","), F.lit("")))
 
 
+def merge_properties(cat: Catalog) -> DataFrame:
+    """table_key, property, value: the union of the tables' properties, each as the most trusted source that has it says."""
+    p = cat.tables.select("table_key", F.struct("rank", "pos").alias("r"), F.explode("properties").alias("property", "value")).filter("value is not null")
+    return p.groupBy("table_key", "property").agg(F.min(F.struct("r", "value"))["value"].alias("value"))
+
+
+def primary_keys(cat: Catalog) -> DataFrame:
+    """table_key, primary_key: the columns that any source names as part of the table's key, in the order of their first listing, joined with commas."""
+    c = cat.columns.groupBy("table_key", "col").agg(F.bool_or("is_primary_key").alias("key"), F.min(F.struct("rank", "pos", "cpos")).alias("r")).filter("key")
+    return c.groupBy("table_key").agg(F.collect_list(F.struct("r", F.col("col").alias("v"))).alias("k")).select("table_key", F.array_join(_ordered("k"), ",").alias("primary_key"))
+
+
+def column_extras(cat: Catalog) -> DataFrame:
+    """table_key, col, tags (joined in the order of sources), business: the other name that a property gives a column."""
+    c = cat.columns.withColumn("r", F.struct("rank", "pos", "cpos"))
+    tags = c.select("table_key", "col", F.posexplode("tags").alias("tpos", "v"), "r").filter("v is not null").groupBy("table_key", "col", "v").agg(F.min(F.struct("r", "tpos")).alias("r")).groupBy("table_key", "col").agg(F.array_join(_ordered(F.collect_list(F.struct("r", "v"))), ",").alias("tags"))
+    name = F.nullif(F.try_element_at("properties", F.lit("business_name")), F.lit(""))
+    names = c.groupBy("table_key", "col").agg(F.min(F.when(name.isNotNull(), F.struct("r", name.alias("v"))))["v"].alias("business")).filter("business is not null")
+    return tags.join(names, ["table_key", "col"], "full")
+
+
 def merge_columns(cat: Catalog) -> DataFrame:
     """table_key, col, name, data_type, description, nullable, is_primary_key, samples, ord of each column of the merged tables; at most 20 samples, in order of sources; ord is the place of its first listing."""
     c = cat.columns.withColumn("r", F.struct("rank", "pos", "cpos"))
@@ -75,10 +99,10 @@ def cost(kind: Column) -> Column:
 
 
 def relations(edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """u, v, weight, n_relations: one row for each pair of tables with a relation, u < v; weight is the least join cost. kinds: only these."""
+    """u, v, weight, n_relations, affinity: one row for each pair of tables with a relation, u < v; weight is the least join cost, affinity (1 for every kind) what a walk goes by instead if asked. kinds: only these."""
     e = edges.filter("from_key <> to_key")
     e = e if kinds is None else e.filter(F.col("kind").isin(kinds))
-    return e.groupBy(F.least("from_key", "to_key").alias("u"), F.greatest("from_key", "to_key").alias("v")).agg(F.min(cost(F.col("kind"))).alias("weight"), F.count("*").alias("n_relations"))
+    return e.groupBy(F.least("from_key", "to_key").alias("u"), F.greatest("from_key", "to_key").alias("v")).agg(F.min(cost(F.col("kind"))).alias("weight"), F.count("*").alias("n_relations"), F.lit(AFFINITY).alias("affinity"))
 
 
 def lineage(edges: DataFrame) -> DataFrame:
@@ -135,11 +159,35 @@ def graph_stats(cat: Catalog) -> DataFrame:
     return out
 
 
-def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, component (its least node) over undirected pairs(u, v), by rounds of label joins with pointer jumping; rounds grow with the logarithm of the longest path."""
-    from catalith.session import cut
+#: Pairs that one task unites; more go by rounds of joins. The labels are the same.
+LOCAL_PAIRS = 2_000_000
+
+
+def components(pairs: DataFrame, nodes: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+    """node, component (its least node) over undirected pairs(u, v): in one task where there are few pairs, else by rounds of label joins with pointer jumping, which grow with the logarithm of the longest path."""
+    few = store(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
+    if few.count() <= local_pairs:
+
+        def unite(batches):
+            head: dict[str, str] = {}
+
+            def find(x: str) -> str:
+                while (y := head.setdefault(x, x)) != x:
+                    head[x] = head[y]
+                    x = y
+                return x
+
+            for b in batches:
+                for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                    x, y = find(u), find(v)
+                    if x != y:
+                        head[max(x, y)] = min(x, y)
+            names = list(head)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([find(x) for x in names], pa.string())], names=["node", "c"])
 
-    both = cut(pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+        held = few.coalesce(1).mapInArrow(unite, "node string, c string")
+        return nodes.join(held, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+    both = cut(few.unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = cut(nodes.select("node", F.col("node").alias("c")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("n"))

@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from math import ceil, log
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from catalith.functions import text as X
 from catalith.operators import lexical as L
 from catalith.operators import merge as M
-from catalith.session import cut
+from catalith.session import store
 
 # Edge weights of the graph, the damping, and the bonuses of direct evidence.
 CONTAINS, FK_COLUMN, GLOSSARY = 0.5, 0.8, 0.7
 ALPHA, TOLERANCE = 0.85, 1e-12
 TABLE_BONUS, COLUMN_BONUS, BONUS_CAP = 0.35, 0.10, 2.0
-#: Edges of a connected part that one task solves, for so many questions at a time; larger parts go by joins.
-LOCAL_EDGES, BLOCK = 2_000_000, 16
+#: Directed edges of a graph that is sent to the tasks, and the questions that one solves at a time: at most BLOCK, or BLOCK_CELLS scores. A larger graph goes by joins.
+LOCAL_EDGES, BLOCK, BLOCK_CELLS = 2_000_000, 32, 4_000_000
 
 
-def graph_edges(o: L.Objects, post: DataFrame) -> DataFrame:
-    """u, v, etype, weight: each undirected edge once, u < v."""
+def graph_edges(o: L.Objects, post: DataFrame, by: str = "weight") -> DataFrame:
+    """u, v, etype, weight: each undirected edge once, u < v. by: what relations weigh, their join cost (``weight``) or ``affinity``."""
     contains = o.columns.select(F.concat(F.lit("t:"), "table_key").alias("u"), F.col("node").alias("v"), F.lit("contains").alias("etype"), F.lit(CONTAINS).alias("weight"))
-    rel = M.relations(o.edges).select(F.concat(F.lit("t:"), "u").alias("u"), F.concat(F.lit("t:"), "v").alias("v"), F.lit("relation").alias("etype"), "weight")
+    rel = M.relations(o.edges).select(F.concat(F.lit("t:"), "u").alias("u"), F.concat(F.lit("t:"), "v").alias("v"), F.lit("relation").alias("etype"), F.col(by).alias("weight"))
     links = M.column_links(o.edges, o.columns)
     fk = links.select(F.concat(F.lit("c:"), "from_key", F.lit("."), "from_col").alias("u"), F.concat(F.lit("c:"), "to_key", F.lit("."), "to_col").alias("v"), F.lit("fk_col").alias("etype"), F.lit(FK_COLUMN).alias("weight"))
     gloss = o.targets.select(F.col("node").alias("u"), F.col("target").alias("v"), F.lit("glossary").alias("etype"), F.lit(GLOSSARY).alias("weight"))
@@ -50,89 +51,225 @@ def transition(edges: DataFrame) -> DataFrame:
     return both.join(mass, "u").select("u", "v", (F.col("weight") / F.col("mass")).alias("p"))
 
 
-def walk(src: np.ndarray, dst: np.ndarray, p: np.ndarray, start: np.ndarray, alpha: float = ALPHA, total: int | None = None) -> np.ndarray:
-    """Columns of stationary scores for the columns of ``start`` (teleports that add up to 1). Nodes without edges give their score back to the teleport."""
-    n = total or start.shape[0]
+def _layers(src: np.ndarray, dst: np.ndarray, p: np.ndarray, wide: int = 512) -> tuple:
+    """Edges into each node in layers: the k-th edge of every node that has so many. Edges into nodes with more than ``wide`` come apart."""
     order = np.argsort(dst, kind="stable")
     src, dst, p = src[order], dst[order], p[order][:, None]
     first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]) if len(dst) else np.zeros(0, np.int64)
-    dangling = np.ones(start.shape[0], bool)
-    dangling[src] = False
-    x = start.copy()
-    rounds = max(100, ceil(log(n * TOLERANCE / 2) / log(alpha)) + 1)
-    for _ in range(rounds):
-        y = np.zeros_like(x)
-        if len(dst):
-            y[dst[first]] = np.add.reduceat(x[src] * p, first, axis=0)
-        y = alpha * (y + start * x[dangling].sum(axis=0)) + (1 - alpha) * start
+    count = np.diff(np.r_[first, len(dst)])
+    few = np.flatnonzero(count <= wide)
+    few = few[np.argsort(-count[few], kind="stable")]
+    at, left = first[few], count[few]
+    layers = []
+    for k in range(int(left[0]) if len(left) else 0):
+        e = at[: np.searchsorted(-left, -k, "left")] + k
+        layers.append((src[e], p[e]))
+    many = [(dst[first[j]], src[first[j] : first[j] + count[j]], p[first[j] : first[j] + count[j]]) for j in np.flatnonzero(count > wide)]
+    return dst[first[few]] if len(few) else np.zeros(0, np.int64), layers, many
+
+
+def _step(layout: tuple, x: np.ndarray) -> np.ndarray:
+    """What each node gets from its neighbours, for all columns of x."""
+    nodes, layers, many = layout
+    y = np.zeros_like(x)
+    got = np.zeros((len(nodes), x.shape[1]))
+    for src, p in layers:
+        got[: len(src)] += x[src] * p
+    y[nodes] = got
+    for node, src, p in many:
+        y[node] = (x[src] * p).sum(axis=0)
+    return y
+
+
+def walk(layout: tuple, start: np.ndarray, n: int, alpha: float = ALPHA) -> np.ndarray:
+    """Columns of stationary scores for the columns of ``start`` (teleports that add up to 1), by Chebyshev's iteration.
+
+    The score that nodes without edges give back to the teleport only scales a column, so columns are scaled to 1 at the end. The
+    rounds end when a column changes by less than n * TOLERANCE in all; two plain rounds close, so that every score is a sum of shares."""
+    home = (1 - alpha) * start
+    was, x, omega = None, home.copy(), 1.0
+    while True:
+        omega = next_weight(omega, was is None, alpha)
+        y = alpha * _step(layout, x) + home
+        if was is not None:
+            y = omega * (y - was) + was
         done = np.abs(y - x).sum(axis=0).max() < n * TOLERANCE
-        x = y
+        was, x = x, y
         if done:
             break
-    return x
+    for _ in range(2):
+        x = alpha * _step(layout, np.clip(x, 0, None)) + home
+    return x / x.sum(axis=0)
+
 
+def next_weight(omega: float, first: bool, alpha: float) -> float:
+    """Chebyshev's weights for a step matrix with eigenvalues between -alpha and alpha (that of an undirected graph has such)."""
+    return 1.0 if first else 1 / (1 - alpha**2 / 2) if omega == 1.0 else 1 / (1 - alpha**2 * omega / 4)
 
-def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, local_edges: int = LOCAL_EDGES) -> DataFrame:
+
+def pagerank(edges: DataFrame | None, seeds: DataFrame, alpha: float = ALPHA, local_edges: int = LOCAL_EDGES, step: DataFrame | None = None, kinds: str = "") -> DataFrame:
     """qid, node, score for teleports seeds(qid, node, weight > 0), normalised by question.
 
-    The graph falls into connected parts, and a walk never leaves the part it starts in. A part is solved with a block of its questions in one task; a
-    part with more than ``local_edges`` edges is solved by rounds of joins instead. A seed outside the graph keeps its share."""
-    step = cut(transition(edges))
+    A graph of up to ``local_edges`` edges is sent to the tasks whole, each of which solves blocks of its questions; a larger one
+    stays distributed and all questions move by rounds of joins. Both go the same rounds to the same tolerance. A seed outside the graph has no edge to give its score along.
+    step: the transition, if it is at hand. kinds: only nodes whose names begin with one of these letters come out."""
+    step = store(transition(edges)) if step is None else step
+    start = _shares(seeds)
+    if step.count() > local_edges:
+        out = pagerank_by_joins(step, store(start), alpha)
+        return out.filter(F.substring("node", 1, 1).isin(*kinds)) if kinds else out
+    q_arrow = to_arrow_type(seeds.schema["qid"].dataType)
+
+    def shown(qids: list, names: list[str], x: np.ndarray) -> pa.RecordBatch:
+        if kinds:
+            at = np.flatnonzero([v[:1] in kinds for v in names])
+            x, names = x[at], [names[i] for i in at]
+        i, j = np.nonzero(x > 0)
+        return pa.RecordBatch.from_arrays([pa.array(qids, q_arrow).take(pa.array(j)), pa.array(names, pa.string()).take(pa.array(i)), pa.array(x[i, j])], names=["qid", "node", "score"])
+
+    return _walked(step, start, alpha, shown, f"qid {seeds.schema['qid'].dataType.simpleString()}, node string, score double")
+
+
+def _walked(step: DataFrame, start: DataFrame, alpha: float, shown, schema: str) -> DataFrame:
+    """The graph goes to the tasks; shown(question ids, node names, scores: nodes x questions) makes the rows of each block of questions."""
+    g = step.toPandas()  # at most local_edges rows
+    names = np.unique(g["u"].to_numpy(str)) if len(g) else np.zeros(0, str)
+    index = {v: i for i, v in enumerate(names.tolist())}
+    wire = step.sparkSession.sparkContext.broadcast((names.tolist(), g["u"].map(index).to_numpy(np.int32), g["v"].map(index).to_numpy(np.int32), g["p"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, src, dst, p = wire.value
+        layout, index = _layers(src, dst, p), {v: i for i, v in enumerate(names)}
+
+        def solved(rows: list[tuple]) -> pa.RecordBatch:
+            qids = list(dict.fromkeys(r[0] for r in rows))
+            extra = sorted({r[1] for r in rows} - index.keys())
+            at, col = {**index, **{v: len(names) + i for i, v in enumerate(extra)}}, {v: i for i, v in enumerate(qids)}
+            begin = np.zeros((len(names) + len(extra), len(qids)))
+            np.add.at(begin, ([at[r[1]] for r in rows], [col[r[0]] for r in rows]), [r[2] for r in rows])
+            return shown(qids, [*names, *extra], walk(layout, begin, len(names) + len(extra), alpha))
+
+        block, last, n = [], None, 0
+        most = max(1, min(BLOCK, BLOCK_CELLS // max(1, len(names))))
+        for b in batches:
+            for r in zip(*[b.column(c).to_pylist() for c in ("qid", "node", "w")]):
+                if r[0] != last:
+                    n, last = n + 1, r[0]
+                    if n > most:
+                        yield solved(block)
+                        block, n = [], 1
+                block.append(r)
+        if block:
+            yield solved(block)
+
+    return start.repartition("qid").sortWithinPartitions("qid", "node").mapInArrow(run, schema)
+
+
+def _shares(seeds: DataFrame) -> DataFrame:
+    """qid, node, w: teleports that add up to 1 for each question."""
     good = seeds.filter("weight > 0")
     norm = good.groupBy("qid").agg(F.sum("weight").alias("total"))
-    start = cut(good.join(norm, "qid").select("qid", "node", (F.col("weight") / F.col("total")).alias("w")))
-    nodes = step.select(F.col("u").alias("node")).unionByName(start.select("node")).distinct()
-    part = cut(M.components(edges, nodes))
-    placed = step.join(part.withColumnRenamed("node", "u"), "u").select("component", "u", "v", "p")
-    big = placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > local_edges).select("component")
-    some = not big.isEmpty()
-    asked = start.join(part, "node")
-    if some:
-        far = asked.join(big, "component", "left_semi").select("qid", "node", "w")
-        asked, placed = asked.join(big, "component", "left_anti"), placed.join(big, "component", "left_anti")
-    wanted = asked.select("component", "qid").distinct()
-    w = Window.partitionBy("component").orderBy("qid")
-    blocks = wanted.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK))
-    seeds_ = asked.join(blocks, ["component", "qid"]).select(F.col("component").alias("part"), F.col("block").alias("nth"), "qid", "node", "w")
-    graphs = placed.join(blocks.select("component", "block").distinct(), "component")
-
-    def solve(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(s):
-            return pd.DataFrame({"qid": [], "node": [], "score": []})
-        names = pd.Index(sorted({*g["u"], *g["v"], *s["node"]}))
-        qids = pd.Index(sorted(s["qid"].unique()))
-        begin = np.zeros((len(names), len(qids)))
-        np.add.at(begin, (names.get_indexer(s["node"]), qids.get_indexer(s["qid"])), s["w"].to_numpy())
-        share = begin.sum(axis=0)  # the rest of the question lies in other parts
-        x = walk(names.get_indexer(g["u"]), names.get_indexer(g["v"]), g["p"].to_numpy(), begin / share, alpha) * share
-        i, j = np.nonzero(x > 0)
-        return pd.DataFrame({"qid": qids[j], "node": names[i], "score": x[i, j]})
+    return good.groupBy("qid", "node").agg(F.sum("weight").alias("weight")).join(norm, "qid").select("qid", "node", (F.col("weight") / F.col("total")).alias("w"))
+
+
+#: What a table's best columns add to its score, and every other one.
+TOP_COLUMNS, OTHER_COLUMNS = (1.0, 0.5, 0.25), 0.02
+
+
+def table_walk(step: DataFrame, seeds: DataFrame, columns: DataFrame, alpha: float = ALPHA, agg: str = "top3", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """qid, table_key, own, score, cols(col, score): pagerank by table: its own score (null if 0), that of ``table_scores``, and those of its columns.
+
+    One row a table instead of one a node; a graph that stays distributed is collected to this form at the end. columns: node, table_key, col."""
+    q = seeds.schema["qid"].dataType
+    schema = f"qid {q.simpleString()}, table_key string, own double, score double, cols array<struct<col: string, score: double>>"
+    start = _shares(seeds)
+    if step.count() > local_edges:
+        nodes = store(pagerank_by_joins(step, store(start), alpha))
+        own = nodes.filter("node like 't:%'").select("qid", F.expr("substring(node, 3)").alias("table_key"), F.col("score").alias("own"))
+        cols = nodes.join(columns.select("node", "table_key", "col"), "node").groupBy("qid", "table_key").agg(F.collect_list(F.struct("col", "score")).alias("cols"))
+        every = own.join(cols, ["qid", "table_key"], "full").join(table_scores(nodes, columns, agg), ["qid", "table_key"])
+        return every.select("qid", "table_key", "own", "score", F.coalesce("cols", F.array().cast("array<struct<col: string, score: double>>")).alias("cols"))
+    q_arrow = to_arrow_type(q)
+
+    def shown(qids: list, names: list[str], x: np.ndarray) -> pa.RecordBatch:
+        kind = np.array([v[:1] for v in names])
+        ti, ci = np.flatnonzero(kind == "t"), np.flatnonzero(kind == "c")
+        full = [names[i][2:] for i in ci]
+        of = [v.rpartition(".") for v in full] if not odd.value else [odd.value.get(v) and (odd.value[v], "", v[len(odd.value[v]) + 1 :]) or v.rpartition(".") for v in full]
+        tables = sorted({names[i][2:] for i in ti} | {h for h, _, _ in of})
+        at = {v: k for k, v in enumerate(tables)}
+        trow, crow = np.array([at[names[i][2:]] for i in ti], np.int64), np.array([at[h] for h, _, _ in of], np.int64)
+        keys, cols = pa.array(tables, pa.string()), pa.array([c for _, _, c in of], pa.string())
+        share = np.r_[np.array(TOP_COLUMNS), OTHER_COLUMNS]
+        parts = []
+        for j in range(len(qids)):
+            own = np.zeros(len(tables))
+            own[trow] = x[ti, j]
+            s = x[ci, j]
+            hit = np.flatnonzero(s > 0)
+            hit = hit[np.lexsort((-s[hit], crow[hit]))]
+            row = crow[hit]
+            first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
+            weight = np.ones(len(row)) if agg == "sum" else share[np.minimum(np.arange(len(row)) - begin, len(TOP_COLUMNS))]
+            total = own + np.bincount(row, s[hit] * weight, len(tables))
+            some = np.flatnonzero(total > 0)
+            count = np.bincount(row, minlength=len(tables))[some]
+            parts.append((np.full(len(some), j), some, own[some], total[some], count, hit, s[hit]))
+        j, t, own, total, count, hit, value = (np.concatenate(c) if parts else np.zeros(0) for c in zip(*parts))
+        items = pa.StructArray.from_arrays([cols.take(pa.array(hit)), pa.array(value)], names=["col", "score"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), items)
+        return pa.RecordBatch.from_arrays([pa.array(qids, q_arrow).take(pa.array(j)), keys.take(pa.array(t)), pa.array(own, mask=own <= 0), pa.array(total), lists], names=["qid", "table_key", "own", "score", "cols"])
+
+    # columns whose own name has a dot, so that their node's name doesn't say where the table's ends: few, and bounded by the graph
+    dotted = {r["n"]: r["table_key"] for r in columns.filter(F.contains("col", F.lit("."))).select(F.expr("substring(node, 3)").alias("n"), "table_key").limit(local_edges).collect()}
+    odd = step.sparkSession.sparkContext.broadcast(dotted)
+    return _walked(step, start, alpha, shown, schema)
+
+
+def node_scores(by_table: DataFrame) -> DataFrame:
+    """qid, node, score of tables and columns, from table_walk."""
+    own = by_table.filter("own is not null").select("qid", F.concat(F.lit("t:"), "table_key").alias("node"), F.col("own").alias("score"))
+    return own.unionByName(by_table.select("qid", "table_key", F.explode("cols").alias("c")).select("qid", F.concat(F.lit("c:"), "table_key", F.lit("."), "c.col").alias("node"), F.col("c.score").alias("score")))
+
 
-    qid = seeds.schema["qid"].dataType.simpleString()
-    out = graphs.groupBy("component", "block").cogroup(seeds_.groupBy("part", "nth")).applyInPandas(solve, f"qid {qid}, node string, score double")
-    return out.unionByName(pagerank_by_joins(step, far, alpha)) if some else out
+def pagerank_by_joins(step: DataFrame, start: DataFrame, alpha: float = ALPHA, cut_every: int = 4) -> DataFrame:
+    """The same by rounds of joins over the cluster, written every few rounds, until no question changes by more than the tolerance."""
+    n = step.select("u").union(start.select("node")).distinct().count()
+    home = start.select("qid", "node", ((1 - alpha) * F.col("w")).alias("home"))
 
+    def moved(x: DataFrame, keep: list[str]) -> DataFrame:
+        """qid, node, new: shares of neighbours and of the teleport; keep: columns of x that stay at their node, 0 where there was none."""
+        over = x.withColumnRenamed("node", "u").join(step, "u").select("qid", F.col("v").alias("node"), (alpha * F.col("score") * F.col("p")).alias("new"), *[F.lit(0.0).alias(c) for c in keep])
+        stay = x.select("qid", "node", F.lit(0.0).alias("new"), *keep)
+        back = home.select("qid", "node", F.col("home").alias("new"), *[F.lit(0.0).alias(c) for c in keep])
+        return over.unionByName(stay).unionByName(back).groupBy("qid", "node").agg(F.sum("new").alias("new"), *[F.sum(c).alias(c) for c in keep])
 
-def pagerank_by_joins(step: DataFrame, start: DataFrame, alpha: float = ALPHA, rounds: int = 60, cut_every: int = 5) -> DataFrame:
-    """The same by rounds of joins over the cluster, cut every few rounds; the error falls by ``alpha`` a round."""
-    sources = step.select(F.col("u").alias("node")).distinct().withColumn("out", F.lit(True))
-    x = start.select("qid", "node", F.col("w").alias("score"))
-    for k in range(rounds):
-        moved = x.withColumnRenamed("node", "u").join(step, "u").groupBy("qid", F.col("v").alias("node")).agg((alpha * F.sum(F.col("score") * F.col("p"))).alias("score"))
-        lost = x.join(sources, "node", "left_anti").groupBy("qid").agg((alpha * F.sum("score")).alias("back"))
-        home = start.join(lost, "qid", "left").select("qid", "node", (F.col("w") * (1 - alpha + F.coalesce("back", F.lit(0.0)))).alias("score"))
-        x = moved.unionByName(home).groupBy("qid", "node").agg(F.sum("score").alias("score"))
-        if k % cut_every == cut_every - 1:
-            x = cut(x)
-    return x
+    x, omega, k = home.select("qid", "node", F.col("home").alias("score"), F.lit(0.0).alias("was")), 1.0, 0
+    while True:
+        omega = next_weight(omega, k == 0, alpha)
+        y = moved(x, ["score", "was"])
+        x = y.select("qid", "node", (F.col("new") if k == 0 else omega * (F.col("new") - F.col("was")) + F.col("was")).alias("score"), F.col("score").alias("was"))
+        k += 1
+        if k % cut_every == 0:
+            x = store(x)
+            worst = x.groupBy("qid").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("d")).agg(F.max("d")).first()[0]
+            if worst is None or worst < n * TOLERANCE:
+                break
+    for _ in range(2):
+        x = moved(x.select("qid", "node", F.greatest("score", F.lit(0.0)).alias("score")), []).select("qid", "node", F.col("new").alias("score"))
+    x = store(x.filter("score > 0"))
+    return x.join(x.groupBy("qid").agg(F.sum("score").alias("all")), "qid").select("qid", "node", (F.col("score") / F.col("all")).alias("score"))
 
 
-def table_scores(nodes: DataFrame, columns: DataFrame) -> DataFrame:
-    """qid, table_key, score: a table's own score, its best three columns by 1, 1/2, 1/4 and the rest by 0.02."""
+def table_scores(nodes: DataFrame, columns: DataFrame, agg: str = "top3") -> DataFrame:
+    """qid, table_key, score: a table's own score, its best three columns by 1, 1/2, 1/4 and the rest by 0.02; with ``sum`` all columns in full."""
     own = nodes.filter("node like 't:%'").select("qid", F.expr("substring(node, 3)").alias("table_key"), "score")
     c = nodes.join(columns.select("node", "table_key"), "node").select("qid", "table_key", "node", "score")
+    if agg == "sum":
+        return own.unionByName(c.drop("node")).groupBy("qid", "table_key").agg(F.sum("score").alias("score"))
     n = F.row_number().over(Window.partitionBy("qid", "table_key").orderBy(F.desc("score"), "node"))
-    weight = F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, 0.5).when(F.col("n") == 3, 0.25).otherwise(0.02)
+    weight = F.coalesce(*[F.when(F.col("n") == i, w) for i, w in enumerate(TOP_COLUMNS, 1)], F.lit(OTHER_COLUMNS))
     part = c.withColumn("n", n).select("qid", "table_key", (F.col("score") * weight).alias("score"))
     return own.unionByName(part).groupBy("qid", "table_key").agg(F.sum("score").alias("score"))
 

@@ -104,6 +104,10 @@ def row_limit(spark: SparkSession, sql: str) -> int | None:
     return None
 
 
+#: An equality in a join's condition, null-safe or not; bounds are none.
+_EQUAL = re.compile(r"<=>| = ")
+
+
 def join_cost(df: DataFrame) -> tuple[float, str]:
     """The most rows that one join of the optimised plan is estimated to make, and which; 0 where the tables have no statistics."""
     worst, what = 0.0, ""
@@ -116,7 +120,7 @@ def join_cost(df: DataFrame) -> tuple[float, str]:
         if p.getClass().getSimpleName() == "Join":
             counts = [k.stats().rowCount() for k in kids]
             own = p.stats().rowCount()
-            keyed = "=" in (p.condition().get().toString() if p.condition().isDefined() else "")
+            keyed = bool(_EQUAL.search(p.condition().get().toString() if p.condition().isDefined() else ""))
             rows = float(str(own.get())) if own.isDefined() else 0.0
             if not keyed and all(c.isDefined() for c in counts):
                 rows = max(rows, float(str(counts[0].get())) * float(str(counts[1].get())))

@@ -17,12 +17,34 @@ from catalith.operators import paths as P
 from catalith.operators import ranking as R
 from catalith.plans import link as K
 from catalith.plans.sqltext import CATALOG, strings
-from catalith.session import cut, table
+from catalith.session import store, store_all, table
 from catalith.sources.snapshots import catalog
 
 
+#: The last catalog and its index, by application and the state of the files it was built from.
+_INDEX: dict[str, tuple] = {}
+
+
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Path, length and time of the files that a catalog is built from."""
+    out = [spark.sparkContext.applicationId, sf]
+    for name in ("snapshots", "connections"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(out)
+
+
 def _cat(spark: SparkSession, sf: str):
-    return catalog(table(spark, sf, "snapshots"), table(spark, sf, "connections"))
+    """The merged catalog. Like a linker that stays in memory it is built once; other files, or files that changed, build it anew."""
+    now = _state(spark, sf)
+    if _INDEX.get("state") != now:
+        cat = catalog(table(spark, sf, "snapshots"), table(spark, sf, "connections"))
+        _INDEX.clear()
+        _INDEX.update(state=now, catalog=cat)
+    return _INDEX["catalog"]
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +52,11 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_objects(spark: SparkSession, sf: str) -> L.Objects:
-    return L.objects(_cat(spark, sf))
+    """The index of the merged catalog, built once like it."""
+    cat = _cat(spark, sf)
+    if "objects" not in _INDEX:
+        _INDEX["objects"] = L.objects(cat)
+    return _INDEX["objects"]
 
 
 def infer_by_name(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,15 +128,18 @@ def lexical_values(spark: SparkSession, sf: str) -> DataFrame:
     return L.values(catalog_objects(spark, sf))
 
 
-def seeds_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Token evidence of each question: weight by object, without the fuzzy fallback."""
-    o = catalog_objects(spark, sf)
-    post = L.postings(o)
+def _token_seeds(q: DataFrame, o: L.Objects) -> DataFrame:
+    post = o.keep("post", lambda: L.postings(o))
     scaled = post.join(L.idf(post, L.node_count(o)), "token").select("token", "node", (F.col("weight") * F.col("idf")).alias("w"))
-    forms = L.token_forms(L.question_words(questions(spark, sf)))
+    forms = L.token_forms(L.question_words(q))
     return forms.join(scaled, forms["form"] == scaled["token"]).groupBy("qid", "node").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("weight"))
 
 
+def seeds_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Token evidence of each question: weight by object, without the fuzzy fallback."""
+    return _token_seeds(questions(spark, sf), catalog_objects(spark, sf))
+
+
 def seeds_names(spark: SparkSession, sf: str) -> DataFrame:
     o = catalog_objects(spark, sf)
     q = L.question_words(questions(spark, sf))
@@ -130,8 +159,8 @@ def bm25f(spark: SparkSession, sf: str) -> DataFrame:
 def fused(spark: SparkSession, sf: str) -> DataFrame:
     """Reciprocal-rank fusion of BM25F and of the token evidence on tables."""
     o, q = catalog_objects(spark, sf), questions(spark, sf)
-    sparse = cut(L.bm25f(q, o).withColumn("score", F.round("score", 6)))
-    own = seeds_tokens(spark, sf).filter("node like 't:%'").select("qid", F.expr("substring(node, 3)").alias("table_key"), F.col("weight").alias("score"))
+    sparse, tokens = store_all(L.bm25f(q, o).withColumn("score", F.round("score", 6)), _token_seeds(q, o))
+    own = tokens.filter("node like 't:%'").select("qid", F.expr("substring(node, 3)").alias("table_key"), F.col("weight").alias("score"))
     return L.fuse([sparse, own]).select("qid", "table_key", F.round("score", 6).alias("score"))
 
 
@@ -148,20 +177,21 @@ def rank_transition(spark: SparkSession, sf: str) -> DataFrame:
 
 def rank_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     o = catalog_objects(spark, sf)
-    seeds = cut(L.activate(questions(spark, sf), o, fuzzy=False))
-    return R.pagerank(R.graph_edges(o, L.postings(o)), seeds.select("qid", "node", "weight")).select("qid", "node", F.round("score", 8).alias("score"))
+    post = o.keep("post", lambda: L.postings(o))
+    seeds, edges = store_all(L.activate(questions(spark, sf), o, post=post), R.graph_edges(o, post))
+    return R.pagerank(edges, seeds.select("qid", "node", "weight")).select("qid", "node", F.round("score", 8).alias("score"))
 
 
 def rank_table_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Table scores of the token seeds themselves: own, best three columns and the rest, with the direct bonus."""
     o = catalog_objects(spark, sf)
-    seeds = cut(seeds_tokens(spark, sf))
+    seeds = store(_token_seeds(questions(spark, sf), o))
     scores = R.direct_evidence(R.table_scores(seeds.withColumnRenamed("weight", "score"), o.columns), seeds, o.columns)
     return R.relative(scores).select("qid", "table_key", F.round("evidence", 5).alias("evidence"))
 
 
 def _joinable(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(M.relations(M.distinct_edges(_cat(spark, sf)), [k for k in M.JOIN_COST if k != "lineage"]))
+    return store(M.relations(M.distinct_edges(_cat(spark, sf)), [k for k in M.JOIN_COST if k != "lineage"]))
 
 
 def paths_from_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,9 +212,7 @@ def link_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_ddl(spark: SparkSession, sf: str) -> DataFrame:
-    cat = _cat(spark, sf)
-    o = L.objects(cat)
-    q = questions(spark, sf)
+    cat, o, q = _cat(spark, sf), catalog_objects(spark, sf), questions(spark, sf)
     return K.render(K.link(q, o), q, o, M.merge_tables(cat))
 
 

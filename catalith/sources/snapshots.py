@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.names import BLANKS, table_key_col
+from catalith.session import cut
 
 # The rank of a source type where its connection has no priority.
 SOURCE_PRIORITY = {"user": 0, "collibra": 10, "dbt": 20, "unity_catalog": 30, "duckdb": 40, "ddl": 50, "aws_glue": 60}
@@ -51,7 +52,7 @@ def catalog(snapshots: DataFrame, connections: DataFrame) -> Catalog:
     last = order.select(F.col("source").alias("o_source"), F.col("built_at").alias("o_at"), F.col("snap_id").alias("o_id"), "rank")
     same = (F.col("source") == F.col("o_source")) & F.col("built_at").eqNullSafe(F.col("o_at")) & F.col("snap_id").eqNullSafe(F.col("o_id"))
     p = F.from_json("payload", PAYLOAD, {"columnNameOfCorruptRecord": "_cut"})
-    held = one.join(last, same).select("source", "rank", p.alias("p")).filter("p._cut is null")
+    held = cut(one.join(last, same).select("source", "rank", p.alias("p")).filter("p._cut is null"))  # payloads are parsed once
     t = held.select("source", "rank", F.posexplode("p.tables").alias("pos", "t"))
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     key = table_key_col(F.concat_ws(".", blank("t.catalog"), blank("t.schema"), blank("t.name")))

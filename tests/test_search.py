@@ -47,8 +47,8 @@ def test_nearest(spark):
             got.setdefault((block, r.qid), []).append((r.place, r.oid))
     assert got[3, 20] == got[1000, 20] and sorted(got[3, 20])[0][1] == 20
     assert nearest(df.limit(0), df, "id", "id", "v").count() == 0
-    seeds = embedding_seeds(spark.createDataFrame([(1, 9, [1.0, 0.0]), (2, 9, [0.9, 0.1])], "pid int, qid int, vector array<double>"), spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "node string, vector array<double>"))
-    assert [(r.qid, r.node, r.weight) for r in seeds.collect()] == [(9, "a", 0.8)]
+    seeds = embedding_seeds(spark.createDataFrame([(1, 9, "x", [1.0, 0.0]), (2, 9, "y", [0.9, 0.1]), (3, 9, "z", [1.0, 0.0, 0.0])], "pid int, qid int, phrase string, vector array<double>"), spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0, 0.0])], "node string, vector array<double>"))
+    assert sorted((r.qid, r.node, r.weight, r.reason[:13]) for r in seeds.collect()) == [(9, "a", 0.8, "embedding 'x'"), (9, "c", 0.8, "embedding 'z'")]  # each against those of its length
 
 
 def test_tools(spark):
