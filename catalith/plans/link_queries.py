@@ -240,6 +240,10 @@ def _tok(expr: str, keep: bool = False) -> str:
     return f"[t for t in string_split_regex(lower(regexp_replace(coalesce({expr}, ''), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+') if (len(t) >= 2 OR regexp_matches(t, '^[0-9]$')){stop}]"
 
 
+def shard(expr: str) -> str:
+    return f"regexp_replace(lower(trim({expr})), '^(.*?)_?(\\d{{8}}|\\d{{6}}|(19|20)\\d{{2}})$', '\\1_*')"
+
+
 def _lemma(t: str) -> str:
     return f"CASE WHEN len({t}) > 4 AND {t} LIKE '%ies' THEN {t}[:-4] || 'y' WHEN len({t}) > 4 AND {t} LIKE '%ses' THEN {t}[:-3] WHEN len({t}) > 3 AND {t} LIKE '%s' AND {t} NOT LIKE '%ss' THEN {t}[:-2] ELSE {t} END"
 
