@@ -67,6 +67,9 @@ def solve(tree: np.ndarray, ids: list[str], parents: list[str | None]) -> dict[s
         pre[kids] = pre[p] + 1 + offset[kids]
         depth[kids], root[kids] = depth[p] + 1, root[p]
         front = kids
+    base = np.full(int(tree.max()) + 1 if n else 0, total[-1] + size[by[-1]] if n else 0, np.int64)
+    np.minimum.at(base, tree[roots], pre[roots])  # preorder starts at 0 in each tree
+    own = np.where(pre >= 0, pre - base[tree], -1) if n else pre
     below = size - 1
     depth[~up] = -1
     seen: set[int] = set()
@@ -81,7 +84,14 @@ def solve(tree: np.ndarray, ids: list[str], parents: list[str | None]) -> dict[s
     path = [""] * n
     for v in np.argsort(pre, kind="stable")[n - int((pre >= 0).sum()) :].tolist():
         path[v] = path[par[v]] + "/" + ids[v] if par[v] >= 0 else ids[v]
-    return {"root_id": [ids[r] if r >= 0 else "" for r in root.tolist()], "node_depth": depth, "path": path, "n_below": below}
+    return {"root_id": [ids[r] if r >= 0 else "" for r in root.tolist()], "node_depth": depth, "path": path, "n_below": below, "first": own}
+
+
+def descendants(nodes: DataFrame, tree: list[str], of: DataFrame) -> DataFrame:
+    """tree columns, ancestor, id, distance: all nodes under those in of(tree columns, id), from the ranges of ``nodes``. The result has as many rows as there are such nodes; give the nodes that are asked for, not all of them."""
+    top = of.join(nodes.select(*tree, "id", F.col("first").alias("_from"), F.col("last").alias("_to"), F.col("node_depth").alias("_depth")), [*tree, "id"]).withColumnRenamed("id", "ancestor")
+    under = nodes.select(*tree, "id", "first", "node_depth").join(top, tree).filter("first > _from and first <= _to")
+    return under.select(*tree, "ancestor", "id", (F.col("node_depth") - F.col("_depth")).alias("distance"))
 
 
 def _last_lines(keys: list[list], ids: list) -> np.ndarray:
@@ -91,13 +101,15 @@ def _last_lines(keys: list[list], ids: list) -> np.ndarray:
 
 
 def hierarchy(df: DataFrame, tree: list[str], id_col: str, parent_col: str, order_col: str, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """Every node of every tree: tree columns, id, root_id, node_depth, path, n_below.
+    """Every node of every tree: tree columns, id, root_id, node_depth, path, n_below, first, last.
 
     A tree is one tuple of the ``tree`` columns; rows with a null in it, or with a null or blank id,
     are no nodes. ids compare without case and outer blanks and come out in lower case. Of rows with
     the same id in a tree the one with the largest ``order_col`` holds (equal rows are one). A blank
     parent is none; a node whose parent is none or not in the tree is a root. On a loop: node_depth
-    -1, root_id and path empty; under a loop -2. n_below counts all other nodes under a node. Trees of
+    -1, root_id and path empty; under a loop -2. n_below counts all other nodes under a node.
+    first and last are the node's range in the preorder of its tree (roots and siblings by id, from 0; null on or under a loop): the nodes
+    under it are those with a larger first up to its last, those above it the ones whose ranges hold its own. Trees of
     up to ``local_nodes`` rows are solved whole in a task, larger ones by rounds of joins.
     """
     clean = lambda c: F.lower(F.btrim(F.col(c), F.lit(" \t\r\n\f\x0b ")))
@@ -108,7 +120,7 @@ def hierarchy(df: DataFrame, tree: list[str], id_col: str, parent_col: str, orde
     large = rows.groupBy(*tree).count().filter(F.col("count") > local_nodes).select(*tree)
     some = not large.isEmpty()
     small = rows.join(large, tree, "left_anti") if some else rows
-    schema = ", ".join(f"`{t}` string" for t in tree) + ", id string, root_id string, node_depth int, path string, n_below int"
+    schema = ", ".join(f"`{t}` string" for t in tree) + ", id string, root_id string, node_depth int, path string, n_below int, first long, last long"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -125,8 +137,8 @@ def hierarchy(df: DataFrame, tree: list[str], id_col: str, parent_col: str, orde
                     tid, last = tid + 1, k
                 code[i] = tid
             out = solve(code, t.column("id").to_pylist(), t.column("parent").to_pylist())
-            cols = [*[t.column(c).combine_chunks() for c in tree], t.column("id").combine_chunks(), pa.array(out["root_id"]), pa.array(out["node_depth"], pa.int32()), pa.array(out["path"]), pa.array(out["n_below"], pa.int32())]
-            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[*tree, "id", "root_id", "node_depth", "path", "n_below"])
+            cols = [*[t.column(c).combine_chunks() for c in tree], t.column("id").combine_chunks(), pa.array(out["root_id"]), pa.array(out["node_depth"], pa.int32()), pa.array(out["path"]), pa.array(out["n_below"], pa.int32()), pa.array(out["first"], mask=out["first"] < 0), pa.array(out["first"] + out["n_below"], mask=out["first"] < 0)]
+            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[*tree, "id", "root_id", "node_depth", "path", "n_below", "first", "last"])
 
         for b in batches:
             if not b.num_rows:
@@ -155,15 +167,15 @@ def _by_joins(rows: DataFrame, tree: list[str]) -> DataFrame:
     names = nodes.select(*tree, F.col("id").alias("parent"), F.lit(True).alias("there"))
     nodes = nodes.join(names, [*tree, "parent"], "left").select(*key, F.when(F.col("there"), F.col("parent")).alias("parent"))
     kids = nodes.filter("parent is not null").groupBy(*tree, F.col("parent").alias("id")).agg(F.count("*").alias("left"))
-    state = cut(nodes.join(kids, key, "left").select(*key, "parent", F.coalesce("left", F.lit(0)).alias("left"), F.lit(1).cast("long").alias("size"), F.lit(False).alias("up")))
-    while True:
-        ready = state.filter("not up and left = 0")
-        if ready.isEmpty():
-            break
+    state = cut(nodes.join(kids, key, "left").select(*key, "parent", F.coalesce("left", F.lit(0)).alias("left"), F.lit(1).cast("long").alias("size")))
+    ready, finished = state.filter("left = 0"), None
+    while not ready.isEmpty():  # a level: its nodes are finished and leave the state, their parents have fewer left
+        finished = ready if finished is None else finished.unionByName(ready)
         gain = ready.filter("parent is not null").groupBy(*tree, F.col("parent").alias("id")).agg(F.sum("size").alias("gain"), F.count("*").alias("fewer"))
-        state = cut(
-            state.join(gain, key, "left").select(*key, "parent", (F.col("left") - F.coalesce("fewer", F.lit(0))).alias("left"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), (F.col("up") | (F.col("left") == 0)).alias("up"))
-        )
+        state = cut(state.filter("left > 0").join(gain, key, "left").select(*key, "parent", (F.col("left") - F.coalesce("fewer", F.lit(0))).alias("left"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")))
+        ready = state.filter("left = 0")
+    left = state.filter("left > 0").withColumn("up", F.lit(False))
+    state = left if finished is None else finished.withColumn("up", F.lit(True)).unionByName(left)
     ranged = range_scan(state, [*tree, "parent"], [F.col("id")], {"upto": ("sum", "size")}).withColumn("offset", F.col("upto") - F.col("size"))
     ranged = cut(ranged.select(*key, "parent", "size", "up", "offset"))
     level = cut(ranged.filter("parent is null").select(*key, "size", F.col("offset").alias("pre"), F.lit(0).alias("node_depth"), F.col("id").alias("root_id"), F.col("id").alias("path")))
@@ -172,11 +184,12 @@ def _by_joins(rows: DataFrame, tree: list[str]) -> DataFrame:
         up = level.select(*tree, F.col("id").alias("parent"), F.col("pre").alias("ppre"), F.col("node_depth").alias("pdepth"), "root_id", F.col("path").alias("ppath"))
         level = cut(ranged.join(up, [*tree, "parent"]).select(*key, "size", (F.col("ppre") + 1 + F.col("offset")).alias("pre"), (F.col("pdepth") + 1).alias("node_depth"), "root_id", F.concat("ppath", F.lit("/"), "id").alias("path")))
         done = done.unionByName(level)
-    good = done.select(*key, "root_id", F.col("node_depth").cast("int").alias("node_depth"), "path", (F.col("size") - 1).cast("int").alias("n_below"))
+    good = done.select(*key, "root_id", F.col("node_depth").cast("int").alias("node_depth"), "path", (F.col("size") - 1).cast("int").alias("n_below"), F.col("pre").alias("first"), (F.col("pre") + F.col("size") - 1).alias("last"))
+    nowhere = [F.lit(None).cast("long").alias(c) for c in ("first", "last")]
     rest = ranged.join(done.select(*key), key, "left_anti")
-    under = rest.filter("up").select(*key, F.lit("").alias("root_id"), F.lit(-2).alias("node_depth"), F.lit("").alias("path"), (F.col("size") - 1).cast("int").alias("n_below"))
+    under = rest.filter("up").select(*key, F.lit("").alias("root_id"), F.lit(-2).alias("node_depth"), F.lit("").alias("path"), (F.col("size") - 1).cast("int").alias("n_below"), *nowhere)
     loops = _loop_sizes(rest.filter("not up"), tree)
-    on = loops.select(*key, F.lit("").alias("root_id"), F.lit(-1).alias("node_depth"), F.lit("").alias("path"), (F.col("total") - 1).cast("int").alias("n_below"))
+    on = loops.select(*key, F.lit("").alias("root_id"), F.lit(-1).alias("node_depth"), F.lit("").alias("path"), (F.col("total") - 1).cast("int").alias("n_below"), *nowhere)
     return good.unionByName(under).unionByName(on)
 
 

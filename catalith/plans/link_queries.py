@@ -16,7 +16,7 @@ from catalith.operators import merge as M
 from catalith.operators import paths as P
 from catalith.operators import ranking as R
 from catalith.plans import link as K
-from catalith.plans.sqltext import CATALOG, strings
+from catalith.plans.sqltext import CATALOG, COST, strings
 from catalith.session import store, store_all, table
 from catalith.sources.snapshots import catalog
 
@@ -182,6 +182,21 @@ def rank_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return R.pagerank(edges, seeds.select("qid", "node", "weight")).select("qid", "node", F.round("score", 8).alias("score"))
 
 
+def rank_pagerank_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """PageRank of tables and columns for the token seeds of each question, to five digits: what SQL can state of the walk."""
+    o = catalog_objects(spark, sf)
+    post = o.keep("post", lambda: L.postings(o))
+    step = o.keep("step weight", lambda: R.transition(R.graph_edges(o, post)))
+    out = R.pagerank(None, _token_seeds(questions(spark, sf), o), step=step, kinds="tc")
+    return out.select("qid", "node", F.round("score", 5).alias("score")).filter("score > 0")
+
+
+def activation_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """What each question says about the catalog, without the fuzzy stage: glossary phrases and targets, values, names and tokens added up."""
+    a = L.activate(questions(spark, sf), catalog_objects(spark, sf), fuzzy=False)
+    return a.select("qid", "node", F.round("weight", 5).alias("weight"))
+
+
 def rank_table_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Table scores of the token seeds themselves: own, best three columns and the rest, with the direct bonus."""
     o = catalog_objects(spark, sf)
@@ -228,7 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_tokens": text_tokens, "text_lemmas": text_lemmas, "text_ngrams": text_ngrams,
     "lexical_postings": lexical_postings, "lexical_idf": lexical_idf, "lexical_hubs": lexical_hubs, "lexical_values": lexical_values,
     "seeds_tokens": seeds_tokens, "seeds_names": seeds_names, "activation": activation, "bm25f": bm25f, "fused": fused,
-    "rank_specificity": rank_specificity, "rank_transition": rank_transition, "rank_pagerank": rank_pagerank, "rank_table_evidence": rank_table_evidence,
+    "rank_specificity": rank_specificity, "rank_transition": rank_transition, "rank_pagerank": rank_pagerank, "rank_pagerank_tokens": rank_pagerank_tokens, "activation_exact": activation_exact, "rank_table_evidence": rank_table_evidence,
     "paths_from_table": paths_from_table, "paths_from_tables": paths_from_tables, "link_tables": link_tables, "link_ddl": link_ddl, "embedding_nearest": embedding_nearest,
 }
 
@@ -281,6 +296,7 @@ _LEX = ", " + _ABBR + f""",
     dt AS (SELECT 't:' || table_key AS node, table_key, 'desc' AS field, 0.35 AS w, unnest({_tok('description')}) AS token FROM mt
       UNION ALL SELECT 'c:' || table_key || '.' || col, table_key, 'desc', 0.35, unnest({_tok('description')}) FROM md
       UNION ALL SELECT 't:' || table_key, table_key, 'tags', 0.5, unnest({_tok('tag')}) FROM tags
+      UNION ALL SELECT 'c:' || table_key || '.' || col, table_key, 'tags', 0.5, unnest({_tok('tag')}) FROM (SELECT DISTINCT table_key, col, unnest({strings('c', 'tags')}) AS tag FROM cc)
       UNION ALL SELECT 'k:' || term, NULL, 'term', 0.3, unnest({_tok('description')}) FROM cg),
     post AS (SELECT token, node, CAST(max(w) AS DOUBLE) AS weight FROM (SELECT token, node, 1.0 AS w FROM nx UNION ALL SELECT token, node, w FROM dt) GROUP BY ALL),
     nn AS (SELECT (SELECT count(*) FROM mt) + (SELECT count(*) FROM mc) + (SELECT count(DISTINCT term) FROM cg) AS n),
@@ -300,7 +316,55 @@ _BM = """, docs AS (SELECT table_key, field, token FROM nx WHERE table_key IS NO
     bm AS (SELECT qid, table_key, round(CAST(sum(maxw * idf * t * 2.2 / (1.2 + t)) AS DOUBLE), 6) AS score FROM forms f JOIN nrm ON nrm.token = f.form JOIN dfq ON dfq.token = f.form GROUP BY ALL)
 """
 
+_TARGETS = f""", tsaid AS (SELECT DISTINCT term, array_to_string([lower(trim(translate(s, '"`[]', ''))) for s in string_split(x, '.')], '.') AS k FROM (SELECT term, unnest({strings('g', 'targets')}) AS x FROM cg)),
+    ttk AS (SELECT DISTINCT table_key FROM ct), tparts AS (SELECT term, k, array_to_string(string_split(k, '.')[:-2], '.') AS head, string_split(k, '.')[-1] AS tail FROM tsaid),
+    tbare AS (SELECT string_split(table_key, '.')[-1] AS b, min(table_key) AS one FROM ttk GROUP BY ALL HAVING count(*) = 1),
+    tg AS (SELECT DISTINCT 'k:' || term AS node, CASE WHEN x.table_key IS NULL AND m.col IS NOT NULL THEN 'c:' || coalesce(h.table_key, one) || '.' || m.col ELSE 't:' || coalesce(x.table_key, h.table_key, one) END AS target FROM tparts p LEFT JOIN ttk x ON x.table_key = k
+      LEFT JOIN ttk h ON h.table_key = head LEFT JOIN mc m ON m.table_key = head AND m.col = tail AND h.table_key IS NOT NULL LEFT JOIN tbare ON b = k WHERE coalesce(x.table_key, h.table_key, one) IS NOT NULL)
+"""
+_GRAPH = """, fkp AS (SELECT DISTINCT from_key, to_key, from_columns[i] AS a, to_columns[i] AS b FROM (SELECT *, unnest(range(1, least(len(from_columns), len(to_columns)) + 1)) AS i FROM de)),
+    cn AS (SELECT 'c:' || table_key || '.' || col AS node FROM mc),
+    ge AS (SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(max(w) AS DOUBLE) AS w FROM (
+      SELECT 't:' || table_key AS u, 'c:' || table_key || '.' || col AS v, 0.5 AS w FROM mc
+      UNION ALL SELECT 't:' || from_key, 't:' || to_key, c FROM (SELECT least(from_key, to_key) AS from_key, greatest(from_key, to_key) AS to_key, min(""" + COST + """) AS c FROM de WHERE from_key <> to_key GROUP BY ALL)
+      UNION ALL SELECT 'c:' || from_key || '.' || a, 'c:' || to_key || '.' || b, 0.8 FROM fkp WHERE 'c:' || from_key || '.' || a IN (SELECT node FROM cn) AND 'c:' || to_key || '.' || b IN (SELECT node FROM cn)
+      UNION ALL SELECT node, target, 0.7 FROM tg
+      UNION ALL SELECT 'w:' || token, node, weight * 0.3 FROM post WHERE token IN (SELECT token FROM post GROUP BY token HAVING count(*) <= 200)) WHERE u <> v GROUP BY ALL),
+    gb AS (SELECT u, v, w FROM ge UNION ALL SELECT v, u, w FROM ge), stp AS MATERIALIZED (SELECT u, v, 0.85::DOUBLE * w / sum(w) OVER (PARTITION BY u) AS p FROM gb),
+    home AS MATERIALIZED (SELECT qid, node, 0.15::DOUBLE * weight / sum(weight) OVER (PARTITION BY qid) AS h FROM tokseed WHERE weight > 0), x0 AS (SELECT qid, node, h AS s FROM home)
+"""
+
+
+def _rounds(n: int) -> str:
+    """The rounds of the walk as one CTE each: x1 by a plain step, then Chebyshev's weights."""
+    out, omega = [], 1.0
+    for k in range(n):
+        omega = R.next_weight(omega, k == 0, R.ALPHA)
+        back = f" UNION ALL SELECT qid, node, {1 - omega!r}::DOUBLE * s FROM x{k - 1}" if k else ""
+        out.append(f"x{k + 1} AS MATERIALIZED (SELECT qid, node, sum(s) AS s FROM (SELECT qid, v AS node, {omega!r}::DOUBLE * s * p AS s FROM x{k} JOIN stp ON u = node UNION ALL SELECT qid, node, {omega!r}::DOUBLE * h FROM home{back}) GROUP BY ALL)")
+    return ", " + ", ".join(out)
+
+
+_ROUNDS = 45
+_SAMPLES = f""", sv AS (SELECT table_key, col, v, min(((rk * 1000 + pos) * 1000 + cpos) * 100 + sp) AS r FROM (
+        SELECT table_key, col, rk, pos, cpos, unnest({strings('c', 'sample_values')}) AS v, generate_subscripts({strings('c', 'sample_values')}, 1) AS sp FROM cc) WHERE v IS NOT NULL GROUP BY ALL),
+      kept AS (SELECT *, row_number() OVER (PARTITION BY table_key, col ORDER BY r) AS n FROM sv),
+      vw AS (SELECT 'c:' || table_key || '.' || col AS node, lower(trim(v)) AS value, [x for x in string_split_regex(lower(trim(v)), '[^a-z0-9]+') if x <> ''] AS l FROM kept WHERE n <= 20),
+      vals AS (SELECT DISTINCT array_to_string(l, '_') AS gram, len(l) AS n_words, value, node FROM vw
+      WHERE len(value) >= 3 AND NOT regexp_matches(regexp_replace(value, '[.-]', '', 'g'), '^[0-9]*$') AND len(l) > 0 AND len([x for x in l if NOT regexp_matches(x, '^[0-9]+$')]) > 0 AND (len(l) > 1 OR len(l[1]) >= 3))"""
+
 SQL: dict[str, str] = {
+    "rank_pagerank_tokens": CATALOG + _LEX + _TARGETS + _GRAPH + _rounds(_ROUNDS) + f"SELECT qid, node, round(score, 5) AS score FROM (SELECT qid, node, s / sum(s) OVER (PARTITION BY qid) AS score FROM x{_ROUNDS}) WHERE round(score, 5) > 0 AND (node LIKE 't:%' OR node LIKE 'c:%')",
+    "activation_exact": CATALOG + _LEX + _TARGETS + _SAMPLES + f""", low AS (SELECT item_id AS qid, ' ' || lower(text) || ' ' AS t, [x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> ''] AS l FROM eval_items WHERE text IS NOT NULL),
+      esc AS (SELECT 'k:' || term AS node, phrase, '[^a-z0-9]' || regexp_escape(phrase) || '[^a-z0-9]' AS pat FROM ph),
+      s1 AS (SELECT DISTINCT qid, node, phrase FROM low JOIN esc ON regexp_matches(t, pat)),
+      vg AS (SELECT DISTINCT qid, unnest({_grams('l', 1, 6)}) AS gram FROM low) ,
+      s2 AS (SELECT DISTINCT qid, node, value FROM vg JOIN vals USING (gram) WHERE n_words <= 6 UNION SELECT qid, node, value FROM low JOIN vals ON n_words > 6 AND regexp_matches(t, '[^a-z0-9]' || regexp_escape(value) || '[^a-z0-9]')),
+      grams AS (SELECT DISTINCT qid, unnest(list_concat({_grams('tokens')}, {_grams('raw')})) AS gram FROM q),
+      full_names AS (SELECT node, array_to_string({_tok('name', True)}, '_') AS gram FROM named WHERE field <> 'term' UNION SELECT node, array_to_string({_tok('name')}, '_') FROM named WHERE field <> 'term' AND len({_tok('name')}) >= 2),
+      every AS (SELECT qid, node, 1.5::DOUBLE AS w FROM s1 UNION ALL SELECT qid, target, 1.2 FROM s1 JOIN tg USING (node) UNION ALL SELECT qid, node, 1.5 FROM s2
+        UNION ALL SELECT qid, node, 1.6 FROM (SELECT DISTINCT qid, node FROM grams JOIN full_names USING (gram)) UNION ALL SELECT qid, node, CAST(f.w * weight * idf AS DOUBLE) FROM forms f JOIN post ON form = token JOIN rare USING (token))
+      SELECT qid, node, round(sum(w), 5) AS weight FROM every GROUP BY ALL""",
     "infer_by_name": CATALOG + _KEYED + "SELECT * FROM r1",
     "infer_shared_key": CATALOG + _KEYED + "SELECT * FROM r2",
     "infer_edges": CATALOG + _KEYED + """, every AS (SELECT 1 AS rule, *, 0.6::DOUBLE AS confidence FROM r1 UNION ALL SELECT 2, * FROM r2)

@@ -80,10 +80,17 @@ def p4_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "spider2_exec_mix_candidates")
-    return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
+    out = hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no")
+    return out.select("run_id", "instance_id", "id", "root_id", "node_depth", "path", "n_below")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_links": p1_links, "p3_found": p3_found, "p3_by_month": p3_by_month, "p3_current": p3_current, "p4_found": p4_found, "p4_runs": p4_runs, "p4_matches": p4_matches, "p4_kept": p4_kept, "p6_found": p6_found}
+def p6_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The range of each node in the preorder of its tree: the nodes under it lie in it, the nodes above it hold it."""
+    c = table(spark, sf, "spider2_exec_mix_candidates")
+    return hierarchy(c, ["run_id", "instance_id"], "id", "parent_id", "line_no").filter("first is not null").select("run_id", "instance_id", "id", "first", "last")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_links": p1_links, "p3_found": p3_found, "p3_by_month": p3_by_month, "p3_current": p3_current, "p4_found": p4_found, "p4_runs": p4_runs, "p4_matches": p4_matches, "p4_kept": p4_kept, "p6_found": p6_found, "p6_ranges": p6_ranges}
 
 #: The key of a text column in DuckDB, and the references with their state.
 _KEY = "array_to_string([lower(trim(translate(s, '\"`[]', ''))) for s in string_split({0}, '.')], '.')"
@@ -110,6 +117,27 @@ _ORPHANS = """
                    WHERE NOT EXISTS (SELECT 1 FROM life l WHERE l.table_key = r.table_key AND l.built_at <= r.t AND (l.until IS NULL OR l.until > r.t)))
 """
 
+#: The trees with what is above and under each node.
+_TREES = """
+        WITH RECURSIVE lines AS (
+          SELECT run_id, instance_id, lower(trim(id)) AS id, nullif(lower(trim(parent_id)), '') AS parent, line_no
+          FROM spider2_exec_mix_candidates WHERE run_id IS NOT NULL AND instance_id IS NOT NULL AND trim(id) <> ''),
+        node AS (SELECT run_id, instance_id, id, max(line_no) AS line_no FROM lines GROUP BY ALL),
+        held AS (SELECT l.run_id, l.instance_id, l.id, l.parent FROM lines l JOIN node USING (run_id, instance_id, id, line_no)),
+        tree AS (SELECT DISTINCT h.run_id, h.instance_id, h.id, p.id AS parent FROM held h
+                 LEFT JOIN held p ON p.run_id = h.run_id AND p.instance_id = h.instance_id AND p.id = h.parent),
+        up AS (SELECT run_id, instance_id, id, parent AS anc FROM tree WHERE parent IS NOT NULL
+               UNION SELECT u.run_id, u.instance_id, u.id, t.parent FROM up u
+               JOIN tree t ON t.run_id = u.run_id AND t.instance_id = u.instance_id AND t.id = u.anc WHERE t.parent IS NOT NULL),
+        onloop AS (SELECT run_id, instance_id, id FROM up WHERE id = anc),
+        under AS (SELECT DISTINCT u.run_id, u.instance_id, u.id FROM up u
+                  JOIN onloop o ON o.run_id = u.run_id AND o.instance_id = u.instance_id AND o.id = u.anc),
+        deep AS (SELECT t.run_id, t.instance_id, t.id, count(u.anc) AS d FROM tree t LEFT JOIN up u USING (run_id, instance_id, id) GROUP BY ALL),
+        way AS (SELECT u.run_id, u.instance_id, u.id, string_agg(u.anc, '/' ORDER BY d.d) AS way, arg_min(u.anc, d.d) AS top
+                FROM up u JOIN deep d ON d.run_id = u.run_id AND d.instance_id = u.instance_id AND d.id = u.anc GROUP BY ALL),
+        below AS (SELECT run_id, instance_id, anc AS id, count(*) AS n FROM up WHERE id <> anc GROUP BY ALL)
+"""
+
 SQL: dict[str, str] = {
     "p4_found": """
         WITH RECURSIVE files AS (
@@ -171,24 +199,7 @@ SQL: dict[str, str] = {
         held AS (SELECT r.* FROM ref r WHERE r.t IS NOT NULL AND (r.ref_table = 'join_hints' OR r.ref_id IN (SELECT snap_id FROM last_build)))
         SELECT table_key, count(*) AS n_refs, CASE WHEN b.first_at IS NULL THEN 'missing' ELSE 'deleted' END AS status
         FROM held h LEFT JOIN born b USING (table_key) WHERE table_key NOT IN (SELECT table_key FROM live) GROUP BY table_key, b.first_at""",
-    "p6_found": """
-        WITH RECURSIVE lines AS (
-          SELECT run_id, instance_id, lower(trim(id)) AS id, nullif(lower(trim(parent_id)), '') AS parent, line_no
-          FROM spider2_exec_mix_candidates WHERE run_id IS NOT NULL AND instance_id IS NOT NULL AND trim(id) <> ''),
-        node AS (SELECT run_id, instance_id, id, max(line_no) AS line_no FROM lines GROUP BY ALL),
-        held AS (SELECT l.run_id, l.instance_id, l.id, l.parent FROM lines l JOIN node USING (run_id, instance_id, id, line_no)),
-        tree AS (SELECT DISTINCT h.run_id, h.instance_id, h.id, p.id AS parent FROM held h
-                 LEFT JOIN held p ON p.run_id = h.run_id AND p.instance_id = h.instance_id AND p.id = h.parent),
-        up AS (SELECT run_id, instance_id, id, parent AS anc FROM tree WHERE parent IS NOT NULL
-               UNION SELECT u.run_id, u.instance_id, u.id, t.parent FROM up u
-               JOIN tree t ON t.run_id = u.run_id AND t.instance_id = u.instance_id AND t.id = u.anc WHERE t.parent IS NOT NULL),
-        onloop AS (SELECT run_id, instance_id, id FROM up WHERE id = anc),
-        under AS (SELECT DISTINCT u.run_id, u.instance_id, u.id FROM up u
-                  JOIN onloop o ON o.run_id = u.run_id AND o.instance_id = u.instance_id AND o.id = u.anc),
-        deep AS (SELECT t.run_id, t.instance_id, t.id, count(u.anc) AS d FROM tree t LEFT JOIN up u USING (run_id, instance_id, id) GROUP BY ALL),
-        way AS (SELECT u.run_id, u.instance_id, u.id, string_agg(u.anc, '/' ORDER BY d.d) AS way, arg_min(u.anc, d.d) AS top
-                FROM up u JOIN deep d ON d.run_id = u.run_id AND d.instance_id = u.instance_id AND d.id = u.anc GROUP BY ALL),
-        below AS (SELECT run_id, instance_id, anc AS id, count(*) AS n FROM up WHERE id <> anc GROUP BY ALL)
+    "p6_found": _TREES + """
         SELECT d.run_id, d.instance_id, d.id,
           CASE WHEN n.id IS NOT NULL THEN '' ELSE coalesce(w.top, d.id) END AS root_id,
           CAST(CASE WHEN o.id IS NOT NULL THEN -1 WHEN n.id IS NOT NULL THEN -2 ELSE d.d END AS INTEGER) AS node_depth,
@@ -196,4 +207,9 @@ SQL: dict[str, str] = {
           CAST(coalesce(b.n, 0) AS INTEGER) AS n_below
         FROM deep d LEFT JOIN way w USING (run_id, instance_id, id) LEFT JOIN below b USING (run_id, instance_id, id)
         LEFT JOIN onloop o USING (run_id, instance_id, id) LEFT JOIN under n USING (run_id, instance_id, id)""",
+    "p6_ranges": _TREES + """,
+        steps AS (SELECT run_id, instance_id, id, list(anc ORDER BY dd) AS l FROM (SELECT u.run_id, u.instance_id, u.id, u.anc, d.d AS dd FROM up u JOIN deep d ON d.run_id = u.run_id AND d.instance_id = u.instance_id AND d.id = u.anc) GROUP BY ALL),
+        good AS (SELECT d.run_id, d.instance_id, d.id, list_append(coalesce(l, []), d.id) AS l, coalesce(b.n, 0) AS n FROM deep d LEFT JOIN steps s USING (run_id, instance_id, id) LEFT JOIN below b USING (run_id, instance_id, id)
+          WHERE NOT EXISTS (SELECT 1 FROM under x WHERE x.run_id = d.run_id AND x.instance_id = d.instance_id AND x.id = d.id))
+        SELECT run_id, instance_id, id, row_number() OVER w - 1 AS first, row_number() OVER w - 1 + n AS last FROM good WINDOW w AS (PARTITION BY run_id, instance_id ORDER BY l)""",
 }

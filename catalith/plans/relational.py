@@ -97,9 +97,10 @@ def rel_filtered_aggregate(spark, sf):
 
 
 def rel_running_total(spark, sf):
-    o = table(spark, sf, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return o.select("o_orderkey", _r(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), F.row_number().over(w).cast("int").alias("rn"), F.coalesce(F.lag("o_orderkey").over(w), F.lit(-1)).alias("before"))
+    """Running sums in cents, by one ordered scan: a customer with any share of the orders is spread over many tasks."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    run = range_scan(o, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], {"running": ("sum", "cents"), "rn": ("row_number", None), "before": ("lag", "o_orderkey")})
+    return run.select("o_orderkey", _r(F.col("running") / 100, 2).alias("running"), F.col("rn").cast("int").alias("rn"), F.coalesce("before", F.lit(-1)).alias("before"))
 
 
 def rel_rank_functions(spark, sf):
@@ -115,9 +116,12 @@ def rel_top_per_group(spark, sf):
 
 
 def rel_moving_average(spark, sf):
-    e = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
-    return e.select("event_id", _r(F.avg("value").over(w), 4).alias("mavg"))
+    """Means of a value and the two before it: the lag of a lag, by ordered scans."""
+    e, order = table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), [F.col("ts"), F.col("event_id")]
+    one = range_scan(e, ["user_id"], order, {"b1": ("lag", "value")})
+    two = range_scan(one, ["user_id"], order, {"b2": ("lag", "b1")})
+    some = F.array_compact(F.array("b2", "b1", "value"))
+    return two.select("event_id", _r(F.aggregate(some, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(some), F.lit(0)), 4).alias("mavg"))
 
 
 def rel_set_operations(spark, sf):
@@ -186,33 +190,43 @@ def rel_join_key_stats(spark, sf):
     return out
 
 
+#: The text columns of all tables; a table without any has an empty list.
+_TEXT = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
+    "embeddings": [], "documents": ["text", "lang", "source", "repo", "commit_sha", "author"], "eval_items": ["suite", "text"], "mix_targets": ["source"],
+    "connections": ["name", "type", "config"], "snapshots": ["source", "source_type", "payload", "warnings"], "join_hints": ["from_table", "to_table", "from_columns", "to_columns", "description"],
+    "spider2_exec_legacy": ["run_id", "series", "config"], "spider2_exec_mix": ["run_id", "series", "config", "summary"],
+    "spider2_exec_mix_candidates": ["run_id", "instance_id", "id", "parent_id", "action", "generator", "sql", "rationale", "advice", "feedback", "score_parts", "rubric", "missing", "findings", "fingerprint", "error", "exec_error", "prompt", "context_key"],
+}
+
+
 def src_row_counts(spark, sf):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "snapshots"]
+    """The rows of every table."""
     out = None
-    for n in names:
+    for n in _TEXT:
         one = table(spark, sf, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def src_sample_values(spark, sf):
-    """The first five distinct values of each text column, cut at 80 characters (the feature's limit)."""
+    """The first five distinct values of each text column of every table, cut at 80 characters (the feature's limit): one pass for each table, in which each task keeps its own first five."""
     out = None
-    for t in ("region", "nation", "customer", "part", "orders", "lineitem", "events"):
+    for t in _TEXT:
         df = table(spark, sf, t)
-        for c, kind in df.dtypes:
-            if kind == "string":
-                one = df.filter(F.col(c).isNotNull()).select(F.substring(c, 1, 80).alias("v")).distinct().orderBy("v").limit(5).agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("samples")).select(F.lit(t).alias("table"), F.lit(c).alias("column"), "samples")
-                out = one if out is None else out.unionByName(one)
-    return out
+        names = [c for c, kind in df.dtypes if kind == "string"]
+        if names:
+            each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.substring(c, 1, 80).alias("v")) for c in names])).alias("e")).select(F.lit(t).alias("table"), "e.*").filter("v is not null")
+            out = each if out is None else out.unionByName(each)
+    first = out.withColumn("n", F.dense_rank().over(Window.partitionBy("table", "column").orderBy("v"))).filter("n <= 5").select("table", "column", "v").distinct()
+    return first.groupBy("table", "column").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("samples"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith(("rel_", "src_"))}
 
 _ONE = "SELECT '{t}' AS \"table\", '{c}' AS key, count({c}) AS n, count(DISTINCT {c}) AS d, round(count({c}) / count(DISTINCT {c}), 2) AS per_value, count({c}) = count(DISTINCT {c}) AS is_unique FROM {t}"
 _STAT = "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_null, min({c}) AS least, max({c}) AS largest FROM spider2_exec_mix_candidates"
-_SAMPLE = "SELECT '{t}' AS \"table\", '{c}' AS \"column\", string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT DISTINCT {c}[1:80] AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)"
-_TEXT = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"]}
+_SAMPLE = "SELECT '{t}' AS \"table\", '{c}' AS \"column\", string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT DISTINCT substring({c}, 1, 80) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5) HAVING count(*) > 0"
 
 SQL: dict[str, str] = {
     "rel_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 0) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 0) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY ALL",
@@ -242,6 +256,6 @@ SQL: dict[str, str] = {
     "rel_time_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "rel_column_stats": " UNION ALL ".join(_STAT.format(c=c) for c in ("run_id", "instance_id", "action", "generator", "fingerprint")),
     "rel_join_key_stats": " UNION ALL ".join(_ONE.format(t=t, c=c) for t, c in (("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("customer", "c_nationkey"), ("part", "p_partkey"))),
-    "src_row_counts": " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "snapshots")),
+    "src_row_counts": " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n FROM {n}" for n in _TEXT),
     "src_sample_values": " UNION ALL ".join(_SAMPLE.format(t=t, c=c) for t, cs in _TEXT.items() for c in cs),
 }

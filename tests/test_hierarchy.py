@@ -1,6 +1,6 @@
 import random
 
-from catalith.operators.hierarchy import hierarchy
+from catalith.operators.hierarchy import descendants, hierarchy
 
 COLS = "run string, q string, id string, parent string, n long, depth int, path string"
 
@@ -35,6 +35,18 @@ def brute(rows):
     return out
 
 
+def ranges(rows):
+    """A node's range holds just the nodes whose paths go on from its own; others have none."""
+    trees = {}
+    for r in rows:
+        trees.setdefault((r.run, r.q), []).append(r)
+    for t in trees.values():
+        good = [r for r in t if r.node_depth >= 0]
+        assert sorted(r.first for r in good) == list(range(len(good))) and all(r.first is None and r.last is None for r in t if r.node_depth < 0)
+        for a in good:
+            assert {b.id for b in good if a.first < b.first <= a.last} == {b.id for b in good if b.path.startswith(a.path + "/")}
+
+
 def test_random_forests(spark):
     rnd = random.Random(8)
     rows = []
@@ -48,8 +60,10 @@ def test_random_forests(spark):
     rows += [("deep", "q", f"d{i}", f"d{i - 1}" if i else None, i, 0, "x") for i in range(400)]
     df = spark.createDataFrame(rows, COLS)
     want = brute(rows)
-    got = [tuple(r) for r in hierarchy(df, ["run", "q"], "id", "parent", "n").collect()]
+    h = hierarchy(df, ["run", "q"], "id", "parent", "n").cache()
+    got = [tuple(r)[:7] for r in h.collect()]
     assert set(got) == want and len(got) == len(want)
+    ranges(h.collect())
 
 
 def test_large_trees_by_joins(spark):
@@ -57,8 +71,13 @@ def test_large_trees_by_joins(spark):
     rows = [("r", "q", f"n{i}", None if i == 0 else f"n{rnd.randrange(max(0, i - 4), i)}", i, 0, "x") for i in range(30)]
     rows += [("r", "q", "l1", "l3", 50, 0, "x"), ("r", "q", "l2", "l1", 51, 0, "x"), ("r", "q", "l3", "l2", 52, 0, "x"), ("r", "q", "u", "l2", 53, 0, "x"), ("r", "q", "v", "u", 54, 0, "x"), ("s", "q", "a", None, 1, 0, "x")]
     df = spark.createDataFrame(rows, COLS)
-    got = [tuple(r) for r in hierarchy(df, ["run", "q"], "id", "parent", "n", local_nodes=5).collect()]
-    assert set(got) == brute(rows) and len(got) == len(rows)
+    h = hierarchy(df, ["run", "q"], "id", "parent", "n", local_nodes=5).cache()
+    assert {tuple(r)[:7] for r in h.collect()} == brute(rows) and h.count() == len(rows)
+    ranges(h.collect())
+    assert {tuple(r) for r in h.collect()} == {tuple(r) for r in hierarchy(df, ["run", "q"], "id", "parent", "n").collect()}
+    asked = spark.createDataFrame([("r", "q", "n0"), ("r", "q", "l1"), ("s", "q", "a")], "run string, q string, id string")
+    under = {(r.id, r.distance) for r in descendants(h, ["run", "q"], asked).collect()}
+    assert under == {(r.id, r.node_depth) for r in h.collect() if r.node_depth > 0}
 
 
 def test_empty(spark):
