@@ -8,13 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.operators import merge as M
+from catalith.plans.link_queries import _cat
 from catalith.plans.sqltext import CATALOG, COST, strings
-from catalith.session import table
-from catalith.sources.snapshots import Catalog, catalog
-
-
-def _cat(spark: SparkSession, sf: str) -> Catalog:
-    return catalog(table(spark, sf, "snapshots"), table(spark, sf, "connections"))
 
 
 def merge_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,16 +21,24 @@ def merge_columns(spark: SparkSession, sf: str) -> DataFrame:
     return M.merge_columns(_cat(spark, sf)).select("table_key", "col", "name", "data_type", "is_primary_key", F.array_join("samples", "|").alias("samples"))
 
 
+def merge_properties(spark: SparkSession, sf: str) -> DataFrame:
+    return M.merge_properties(_cat(spark, sf))
+
+
+def merge_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return M.primary_keys(_cat(spark, sf))
+
+
 def merge_stubs(spark: SparkSession, sf: str) -> DataFrame:
     return M.stubs(_cat(spark, sf))
 
 
 def graph_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return M.relations(M.distinct_edges(_cat(spark, sf)))
+    return M.relations(M.distinct_edges(_cat(spark, sf))).drop("affinity")
 
 
 def graph_join_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return M.relations(M.distinct_edges(_cat(spark, sf)), [k for k in M.JOIN_COST if k != "lineage"])
+    return M.relations(M.distinct_edges(_cat(spark, sf)), [k for k in M.JOIN_COST if k != "lineage"]).drop("affinity")
 
 
 def graph_lineage(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_columns": merge_columns,
     "merge_stubs": merge_stubs,
     "merge_terms": merge_terms,
+    "merge_properties": merge_properties,
+    "merge_keys": merge_keys,
     "term_targets": term_targets,
     "graph_relations": graph_relations,
     "graph_join_tables": graph_join_tables,
@@ -122,6 +127,9 @@ SQL: dict[str, str] = {
       bare AS (SELECT string_split(table_key, '.')[-1] AS b, min(table_key) AS one FROM tk GROUP BY ALL HAVING count(*) = 1)
       SELECT DISTINCT term, coalesce(x.table_key, h.table_key, one) AS target_table, CASE WHEN x.table_key IS NULL THEN m.col END AS target_col FROM parts p LEFT JOIN tk x ON x.table_key = k
       LEFT JOIN tk h ON h.table_key = head LEFT JOIN mc m ON m.table_key = head AND m.col = tail AND h.table_key IS NOT NULL LEFT JOIN bare ON b = k WHERE coalesce(x.table_key, h.table_key, one) IS NOT NULL""",
+    "merge_properties": CATALOG + """, pp AS (SELECT table_key, rk * 100000 + pos AS o, CAST(json_extract(t, '$.properties') AS MAP(VARCHAR, JSON)) AS m FROM ct WHERE json_type(t, '$.properties') = 'OBJECT'),
+      each AS (SELECT table_key, o, unnest(map_keys(m)) AS property, unnest(map_values(m)) AS v FROM pp) SELECT table_key, property, arg_min(v->>'$', o) AS value FROM each WHERE json_type(v) <> 'NULL' GROUP BY ALL""",
+    "merge_keys": CATALOG + "SELECT table_key, string_agg(col, ',' ORDER BY ord) AS primary_key FROM mc WHERE is_primary_key GROUP BY ALL",
     "graph_relations": CATALOG + _RELATIONS.format(""),
     "graph_join_tables": CATALOG + _RELATIONS.format("AND kind IN ('foreign_key', 'relationship_test', 'join_hint', 'catalog_relation', 'inferred')"),
     "graph_lineage": CATALOG + """, b AS (SELECT from_key AS table_key, CAST(NULL AS VARCHAR) AS u, to_key AS d FROM de WHERE kind = 'lineage' UNION SELECT to_key, from_key, CAST(NULL AS VARCHAR) FROM de WHERE kind = 'lineage')

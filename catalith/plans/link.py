@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,13 +112,17 @@ def _picked(ranked: DataFrame, questions: DataFrame, o: L.Objects, opts: LinkOpt
     return rows.groupBy("qid").applyInPandas(pick, f"qid {qid}, table_key string")  # bounded by the candidates
 
 
+def _keys(o: L.Objects) -> Column:
+    """The tables of a catalog that was found to have few of them, as one array."""
+    return F.array(*[F.lit(k) for k in sorted(r.table_key for r in o.tables.select("table_key").collect())]).cast("array<string>")
+
+
 def _everything(questions: DataFrame, o: L.Objects) -> Linked:
     """The bypass for small catalogs: every table with every column for every question."""
     spark = questions.sparkSession
     qid = questions.schema["qid"].dataType.simpleString()
     empty = lambda s: spark.createDataFrame([], f"qid {qid}, {s}")
-    keys = o.tables.select("table_key").orderBy("table_key").agg(F.array_sort(F.collect_list("table_key")).alias("keys"))  # at most small_schema_bypass
-    t = questions.select("qid").withColumn("one", F.lit(1)).join(F.broadcast(keys.withColumn("one", F.lit(1))), "one").select("qid", F.posexplode("keys").alias("p", "table_key"))
+    t = questions.select("qid", F.posexplode(_keys(o)).alias("p", "table_key"))
     tables = t.select("qid", "table_key", F.lit(0.0).alias("score"), F.lit(False).alias("anchor"), (F.col("p") + 1).alias("pos"))
     columns = tables.join(o.columns, "table_key").select("qid", "table_key", "col", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("reason"), "ord")
     return Linked(empty("node string, weight double, reasons array<string>"), empty("node string, score double"), empty("table_key string, score double, evidence double, pos int, anchor boolean"), empty("tables array<string>, reliability double, place int"), tables, columns, empty("term string, target string"))
@@ -181,9 +185,7 @@ def _chosen(questions: DataFrame, o: L.Objects, ranked: DataFrame, paths: DataFr
     must = ranked.filter("anchor").select("qid", "table_key").unionByName(paths.select("qid", F.explode("tables").alias("table_key"))).distinct().withColumn("must", F.lit(True))
     rows = ranked
     if whole:
-        keys = o.tables.agg(F.collect_set("table_key").alias("keys")).withColumn("one", F.lit(1))  # at most max_tables
-        every = questions.select("qid").withColumn("one", F.lit(1)).join(F.broadcast(keys), "one").select("qid", F.explode("keys").alias("table_key"))
-        must = must.unionByName(every.withColumn("must", F.lit(True))).distinct()
+        must = must.unionByName(questions.select("qid", F.explode(_keys(o)).alias("table_key")).withColumn("must", F.lit(True))).distinct()
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     all_ = rows.join(must, ["qid", "table_key"], "full").select("qid", "table_key", zero("score", 0.0), zero("evidence", 0.0), "pos", zero("anchor", False), zero("must", False))
     by_q = Window.partitionBy("qid")

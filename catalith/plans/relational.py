@@ -124,6 +124,61 @@ def rel_moving_average(spark, sf):
     return two.select("event_id", _r(F.aggregate(some, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(some), F.lit(0)), 4).alias("mavg"))
 
 
+def rel_text_functions(spark, sf):
+    p = table(spark, sf, "part")
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    return p.select("p_partkey", F.upper("p_brand").alias("up"), F.substring("p_name", 2, 5).alias("mid"), F.regexp_replace("p_type", "[AEIOU]", "*").alias("starred"), F.length("p_name").alias("len"), F.reverse("p_brand").alias("back"), F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"), F.concat_ws("-", word, F.lower("p_type")).alias("joined"), F.instr("p_type", "E").alias("at"), F.trim(F.concat(F.lit("  "), word, F.lit(" "))).alias("word"))
+
+
+def rel_time_functions(spark, sf):
+    o = table(spark, sf, "orders").withColumn("d", F.to_date("o_orderdate"))
+    return o.select("o_orderkey", F.year("d").alias("y"), F.quarter("d").alias("q"), F.dayofyear("d").alias("doy"), F.date_format("d", "yyyy-MM").alias("ym"), F.datediff(F.lit("1999-01-01").cast("date"), "d").alias("left"), F.date_format(F.add_months("d", 1), "yyyy-MM-dd").alias("next"), F.date_format(F.trunc("d", "month"), "yyyy-MM-dd").alias("first"), F.date_format(F.last_day("d"), "yyyy-MM-dd").alias("last"))
+
+
+def rel_number_functions(spark, sf):
+    l = table(spark, sf, "lineitem")
+    q = F.col("l_quantity").cast("long")
+    return l.select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") / 7).cast("long").alias("down"), F.ceil(F.col("l_quantity") / 7).cast("long").alias("up"), (q % 7).alias("rest"), F.round(F.sqrt("l_quantity"), 6).alias("root"), F.round(F.log("l_quantity"), 6).alias("ln"), F.greatest(q, F.lit(25)).cast("long").alias("most"), F.nullif(q, F.lit(1)).alias("none"), F.sign(q - 25).cast("int").alias("sign"), q.bitwiseXOR(F.lit(5)).alias("xor"))
+
+
+def rel_array_functions(spark, sf):
+    """Arrays and maps from words: sorted, filtered, transformed, sliced, set operations and lookups."""
+    w = table(spark, sf, "part").select("p_partkey", F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("a"), F.split(F.lower("p_type"), " ").alias("b"))
+    text = lambda c: F.array_join(c, ",")
+    return w.select(
+        "p_partkey", text("a").alias("sorted"), F.size("a").alias("n"), text(F.filter("a", lambda x: F.length(x) > 4)).alias("long"), text(F.transform("a", lambda x: F.substring(x, 1, 2))).alias("heads"), text(F.slice("a", 1, 2)).alias("two"),
+        F.array_contains("a", "red").alias("red"), text(F.array_sort(F.array_union("a", F.array_distinct("b")))).alias("both"), F.aggregate("a", F.lit(0), lambda x, y: x + F.length(y)).alias("chars"),
+        F.try_element_at(F.map_from_arrays("a", F.transform("a", lambda x: F.length(x))), F.get("a", F.lit(0))).alias("first_len"),
+    )
+
+
+def rel_json_functions(spark, sf):
+    """Fields and list elements of JSON texts, and a row for each element."""
+    s = table(spark, sf, "snapshots").select("snap_id", "payload").distinct()
+    edges = F.from_json(F.get_json_object("payload", "$.edges"), "array<struct<kind: string, confidence: double>>")
+    return s.select("snap_id", F.get_json_object("payload", "$.source").alias("source"), F.posexplode(edges).alias("pos", "e")).select("snap_id", "source", "pos", "e.kind", F.round("e.confidence", 4).alias("confidence"))
+
+
+def rel_derived_scalar(spark, sf):
+    """Rows against a scalar of a derived table (a product with one row in SQL, a scalar subquery here)."""
+    o = table(spark, sf, "orders")
+    mean = o.agg(F.avg("o_totalprice").alias("m"))
+    return o.filter(F.col("o_totalprice") > 2 * mean.scalar()).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+def rel_generators(spark, sf):
+    """Rows from ranges and from lists, and names that need quotes."""
+    n = spark.range(1, 13).select(F.col("id").alias("order no"))
+    months = n.select("order no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("order no"))).alias("select"))
+    return months.groupBy("order no").agg(F.sum("select").alias("sum of all"))
+
+
+def rel_fetch(spark, sf):
+    """The first rows in an order after others: what FETCH FIRST, LIMIT with OFFSET and LIMIT ALL ask for."""
+    c = table(spark, sf, "customer")
+    return c.orderBy(F.desc("c_acctbal"), "c_custkey").offset(3).limit(7).select("c_custkey")
+
+
 def rel_set_operations(spark, sf):
     c, s = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))
     tag = lambda df, x: df.select("k", F.lit(x).alias("op"))
@@ -229,6 +284,14 @@ _STAT = "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, count(*)
 _SAMPLE = "SELECT '{t}' AS \"table\", '{c}' AS \"column\", string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT DISTINCT substring({c}, 1, 80) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5) HAVING count(*) > 0"
 
 SQL: dict[str, str] = {
+    "rel_text_functions": "SELECT p_partkey, upper(p_brand) AS up, substring(p_name, 2, 5) AS mid, regexp_replace(p_type, '[AEIOU]', '*', 'g') AS starred, length(p_name) AS len, reverse(p_brand) AS back, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, concat_ws('-', split_part(p_name, ' ', 1), lower(p_type)) AS joined, instr(p_type, 'E') AS at, trim('  ' || split_part(p_name, ' ', 1) || ' ') AS word FROM part",
+    "rel_time_functions": "SELECT o_orderkey, year(d) AS y, quarter(d) AS q, dayofyear(d) AS doy, strftime(d, '%Y-%m') AS ym, date_diff('day', d, DATE '1999-01-01') AS left, strftime(d + INTERVAL 1 MONTH, '%Y-%m-%d') AS next, strftime(date_trunc('month', d), '%Y-%m-%d') AS first, strftime(last_day(d), '%Y-%m-%d') AS last FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)",
+    "rel_number_functions": "SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity / 7) AS BIGINT) AS down, CAST(ceil(l_quantity / 7) AS BIGINT) AS up, q % 7 AS rest, round(sqrt(l_quantity), 6) AS root, round(ln(l_quantity), 6) AS ln, greatest(q, 25) AS most, nullif(q, 1) AS none, CAST(sign(q - 25) AS INTEGER) AS sign, xor(q, 5) AS xor FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)",
+    "rel_array_functions": "SELECT p_partkey, array_to_string(a, ',') AS sorted, len(a) AS n, array_to_string([x for x in a if len(x) > 4], ',') AS long, array_to_string([x[1:2] for x in a], ',') AS heads, array_to_string(a[1:2], ',') AS two, list_contains(a, 'red') AS red, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS both, CAST(list_sum([len(x) for x in a]) AS INTEGER) AS chars, len(a[1]) AS first_len FROM (SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS a, string_split(lower(p_type), ' ') AS b FROM part)",
+    "rel_json_functions": "SELECT snap_id, source, CAST(pos AS INTEGER) AS pos, e->>'kind' AS kind, round(CAST(e->>'confidence' AS DOUBLE), 4) AS confidence FROM (SELECT snap_id, payload->>'$.source' AS source, unnest(CAST(json_extract(payload, '$.edges') AS JSON[])) AS e, generate_subscripts(CAST(json_extract(payload, '$.edges') AS JSON[]), 1) - 1 AS pos FROM (SELECT DISTINCT snap_id, payload FROM snapshots WHERE json_valid(payload)))",
+    "rel_derived_scalar": "SELECT o_orderpriority, count(*) AS n FROM orders CROSS JOIN (SELECT avg(o_totalprice) AS m FROM orders) WHERE o_totalprice > 2 * m GROUP BY ALL",
+    "rel_generators": "SELECT \"order no\", CAST(sum(\"select\") AS BIGINT) AS \"sum of all\" FROM (SELECT range AS \"order no\", unnest(range(1, range + 1)) AS \"select\" FROM range(1, 13)) GROUP BY ALL",
+    "rel_fetch": "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey OFFSET 3 ROWS FETCH FIRST 7 ROWS ONLY",
     "rel_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 0) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 0) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY ALL",
     "rel_join_chain": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "rel_semi_join": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY ALL",
