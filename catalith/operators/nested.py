@@ -275,6 +275,30 @@ class Shredded:
         """All tables in one pass: Parquet, one folder a table, so that a reader of one table opens its files only."""
         self.rows.write.partitionBy("table").mode("overwrite").parquet(folder)
 
+    def links(self) -> DataFrame:
+        """table_name, parent_table, n_rows, n_lost: how many rows hang on which table, and how many of their foreign keys meet no row (none may).
+
+        The rows of a text come one after the other, a holder before what it holds, so the keys of one text at a time are enough and nothing is shuffled but the counts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: dict[tuple, list[int]] = {}
+            at, keys = None, set()
+            for b in batches:
+                for text, own, up, path, held in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), *[b.column(i).to_pylist() for i in (2, 3, 4, 5)]):
+                    if text != at:
+                        at, keys = text, set()
+                    n = counts.setdefault((own, up), [0, 0])
+                    n[0] += 1
+                    n[1] += up is not None and (up, held) not in keys
+                    keys.add((own, path))
+            if counts:
+                names, up = zip(*counts)
+                rows, lost = zip(*counts.values())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(up, pa.string()), pa.array(rows, pa.int64()), pa.array(lost, pa.int64())], names=["table_name", "parent_table", "n_rows", "n_lost"])
+
+        each = self.rows.select(self.id_col, "field", "table", "parent_table", "row_path", "parent_row_path").mapInArrow(run, "table_name string, parent_table string, n_rows long, n_lost long")
+        return each.groupBy("table_name", "parent_table").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_lost").alias("n_lost"))
+
     def table(self, name: str) -> DataFrame:
         """One flat table: line, field, row_path, the foreign key (parent_table, parent_row_path), slot and position in it, and its inlined columns, named v:path."""
         cols = sorted(self._columns(name))

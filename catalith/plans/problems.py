@@ -28,10 +28,7 @@ def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_links(spark: SparkSession, sf: str) -> DataFrame:
     """table_name, parent_table, n_rows, n_lost: how many rows hang on which table, and how many of their foreign keys meet no row (none may)."""
-    rows = cut(p1_tables(spark, sf).select("line_no", "field", "row_path", "table_name", "parent_table", "parent_row_path"))
-    held = rows.select("line_no", "field", F.col("row_path").alias("parent_row_path"), F.col("table_name").alias("parent_table"), F.lit(1).alias("there")).distinct()
-    linked = rows.join(held, ["line_no", "field", "parent_row_path", "parent_table"], "left")
-    return linked.groupBy("table_name", "parent_table").agg(F.count("*").alias("n_rows"), F.count_if(F.col("parent_table").isNotNull() & F.col("there").isNull()).alias("n_lost"))
+    return shred(table(spark, sf, "spider2_exec_mix_candidates"), "line_no", ["rubric", "missing", "findings"]).links()
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

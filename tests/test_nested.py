@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,6 +118,8 @@ def test_tables_and_links(spark, tmp_path):
     assert (1, "list/1/kids/1/at", "list/1/kids/1", "3") in at
     keys = {(r.line_no, r.row_path) for r in s.rows.collect()}
     assert all((r.line_no, r.parent_row_path) in keys for r in s.rows.collect() if r.parent_row_path is not None)
+    links = {(r.table_name, r.parent_table): (r.n_rows, r.n_lost) for r in s.links().collect()}
+    assert links == {k: (n, 0) for k, n in Counter((r["table"], r.parent_table) for r in s.rows.collect()).items()} and len(links) > 4
     once = s.kept()
     assert {r.parent_path for r in once.values().collect()} == {"", "at", "list/0/at", "list/1/kids/1/at"}
     once.write(f"{tmp_path}/t")
