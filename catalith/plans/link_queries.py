@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from catalith.operators import paths as P
 from catalith.operators import ranking as R
 from catalith.plans import link as K
 from catalith.plans.sqltext import CATALOG, COST, strings
-from catalith.session import store, store_all, table
+from catalith.session import ensure_checkpoint_dir, store, store_all, table
 from catalith.sources.snapshots import catalog
 
 
@@ -38,12 +39,14 @@ def _state(spark: SparkSession, sf: str) -> tuple:
 
 
 def _cat(spark: SparkSession, sf: str):
-    """The merged catalog. Like a linker that stays in memory it is built once; other files, or files that changed, build it anew."""
+    """The merged catalog. Like a linker that stays in memory it is built once; other files, files that changed, or a shared folder that was emptied build it anew."""
     now = _state(spark, sf)
-    if _INDEX.get("state") != now:
+    if _INDEX.get("state") != now or not spark._jvm.org.apache.hadoop.fs.Path(_INDEX["mark"]).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(_INDEX["mark"])):
         cat = catalog(table(spark, sf, "snapshots"), table(spark, sf, "connections"))
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+        mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
         _INDEX.clear()
-        _INDEX.update(state=now, catalog=cat)
+        _INDEX.update(state=now, catalog=cat, mark=mark.toString())
     return _INDEX["catalog"]
 
 
