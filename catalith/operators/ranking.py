@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,7 +22,9 @@ CONTAINS, FK_COLUMN, GLOSSARY = 0.5, 0.8, 0.7
 ALPHA, TOLERANCE = 0.85, 1e-12
 TABLE_BONUS, COLUMN_BONUS, BONUS_CAP = 0.35, 0.10, 2.0
 #: Directed edges of a graph that is sent to the tasks, and the questions that one solves at a time: at most BLOCK, or BLOCK_CELLS scores. A larger graph goes by joins.
-LOCAL_EDGES, BLOCK, BLOCK_CELLS = 2_000_000, 32, 4_000_000
+LOCAL_EDGES, BLOCK, BLOCK_CELLS = 2_000_000, 32, 1_000_000
+#: Bytes of the names of such a graph's nodes, and the rows that a task hands over at a time.
+LOCAL_NAMES, BATCH = 128_000_000, 50_000
 
 
 def graph_edges(o: L.Objects, post: DataFrame, by: str = "weight") -> DataFrame:
@@ -74,7 +77,9 @@ def _step(layout: tuple, x: np.ndarray) -> np.ndarray:
     y = np.zeros_like(x)
     got = np.zeros((len(nodes), x.shape[1]))
     for src, p in layers:
-        got[: len(src)] += x[src] * p
+        part = x[src]
+        part *= p
+        got[: len(src)] += part
     y[nodes] = got
     for node, src, p in many:
         y[node] = (x[src] * p).sum(axis=0)
@@ -87,19 +92,33 @@ def walk(layout: tuple, start: np.ndarray, n: int, alpha: float = ALPHA) -> np.n
     The score that nodes without edges give back to the teleport only scales a column, so columns are scaled to 1 at the end. The
     rounds end when a column changes by less than n * TOLERANCE in all; two plain rounds close, so that every score is a sum of shares."""
     home = (1 - alpha) * start
+    del start  # a task's memory goes to the arrays of a block, so none stays longer than it is needed
     was, x, omega = None, home.copy(), 1.0
     while True:
         omega = next_weight(omega, was is None, alpha)
-        y = alpha * _step(layout, x) + home
+        y = _home(layout, x, alpha, home)
         if was is not None:
-            y = omega * (y - was) + was
-        done = np.abs(y - x).sum(axis=0).max() < n * TOLERANCE
+            y -= was
+            y *= omega
+            y += was
+        moved = np.subtract(y, x, out=was)
+        done = np.abs(moved, out=moved).sum(axis=0).max() < n * TOLERANCE
         was, x = x, y
         if done:
             break
+    del was, moved, y
     for _ in range(2):
-        x = alpha * _step(layout, np.clip(x, 0, None)) + home
-    return x / x.sum(axis=0)
+        x = _home(layout, np.clip(x, 0, None, out=x), alpha, home)
+    x /= x.sum(axis=0)
+    return x
+
+
+def _home(layout: tuple, x: np.ndarray, alpha: float, home: np.ndarray) -> np.ndarray:
+    """Shares of neighbours and of the teleport."""
+    y = _step(layout, x)
+    y *= alpha
+    y += home
+    return y
 
 
 def next_weight(omega: float, first: bool, alpha: float) -> float:
@@ -115,56 +134,103 @@ def pagerank(edges: DataFrame | None, seeds: DataFrame, alpha: float = ALPHA, lo
     step: the transition, if it is at hand. kinds: only nodes whose names begin with one of these letters come out."""
     step = store(transition(edges)) if step is None else step
     start = _shares(seeds)
-    if step.count() > local_edges:
+    nodes = _numbered(step, local_edges)
+    if nodes is None:
         out = pagerank_by_joins(step, store(start), alpha)
         return out.filter(F.substring("node", 1, 1).isin(*kinds)) if kinds else out
     q_arrow = to_arrow_type(seeds.schema["qid"].dataType)
 
-    def shown(qids: list, names: list[str], x: np.ndarray) -> pa.RecordBatch:
-        if kinds:
-            at = np.flatnonzero([v[:1] in kinds for v in names])
-            x, names = x[at], [names[i] for i in at]
-        i, j = np.nonzero(x > 0)
-        return pa.RecordBatch.from_arrays([pa.array(qids, q_arrow).take(pa.array(j)), pa.array(names, pa.string()).take(pa.array(i)), pa.array(x[i, j])], names=["qid", "node", "score"])
+    def shown(qids: pa.Array, own: dict, extra: list[str], x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = pa.concat_arrays([own["node"], pa.array(extra, pa.string())]) if extra else own["node"]
+        wanted = pc.is_in(pc.utf8_slice_codeunits(names, 0, 1), value_set=pa.array([*kinds])).to_numpy(zero_copy_only=False) if kinds else True
+        for j in range(len(qids)):
+            i = np.flatnonzero((x[:, j] > 0) & wanted)
+            for k in range(0, len(i), BATCH):
+                at = i[k : k + BATCH]
+                yield pa.RecordBatch.from_arrays([pa.repeat(qids[j], len(at)).cast(q_arrow), names.take(pa.array(at)), pa.array(x[at, j])], names=["qid", "node", "score"])
 
-    return _walked(step, start, alpha, shown, f"qid {seeds.schema['qid'].dataType.simpleString()}, node string, score double")
+    return _walked(step, nodes, start, alpha, shown, f"qid {seeds.schema['qid'].dataType.simpleString()}, node string, score double")
 
 
-def _walked(step: DataFrame, start: DataFrame, alpha: float, shown, schema: str) -> DataFrame:
-    """The graph goes to the tasks; shown(question ids, node names, scores: nodes x questions) makes the rows of each block of questions."""
-    g = step.toPandas()  # at most local_edges rows
-    names = np.unique(g["u"].to_numpy(str)) if len(g) else np.zeros(0, str)
-    index = {v: i for i, v in enumerate(names.tolist())}
-    wire = step.sparkSession.sparkContext.broadcast((names.tolist(), g["u"].map(index).to_numpy(np.int32), g["v"].map(index).to_numpy(np.int32), g["p"].to_numpy()))
+def _numbered(step: DataFrame, local_edges: int) -> DataFrame | None:
+    """node, id (its place among the names) of a graph that may be sent to the tasks; none of a larger one."""
+    if step.count() > local_edges:
+        return None
+    nodes = store(step.select(F.col("u").alias("node")).distinct().select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("id")))  # at most local_edges rows
+    return nodes if (nodes.agg(F.sum(F.octet_length("node"))).first()[0] or 0) <= LOCAL_NAMES else None
+
+
+def _walked(step: DataFrame, nodes: DataFrame, start: DataFrame, alpha: float, shown, schema: str) -> DataFrame:
+    """The graph goes to the tasks; shown(question ids, columns of nodes, names of seeds outside the graph, scores: both x questions) makes the rows of each block of questions.
+
+    nodes: node, id, and what else ``shown`` needs, texts as dictionaries. The driver only passes on arrays: two numbers and a share an edge, a name a node, never a Python object for each."""
+    of = lambda c, i: nodes.select(F.col("node").alias(c), F.col("id").alias(i))
+    n = nodes.toArrow()
+    n = n.take(pa.array(np.argsort(n["id"].to_numpy())))
+    own = {c: n[c].combine_chunks() if c == "node" else n[c].combine_chunks().dictionary_encode() for c in n.column_names if c != "id"}
+    del n
+    e = step.join(of("u", "src"), "u").join(of("v", "dst"), "v").select("src", "dst", "p").toArrow()  # at most local_edges rows
+    ends = [e[c].to_numpy() for c in ("src", "dst", "p")]
+    del e
+    layout = _layers(*ends)
+    del ends
+    wire = step.sparkSession.sparkContext.broadcast((own, layout))
+    del own, layout
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, src, dst, p = wire.value
-        layout, index = _layers(src, dst, p), {v: i for i, v in enumerate(names)}
-
-        def solved(rows: list[tuple]) -> pa.RecordBatch:
-            qids = list(dict.fromkeys(r[0] for r in rows))
-            extra = sorted({r[1] for r in rows} - index.keys())
-            at, col = {**index, **{v: len(names) + i for i, v in enumerate(extra)}}, {v: i for i, v in enumerate(qids)}
-            begin = np.zeros((len(names) + len(extra), len(qids)))
-            np.add.at(begin, ([at[r[1]] for r in rows], [col[r[0]] for r in rows]), [r[2] for r in rows])
-            return shown(qids, [*names, *extra], walk(layout, begin, len(names) + len(extra), alpha))
-
-        block, last, n = [], None, 0
+        own, layout = wire.value
+        names = own["node"]
+
+        def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            node, w = rows["node"].combine_chunks(), rows["w"].to_numpy()
+            qids = rows["qid"].combine_chunks().unique()
+            col, at = pc.index_in(rows["qid"], value_set=qids).to_numpy(), _found(node, names)
+            lost = node.filter(pa.array(at < 0)).to_pylist()
+            extra = sorted(set(lost))
+            place = {v: len(names) + i for i, v in enumerate(extra)}
+            at[at < 0] = [place[v] for v in lost]
+            n = len(names) + len(extra)
+            del rows, node
+            yield from shown(qids, own, extra, walk(layout, _laid(at, col, w, (n, len(qids))), n, alpha))
+
+        held, last, n = [], None, 0
         most = max(1, min(BLOCK, BLOCK_CELLS // max(1, len(names))))
         for b in batches:
-            for r in zip(*[b.column(c).to_pylist() for c in ("qid", "node", "w")]):
-                if r[0] != last:
-                    n, last = n + 1, r[0]
+            if not b.num_rows:
+                continue
+            q = b.column("qid")
+            cuts = [0, *(np.flatnonzero(pc.not_equal(q[1:], q[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(q)]
+            for i, j in zip(cuts, cuts[1:]):
+                if q[i].as_py() != last:
+                    n, last = n + 1, q[i].as_py()
                     if n > most:
-                        yield solved(block)
-                        block, n = [], 1
-                block.append(r)
-        if block:
-            yield solved(block)
+                        yield from solved(held)
+                        n = 1
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from solved(held)
 
     return start.repartition("qid").sortWithinPartitions("qid", "node").mapInArrow(run, schema)
 
 
+def _found(wanted: pa.Array, names: pa.Array, part: int = 131_072) -> np.ndarray:
+    """The place of each among the names, -1 for none, by parts of them: Arrow copies what it looks up in."""
+    at = np.full(len(wanted), -1)
+    for k in range(0, len(names), part):
+        i = pc.fill_null(pc.index_in(wanted, value_set=names[k : k + part]), -1).to_numpy()
+        at[i >= 0] = i[i >= 0] + k
+    return at
+
+
+def _laid(at: np.ndarray, col: np.ndarray, w: np.ndarray, shape: tuple) -> np.ndarray:
+    """The teleports of a block, each seed of a question once."""
+    out = np.zeros(shape)
+    out[at, col] = w
+    return out
+
+
 def _shares(seeds: DataFrame) -> DataFrame:
     """qid, node, w: teleports that add up to 1 for each question."""
     good = seeds.filter("weight > 0")
@@ -183,7 +249,8 @@ def table_walk(step: DataFrame, seeds: DataFrame, columns: DataFrame, alpha: flo
     q = seeds.schema["qid"].dataType
     schema = f"qid {q.simpleString()}, table_key string, own double, score double, cols array<struct<col: string, score: double>>"
     start = _shares(seeds)
-    if step.count() > local_edges:
+    graph = _numbered(step, local_edges)
+    if graph is None:
         nodes = store(pagerank_by_joins(step, store(start), alpha))
         own = nodes.filter("node like 't:%'").select("qid", F.expr("substring(node, 3)").alias("table_key"), F.col("score").alias("own"))
         cols = nodes.join(columns.select("node", "table_key", "col"), "node").groupBy("qid", "table_key").agg(F.collect_list(F.struct("col", "score")).alias("cols"))
@@ -191,40 +258,48 @@ def table_walk(step: DataFrame, seeds: DataFrame, columns: DataFrame, alpha: flo
         return every.select("qid", "table_key", "own", "score", F.coalesce("cols", F.array().cast("array<struct<col: string, score: double>>")).alias("cols"))
     q_arrow = to_arrow_type(q)
 
-    def shown(qids: list, names: list[str], x: np.ndarray) -> pa.RecordBatch:
-        kind = np.array([v[:1] for v in names])
-        ti, ci = np.flatnonzero(kind == "t"), np.flatnonzero(kind == "c")
-        full = [names[i][2:] for i in ci]
-        of = [v.rpartition(".") for v in full] if not odd.value else [odd.value.get(v) and (odd.value[v], "", v[len(odd.value[v]) + 1 :]) or v.rpartition(".") for v in full]
-        tables = sorted({names[i][2:] for i in ti} | {h for h, _, _ in of})
-        at = {v: k for k, v in enumerate(tables)}
-        trow, crow = np.array([at[names[i][2:]] for i in ti], np.int64), np.array([at[h] for h, _, _ in of], np.int64)
-        keys, cols = pa.array(tables, pa.string()), pa.array([c for _, _, c in of], pa.string())
+    def shown(qids: pa.Array, own: dict, extra: list[str], x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known, cols = own["table_key"], own["col"]
+        row, is_col = pc.fill_null(known.indices, -1).to_numpy(), pc.is_valid(cols).to_numpy(zero_copy_only=False)
+        ti, ci = np.flatnonzero((row >= 0) & ~is_col), np.flatnonzero(is_col)
+        trow, crow, keys, cols = row[ti], row[ci], known.dictionary, cols.dictionary_decode().filter(pa.array(is_col))
+        # seeds outside the graph: their names say where the table's ends
+        more = [(len(row) + k, v[0], *((v[2:], "") if v[0] == "t" else v[2:].rpartition(".")[::2])) for k, v in enumerate(extra) if v[:2] in ("t:", "c:")]
+        if more:
+            at = {v: k for k, v in enumerate(keys.to_pylist())}
+            for i, kind, table, col in more:
+                k = at.setdefault(table, len(at))
+                if kind == "t":
+                    ti, trow = np.r_[ti, i], np.r_[trow, k]
+                else:
+                    ci, crow, cols = np.r_[ci, i], np.r_[crow, k], pa.concat_arrays([cols, pa.array([col], pa.string())])
+            keys = pa.array(at, pa.string())
         share = np.r_[np.array(TOP_COLUMNS), OTHER_COLUMNS]
-        parts = []
         for j in range(len(qids)):
-            own = np.zeros(len(tables))
-            own[trow] = x[ti, j]
+            mine = np.zeros(len(keys))
+            mine[trow] = x[ti, j]
             s = x[ci, j]
             hit = np.flatnonzero(s > 0)
             hit = hit[np.lexsort((-s[hit], crow[hit]))]
-            row = crow[hit]
-            first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-            begin = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
-            weight = np.ones(len(row)) if agg == "sum" else share[np.minimum(np.arange(len(row)) - begin, len(TOP_COLUMNS))]
-            total = own + np.bincount(row, s[hit] * weight, len(tables))
+            r, v = crow[hit], s[hit]
+            first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0)) if len(r) else np.zeros(0, np.int64)
+            weight = np.ones(len(r)) if agg == "sum" else share[np.minimum(np.arange(len(r)) - begin, len(TOP_COLUMNS))]
+            total = mine + np.bincount(r, v * weight, len(keys))
             some = np.flatnonzero(total > 0)
-            count = np.bincount(row, minlength=len(tables))[some]
-            parts.append((np.full(len(some), j), some, own[some], total[some], count, hit, s[hit]))
-        j, t, own, total, count, hit, value = (np.concatenate(c) if parts else np.zeros(0) for c in zip(*parts))
-        items = pa.StructArray.from_arrays([cols.take(pa.array(hit)), pa.array(value)], names=["col", "score"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), items)
-        return pa.RecordBatch.from_arrays([pa.array(qids, q_arrow).take(pa.array(j)), keys.take(pa.array(t)), pa.array(own, mask=own <= 0), pa.array(total), lists], names=["qid", "table_key", "own", "score", "cols"])
-
-    # columns whose own name has a dot, so that their node's name doesn't say where the table's ends: few, and bounded by the graph
-    dotted = {r["n"]: r["table_key"] for r in columns.filter(F.contains("col", F.lit("."))).select(F.expr("substring(node, 3)").alias("n"), "table_key").limit(local_edges).collect()}
-    odd = step.sparkSession.sparkContext.broadcast(dotted)
-    return _walked(step, start, alpha, shown, schema)
+            ends = np.r_[0, np.cumsum(np.bincount(r, minlength=len(keys))[some])]
+            for k in range(0, len(some), BATCH):
+                t, lo, hi = some[k : k + BATCH], ends[k], ends[min(k + BATCH, len(some))]
+                items = pa.StructArray.from_arrays([cols.take(pa.array(hit[lo:hi])), pa.array(v[lo:hi])], names=["col", "score"])
+                lists = pa.ListArray.from_arrays(pa.array(ends[k : k + len(t) + 1] - lo, pa.int32()), items)
+                yield pa.RecordBatch.from_arrays([pa.repeat(qids[j], len(t)).cast(q_arrow), keys.take(pa.array(t)), pa.array(mine[t], mask=mine[t] <= 0), pa.array(total[t]), lists], names=["qid", "table_key", "own", "score", "cols"])
+
+    # a column's name may have dots, so its node's name doesn't say where the table's ends
+    held = columns.groupBy("node").agg(F.min(F.struct("table_key", "col")).alias("m"))
+    rest, is_col = F.expr("substring(node, 3)"), F.col("node").startswith("c:")
+    table_key = F.when(F.col("node").startswith("t:"), rest).when(is_col, F.coalesce("m.table_key", F.regexp_extract(rest, "(?s)^(.*)[.][^.]*$", 1)))
+    col = F.when(is_col, F.coalesce("m.col", F.substring_index(rest, ".", -1)))
+    return _walked(step, graph.join(held, "node", "left").select("node", "id", table_key.alias("table_key"), col.alias("col")), start, alpha, shown, schema)
 
 
 def node_scores(by_table: DataFrame) -> DataFrame:
