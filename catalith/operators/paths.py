@@ -147,10 +147,10 @@ def join_paths(pairs: DataFrame, ranked: DataFrame, extra: float = 0.0, cutoff:
         return solve
 
     if every.count() <= local_pairs:
-        wire = pairs.sparkSession.sparkContext.broadcast([tuple(r) for r in every.collect()])  # at most local_pairs rows
+        wire = pairs.sparkSession.sparkContext.broadcast(every.toArrow())  # at most local_pairs rows, no Python object for each on the driver
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            solve, held = solver(wire.value), None
+            solve, held = solver(list(zip(*[c.to_pylist() for c in wire.value.columns]))), None
             for b in batches:
                 held = b if held is None else pd.concat([held, b])
                 last = held["qid"].iloc[-1]

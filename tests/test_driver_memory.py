@@ -2,9 +2,11 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.classic.dataframe import DataFrame as Classic
 
+from catalith.operators import paths as P
 from catalith.operators import ranking as R
 
 
@@ -38,3 +40,13 @@ def test_graph_passes_the_driver_as_arrays(spark, monkeypatch):
 def test_names_are_found_by_parts():
     names = pa.array([f"n{i:03}" for i in range(100)])
     assert R._found(pa.array(["n000", "n099", "n", "n064", "n063"]), names, 64).tolist() == [0, 99, -1, 64, 63]
+
+
+def test_pairs_pass_the_driver_as_arrays(spark, monkeypatch):
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "d", 5.0), ("c", "d", 5.0)], "u string, v string, weight double")
+    ranked = spark.createDataFrame([(1, "a", 1.0, 1, True), (1, "c", 0.5, 2, True)], "qid int, table_key string, evidence double, pos int, anchor boolean")
+    with monkeypatch.context() as m:
+        m.setattr(Classic, "collect", _never)
+        out = P.join_paths(pairs, ranked)
+    assert [(r.qid, r.tables) for r in out.collect()] == [(1, ["a", "b", "c"])]
+    assert np.isfinite(out.first().reliability)
