@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catalith.functions.worker import kept, read_stored
 from catalith.operators.merge import components
 from catalith.session import cut, store
 
 # Hops of an alternative path, paths looked at for a pair, and the flow.
 CUTOFF, MOST, EPSILON = 6, 64, 1e-9
 FLOW, LEAST_FLOW, LENGTH_PENALTY, TOP_PATHS = 0.8, 0.05, 0.1, 8
-#: Related pairs that are sent to the tasks whole; blocks of questions beyond; and ends whose distances a task remembers.
+#: Related pairs that the tasks read whole; blocks of questions beyond; and ends whose distances a task remembers.
 LOCAL_PAIRS, QUESTION_BLOCKS, MEMO = 500_000, 64, 2000
 
 
@@ -125,7 +126,7 @@ def join_paths(pairs: DataFrame, ranked: DataFrame, extra: float = 0.0, cutoff:
     """qid, tables, reliability, place: the best ``top`` paths of each question.
 
     pairs: u, v, weight of related tables; ranked: qid, table_key, evidence, pos, anchor. fallback: pairs with more relations, for pairs of anchors
-    that ``pairs`` don't connect. Up to ``local_pairs`` pairs are sent to the tasks whole; of more, each connected part goes to its questions in blocks. Each question's rows (anchors and ranked tables) are solved together."""
+    that ``pairs`` don't connect. Up to ``local_pairs`` pairs are read by the tasks whole; of more, each connected part goes to its questions in blocks. Each question's rows (anchors and ranked tables) are solved together."""
     qid = ranked.schema["qid"].dataType.simpleString()
     schema = f"qid {qid}, tables array<string>, reliability double"
     anchors = ranked.filter("anchor").groupBy("qid").agg(F.count("*").alias("n")).filter("n > 1").select("qid")
@@ -147,10 +148,10 @@ def join_paths(pairs: DataFrame, ranked: DataFrame, extra: float = 0.0, cutoff:
         return solve
 
     if every.count() <= local_pairs:
-        wire = pairs.sparkSession.sparkContext.broadcast(every.toArrow())  # at most local_pairs rows, no Python object for each on the driver
+        files = tuple(every.inputFiles())  # at most local_pairs rows, which the tasks read from the shared folder
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            solve, held = solver(list(zip(*[c.to_pylist() for c in wire.value.columns]))), None
+            solve, held = solver(list(zip(*[c.to_pylist() for c in kept(files, lambda: read_stored(files)).columns]))), None
             for b in batches:
                 held = b if held is None else pd.concat([held, b])
                 last = held["qid"].iloc[-1]

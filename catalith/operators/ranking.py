@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from catalith.functions import text as X
+from catalith.functions.worker import kept, read_stored
 from catalith.operators import lexical as L
 from catalith.operators import merge as M
 from catalith.session import store
@@ -21,7 +22,7 @@ from catalith.session import store
 CONTAINS, FK_COLUMN, GLOSSARY = 0.5, 0.8, 0.7
 ALPHA, TOLERANCE = 0.85, 1e-12
 TABLE_BONUS, COLUMN_BONUS, BONUS_CAP = 0.35, 0.10, 2.0
-#: Directed edges of a graph that is sent to the tasks, and the questions that one solves at a time: at most BLOCK, or BLOCK_CELLS scores. A larger graph goes by joins.
+#: Directed edges of a graph that a task reads whole, and the questions that one solves at a time: at most BLOCK, or BLOCK_CELLS scores. A larger graph goes by joins.
 LOCAL_EDGES, BLOCK, BLOCK_CELLS = 2_000_000, 32, 1_000_000
 #: Bytes of the names of such a graph's nodes, and the rows that a task hands over at a time.
 LOCAL_NAMES, BATCH = 128_000_000, 50_000
@@ -77,12 +78,12 @@ def _step(layout: tuple, x: np.ndarray) -> np.ndarray:
     y = np.zeros_like(x)
     got = np.zeros((len(nodes), x.shape[1]))
     for src, p in layers:
-        part = x[src]
+        part = x.take(src, axis=0)
         part *= p
         got[: len(src)] += part
     y[nodes] = got
     for node, src, p in many:
-        y[node] = (x[src] * p).sum(axis=0)
+        y[node] = (x.take(src, axis=0) * p).sum(axis=0)
     return y
 
 
@@ -126,17 +127,17 @@ def next_weight(omega: float, first: bool, alpha: float) -> float:
     return 1.0 if first else 1 / (1 - alpha**2 / 2) if omega == 1.0 else 1 / (1 - alpha**2 * omega / 4)
 
 
-def pagerank(edges: DataFrame | None, seeds: DataFrame, alpha: float = ALPHA, local_edges: int = LOCAL_EDGES, step: DataFrame | None = None, kinds: str = "") -> DataFrame:
+def pagerank(edges: DataFrame | None, seeds: DataFrame, alpha: float = ALPHA, local_edges: int = LOCAL_EDGES, step: DataFrame | None = None, kinds: str = "", least: float = 0.0) -> DataFrame:
     """qid, node, score for teleports seeds(qid, node, weight > 0), normalised by question.
 
-    A graph of up to ``local_edges`` edges is sent to the tasks whole, each of which solves blocks of its questions; a larger one
+    A graph of up to ``local_edges`` edges is read by the tasks whole, each of which solves blocks of its questions; a larger one
     stays distributed and all questions move by rounds of joins. Both go the same rounds to the same tolerance. A seed outside the graph has no edge to give its score along.
-    step: the transition, if it is at hand. kinds: only nodes whose names begin with one of these letters come out."""
+    step: the transition, if it is at hand. kinds: only nodes whose names begin with one of these letters come out. least: only scores above it come out (of walks over all nodes all the same)."""
     step = store(transition(edges)) if step is None else step
     start = _shares(seeds)
     nodes = _numbered(step, local_edges)
     if nodes is None:
-        out = pagerank_by_joins(step, store(start), alpha)
+        out = pagerank_by_joins(step, store(start), alpha).filter(F.col("score") > least)
         return out.filter(F.substring("node", 1, 1).isin(*kinds)) if kinds else out
     q_arrow = to_arrow_type(seeds.schema["qid"].dataType)
 
@@ -144,7 +145,7 @@ def pagerank(edges: DataFrame | None, seeds: DataFrame, alpha: float = ALPHA, lo
         names = pa.concat_arrays([own["node"], pa.array(extra, pa.string())]) if extra else own["node"]
         wanted = pc.is_in(pc.utf8_slice_codeunits(names, 0, 1), value_set=pa.array([*kinds])).to_numpy(zero_copy_only=False) if kinds else True
         for j in range(len(qids)):
-            i = np.flatnonzero((x[:, j] > 0) & wanted)
+            i = np.flatnonzero((x[:, j] > least) & wanted)
             for k in range(0, len(i), BATCH):
                 at = i[k : k + BATCH]
                 yield pa.RecordBatch.from_arrays([pa.repeat(qids[j], len(at)).cast(q_arrow), names.take(pa.array(at)), pa.array(x[at, j])], names=["qid", "node", "score"])
@@ -153,7 +154,7 @@ def pagerank(edges: DataFrame | None, seeds: DataFrame, alpha: float = ALPHA, lo
 
 
 def _numbered(step: DataFrame, local_edges: int) -> DataFrame | None:
-    """node, id (its place among the names) of a graph that may be sent to the tasks; none of a larger one."""
+    """node, id (its place among the names) of a graph that the tasks may read whole; none of a larger one."""
     if step.count() > local_edges:
         return None
     nodes = store(step.select(F.col("u").alias("node")).distinct().select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("id")))  # at most local_edges rows
@@ -161,24 +162,15 @@ def _numbered(step: DataFrame, local_edges: int) -> DataFrame | None:
 
 
 def _walked(step: DataFrame, nodes: DataFrame, start: DataFrame, alpha: float, shown, schema: str) -> DataFrame:
-    """The graph goes to the tasks; shown(question ids, columns of nodes, names of seeds outside the graph, scores: both x questions) makes the rows of each block of questions.
+    """The tasks read the graph from the shared folder; shown(question ids, columns of nodes, names of seeds outside the graph, scores: both x questions) makes the rows of each block of questions.
 
-    nodes: node, id, and what else ``shown`` needs, texts as dictionaries. The driver only passes on arrays: two numbers and a share an edge, a name a node, never a Python object for each."""
+    nodes: node, id, and what else ``shown`` needs, texts as dictionaries. Nothing of the graph passes the driver, which only names the files."""
     of = lambda c, i: nodes.select(F.col("node").alias(c), F.col("id").alias(i))
-    n = nodes.toArrow()
-    n = n.take(pa.array(np.argsort(n["id"].to_numpy())))
-    own = {c: n[c].combine_chunks() if c == "node" else n[c].combine_chunks().dictionary_encode() for c in n.column_names if c != "id"}
-    del n
-    e = step.join(of("u", "src"), "u").join(of("v", "dst"), "v").select("src", "dst", "p").toArrow()  # at most local_edges rows
-    ends = [e[c].to_numpy() for c in ("src", "dst", "p")]
-    del e
-    layout = _layers(*ends)
-    del ends
-    wire = step.sparkSession.sparkContext.broadcast((own, layout))
-    del own, layout
+    edges = store(step.join(of("u", "src"), "u").join(of("v", "dst"), "v").select("src", "dst", "p"))  # at most local_edges rows
+    files = tuple(store(nodes).inputFiles()), tuple(edges.inputFiles())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, layout = wire.value
+        own, layout = kept(files, lambda: _graph(*files))
         names = own["node"]
 
         def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +204,20 @@ def _walked(step: DataFrame, nodes: DataFrame, start: DataFrame, alpha: float, s
         if held:
             yield from solved(held)
 
-    return start.repartition("qid").sortWithinPartitions("qid", "node").mapInArrow(run, schema)
+    return start.repartition("qid").sortWithinPartitions("qid").mapInArrow(run, schema)
+
+
+def _graph(nodes: tuple[str, ...], edges: tuple[str, ...]) -> tuple[dict, tuple]:
+    """Columns of nodes in the order of their ids, and the layout of the edges, from the files of both; edges in one order whatever file they are in."""
+    n = read_stored(nodes)
+    n = n.take(pa.array(np.argsort(n["id"].to_numpy())))
+    own = {c: n[c].combine_chunks() if c == "node" else n[c].combine_chunks().dictionary_encode() for c in n.column_names if c != "id"}
+    del n
+    e = read_stored(edges)
+    src, dst, p = e["src"].to_numpy().astype(np.intp), e["dst"].to_numpy().astype(np.intp), e["p"].to_numpy()
+    del e
+    at = np.argsort(src, kind="stable")
+    return own, _layers(src[at], dst[at], p[at])
 
 
 def _found(wanted: pa.Array, names: pa.Array, part: int = 131_072) -> np.ndarray:

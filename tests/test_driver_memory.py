@@ -50,3 +50,25 @@ def test_pairs_pass_the_driver_as_arrays(spark, monkeypatch):
         out = P.join_paths(pairs, ranked)
     assert [(r.qid, r.tables) for r in out.collect()] == [(1, ["a", "b", "c"])]
     assert np.isfinite(out.first().reliability)
+
+
+def test_graph_and_pairs_never_enter_the_driver(spark, monkeypatch):
+    """The tasks read both from the shared folder; what a question reaches is the same as by joins, and only scores above ``least`` come out."""
+    edges = R.store(spark.createDataFrame([("t:hub", f"c:hub.c{i:03}", 0.5 + i) for i in range(300)], "u string, v string, weight double"))
+    seeds = spark.createDataFrame([(1, "t:hub", 1.0), (2, "c:hub.c001", 1.0), (2, "c:gone.z", 1.0)], "qid int, node string, weight double")
+    columns = R.store(spark.createDataFrame([(f"c:hub.c{i:03}", "hub", f"c{i:03}") for i in range(300)], "node string, table_key string, col string"))
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "u string, v string, weight double")
+    asked = spark.createDataFrame([(1, "a", 1.0, 1, True), (1, "c", 0.5, 2, True)], "qid int, table_key string, evidence double, pos int, anchor boolean")
+    step = R.store(R.transition(edges))
+    with monkeypatch.context() as m:
+        for name in ("toArrow", "toPandas"):
+            m.setattr(Classic, name, _never)
+        m.setattr(type(spark.sparkContext), "broadcast", _never)
+        ranked, high = R.pagerank(None, seeds, step=step), R.pagerank(None, seeds, step=step, least=1e-3)
+        walked, paths = R.table_walk(step, seeds, columns), P.join_paths(pairs, asked)
+    got = {(r.qid, r.node): r.score for r in ranked.collect()}
+    by_joins = {(r.qid, r.node): r.score for r in R.pagerank(None, seeds, step=step, local_edges=0).collect()}
+    assert got.keys() == by_joins.keys() and all(abs(got[k] - by_joins[k]) < 1e-9 for k in got)
+    assert {(r.qid, r.node): r.score for r in high.collect()} == {k: v for k, v in got.items() if v > 1e-3} and min(got.values()) < 1e-3
+    assert {(r.qid, r.table_key) for r in walked.collect()} == {(1, "hub"), (2, "hub"), (2, "gone")}
+    assert [r.tables for r in paths.collect()] == [["a", "b", "c"]]
