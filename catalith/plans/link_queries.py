@@ -190,7 +190,7 @@ def rank_pagerank_tokens(spark: SparkSession, sf: str) -> DataFrame:
     o = catalog_objects(spark, sf)
     post = o.keep("post", lambda: L.postings(o))
     step = o.keep("step weight", lambda: R.transition(R.graph_edges(o, post)))
-    out = R.pagerank(None, _token_seeds(questions(spark, sf), o), step=step, kinds="tc")
+    out = R.pagerank(None, _token_seeds(questions(spark, sf), o), step=step, kinds="tc", least=4e-6)  # what is less is 0 to five digits
     return out.select("qid", "node", F.round("score", 5).alias("score")).filter("score > 0")
 
 
