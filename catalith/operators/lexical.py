@@ -160,8 +160,8 @@ def matched_terms(questions: DataFrame, o: Objects) -> DataFrame:
     return said_phrases(questions, o).join(o.targets, "node", "left").select("qid", F.col("phrase").alias("term"), target.alias("target")).distinct()
 
 
-def activate(questions: DataFrame, o: Objects, fuzzy: bool = True, post: DataFrame | None = None, rarity: bool = True, names_with_stopwords: bool = True, min_numeric: int = X.MIN_NUMERIC) -> DataFrame:
-    """qid, node, weight, reasons: what questions(qid, text) say about the catalog.
+def activate(questions: DataFrame, o: Objects, fuzzy: bool = True, post: DataFrame | None = None, rarity: bool = True, names_with_stopwords: bool = True, min_numeric: int = X.MIN_NUMERIC, why: bool = True) -> DataFrame:
+    """qid, node, weight, reasons (only with ``why``): what questions(qid, text) say about the catalog.
 
     rarity: scale tokens by it; names_with_stopwords: whole names are also looked for among all words; min_numeric: digits of a number that counts.
     Four stages add up: glossary phrases and their targets, sample values, whole names, single tokens with their forms (scaled by rarity; a
@@ -194,6 +194,8 @@ def activate(questions: DataFrame, o: Objects, fuzzy: bool = True, post: DataFra
         lost = forms.join(rare.select(F.col("token").alias("form")), "form", "left_anti")
         f = lost.join(_fuzzy(lost, rare.select("token")), "form").join(scaled.withColumnRenamed("token", "close"), "close")
         rows = rows.unionByName(part(f, F.col("node"), F.lit(X.FUZZY_WEIGHT) * F.col("w"), stage(4, F.col("ord"), F.concat(F.lit("fuzzy '"), "form", F.lit("'~'"), "close", F.lit("'")))))
+    if not why:
+        return rows.groupBy("qid", "node").agg(F.sum("weight").alias("weight"))
     out = rows.groupBy("qid", "node").agg(F.sum("weight").alias("weight"), F.collect_list("s").alias("s"))
     return out.select("qid", "node", "weight", F.transform(F.array_sort("s"), lambda x: x["why"]).alias("reasons"))
 

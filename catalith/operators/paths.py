@@ -129,8 +129,8 @@ def join_paths(pairs: DataFrame, ranked: DataFrame, extra: float = 0.0, cutoff:
     that ``pairs`` don't connect. Up to ``local_pairs`` pairs are read by the tasks whole; of more, each connected part goes to its questions in blocks. Each question's rows (anchors and ranked tables) are solved together."""
     qid = ranked.schema["qid"].dataType.simpleString()
     schema = f"qid {qid}, tables array<string>, reliability double"
-    anchors = ranked.filter("anchor").groupBy("qid").agg(F.count("*").alias("n")).filter("n > 1").select("qid")
-    asked = ranked.join(anchors, "qid", "left_semi").select("qid", "table_key", "evidence", "pos", "anchor")
+    anchors = F.count_if("anchor").over(Window.partitionBy("qid"))  # a window, as in ranking._shares: it keeps a question's rows together
+    asked = ranked.filter("qid is not null").withColumn("n", anchors).filter("n > 1").select("qid", "table_key", "evidence", "pos", "anchor")
     every = pairs.select("u", "v", "weight", F.lit(True).alias("own"))
     if fallback is not None:
         every = every.unionByName(fallback.select("u", "v", "weight", F.lit(False).alias("own")))

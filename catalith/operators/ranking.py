@@ -237,26 +237,29 @@ def _laid(at: np.ndarray, col: np.ndarray, w: np.ndarray, shape: tuple) -> np.nd
 
 
 def _shares(seeds: DataFrame) -> DataFrame:
-    """qid, node, w: teleports that add up to 1 for each question."""
-    good = seeds.filter("weight > 0")
-    norm = good.groupBy("qid").agg(F.sum("weight").alias("total"))
-    return good.groupBy("qid", "node").agg(F.sum("weight").alias("weight")).join(norm, "qid").select("qid", "node", (F.col("weight") / F.col("total")).alias("w"))
+    """qid, node, w: teleports that add up to 1 for each question.
+
+    The window makes Spark keep a question's rows together: a mere repartition, after a join by question, it takes for done, and drops with the join's own shuffle where the other side turns out small."""
+    good = seeds.filter("weight > 0 and qid is not null").groupBy("qid", "node").agg(F.sum("weight").alias("weight"))
+    return good.select("qid", "node", (F.col("weight") / F.sum("weight").over(Window.partitionBy("qid"))).alias("w"))
 
 
 #: What a table's best columns add to its score, and every other one.
 TOP_COLUMNS, OTHER_COLUMNS = (1.0, 0.5, 0.25), 0.02
 
 
-def table_walk(step: DataFrame, seeds: DataFrame, columns: DataFrame, alpha: float = ALPHA, agg: str = "top3", local_edges: int = LOCAL_EDGES) -> DataFrame:
+def table_walk(step: DataFrame, seeds: DataFrame, columns: DataFrame, alpha: float = ALPHA, agg: str = "top3", local_edges: int = LOCAL_EDGES, parts: bool = True) -> DataFrame:
     """qid, table_key, own, score, cols(col, score): pagerank by table: its own score (null if 0), that of ``table_scores``, and those of its columns.
 
-    One row a table instead of one a node; a graph that stays distributed is collected to this form at the end. columns: node, table_key, col."""
+    One row a table instead of one a node; a graph that stays distributed is collected to this form at the end. columns: node, table_key, col. parts: else only qid, table_key, score come out."""
     q = seeds.schema["qid"].dataType
-    schema = f"qid {q.simpleString()}, table_key string, own double, score double, cols array<struct<col: string, score: double>>"
+    schema = f"qid {q.simpleString()}, table_key string, " + ("own double, score double, cols array<struct<col: string, score: double>>" if parts else "score double")
     start = _shares(seeds)
     graph = _numbered(step, local_edges)
     if graph is None:
         nodes = store(pagerank_by_joins(step, store(start), alpha))
+        if not parts:
+            return table_scores(nodes, columns, agg).select("qid", "table_key", "score")
         own = nodes.filter("node like 't:%'").select("qid", F.expr("substring(node, 3)").alias("table_key"), F.col("score").alias("own"))
         cols = nodes.join(columns.select("node", "table_key", "col"), "node").groupBy("qid", "table_key").agg(F.collect_list(F.struct("col", "score")).alias("cols"))
         every = own.join(cols, ["qid", "table_key"], "full").join(table_scores(nodes, columns, agg), ["qid", "table_key"])
@@ -295,6 +298,9 @@ def table_walk(step: DataFrame, seeds: DataFrame, columns: DataFrame, alpha: flo
             ends = np.r_[0, np.cumsum(np.bincount(r, minlength=len(keys))[some])]
             for k in range(0, len(some), BATCH):
                 t, lo, hi = some[k : k + BATCH], ends[k], ends[min(k + BATCH, len(some))]
+                if not parts:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(qids[j], len(t)).cast(q_arrow), keys.take(pa.array(t)), pa.array(total[t])], names=["qid", "table_key", "score"])
+                    continue
                 items = pa.StructArray.from_arrays([cols.take(pa.array(hit[lo:hi])), pa.array(v[lo:hi])], names=["col", "score"])
                 lists = pa.ListArray.from_arrays(pa.array(ends[k : k + len(t) + 1] - lo, pa.int32()), items)
                 yield pa.RecordBatch.from_arrays([pa.repeat(qids[j], len(t)).cast(q_arrow), keys.take(pa.array(t)), pa.array(mine[t], mask=mine[t] <= 0), pa.array(total[t]), lists], names=["qid", "table_key", "own", "score", "cols"])

@@ -16,7 +16,7 @@ from catalith.operators import lexical as L
 from catalith.operators import merge as M
 from catalith.operators import paths as P
 from catalith.operators import ranking as R
-from catalith.session import store, store_all
+from catalith.session import store
 
 
 @dataclass
@@ -79,14 +79,14 @@ class LinkOptions:
 
 @dataclass
 class Linked:
-    """seeds(qid, node, weight, reasons), nodes(qid, node, score; tables and columns), ranked(qid, table_key, score, evidence, pos, anchor), paths(qid, tables, reliability, place), tables(qid, table_key, score, anchor, pos), columns(qid, table_key, col, score, reason, ord), glossary(qid, term, target)."""
+    """seeds(qid, node, weight, reasons), nodes(qid, node, score; tables and columns), ranked(qid, table_key, score, evidence, pos, anchor), paths(qid, tables, reliability, place), tables(qid, table_key, score, anchor, pos), columns(qid, table_key, col, score, reason, ord), glossary(qid, term, target). Where only tables were asked for, seeds have no reasons and nodes and columns are None."""
 
     seeds: DataFrame
-    nodes: DataFrame
+    nodes: DataFrame | None
     ranked: DataFrame
     paths: DataFrame
     tables: DataFrame
-    columns: DataFrame
+    columns: DataFrame | None
     glossary: DataFrame
 
 
@@ -128,8 +128,10 @@ def _everything(questions: DataFrame, o: L.Objects) -> Linked:
     return Linked(empty("node string, weight double, reasons array<string>"), empty("node string, score double"), empty("table_key string, score double, evidence double, pos int, anchor boolean"), empty("tables array<string>, reliability double, place int"), tables, columns, empty("term string, target string"))
 
 
-def link(questions: DataFrame, o: L.Objects, opts: LinkOptions | None = None) -> Linked:
-    """questions: qid, text. Activation, PageRank, fusion with BM25F, anchors, join paths, tables and columns."""
+def link(questions: DataFrame, o: L.Objects, opts: LinkOptions | None = None, only_tables: bool = False) -> Linked:
+    """questions: qid, text. Activation, PageRank, fusion with BM25F, anchors, join paths, tables and columns.
+
+    only_tables: the same tables, ranking and paths, without what only columns and explanations need: reasons, and a score of every node."""
     opts = opts or LinkOptions()
     if opts.source is not None:
         o = L.scoped(o, opts.source)
@@ -140,20 +142,23 @@ def link(questions: DataFrame, o: L.Objects, opts: LinkOptions | None = None) ->
     whole = opts.bypass_if_fits and n_tables <= opts.max_tables
     columns = o.columns
     post = o.keep("post", lambda: L.postings(o))
-    rows = L.activate(questions, o, opts.fuzzy, post, opts.rarity, opts.names_with_stopwords, opts.min_numeric)
+    rows = L.activate(questions, o, opts.fuzzy, post, opts.rarity, opts.names_with_stopwords, opts.min_numeric, why=not only_tables)
     if opts.vectors is not None:
         near = E.embedding_seeds(*opts.vectors, opts.embed_threshold, opts.embed_top_k, opts.embed_weight)
-        both = rows.select("qid", "node", "weight", "reasons", F.lit(0).alias("o")).unionByName(near.select("qid", "node", "weight", F.array("reason").alias("reasons"), F.lit(1).alias("o")))
-        rows = both.groupBy("qid", "node").agg(F.sum("weight").alias("weight"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "reasons"))), lambda x: x["reasons"])).alias("reasons"))
+        if only_tables:
+            rows = rows.unionByName(near.select("qid", "node", "weight")).groupBy("qid", "node").agg(F.sum("weight").alias("weight"))
+        else:
+            both = rows.select("qid", "node", "weight", "reasons", F.lit(0).alias("o")).unionByName(near.select("qid", "node", "weight", F.array("reason").alias("reasons"), F.lit(1).alias("o")))
+            rows = both.groupBy("qid", "node").agg(F.sum("weight").alias("weight"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "reasons"))), lambda x: x["reasons"])).alias("reasons"))
     score = L.bm25f(questions, o) if opts.bm25 == "bm25f" else L.bm25_single(questions, o, opts.bm25)
     step = o.keep(f"step {opts.edge_weight}", lambda: R.transition(R.graph_edges(o, post, opts.edge_weight)))
     pairs, spec = o.keep("pairs", lambda: M.relations(o.edges, JOIN_KINDS)), o.keep("spec", lambda: R.specificity(o))
-    seeds, sparse = store_all(rows, score)
+    seeds, sparse = store(rows), store(score)  # one after the other: both plans at once are what the driver needs most memory for
     start = seeds.select("qid", "node", "weight")
     if opts.seed_sparse:
         start = start.unionByName(R.sparse_seeds(sparse, opts.seed_k, opts.seed_weight)).groupBy("qid", "node").agg(F.sum("weight").alias("weight"))
     weighted = start.join(spec, "node", "left").select("qid", "node", (F.col("weight") * F.coalesce("spec", F.lit(1.0))).alias("weight"))
-    reached = store(R.table_walk(step, weighted, columns, opts.alpha, opts.agg))
+    reached = store(R.table_walk(step, weighted, columns, opts.alpha, opts.agg, parts=not only_tables))
     scored = R.direct_evidence(reached.select("qid", "table_key", "score"), seeds, columns).filter("score > 0")
     dense = store(R.route_by_schema(scored, opts.schema_routing) if opts.schema_routing else scored)
     both = R.relative(dense).unionByName(R.relative(sparse)) if opts.ranker == "rrf" else R.relative(dense if opts.ranker == "ppr" else sparse)
@@ -173,6 +178,8 @@ def link(questions: DataFrame, o: L.Objects, opts: LinkOptions | None = None) ->
     wide = M.relations(o.edges) if opts.lineage else None
     paths = store(P.join_paths(pairs, prior if opts.paths else prior.limit(0), opts.path_extra, opts.path_cutoff, opts.path_decay, opts.path_least, opts.path_top, wide))
     tables = store(_chosen(questions, o, ranked, paths, opts, whole))
+    if only_tables:
+        return Linked(seeds, None, ranked, paths, tables, None, L.matched_terms(questions, o))
     near = R.node_scores(reached.join(tables.select("qid", "table_key"), ["qid", "table_key"], "left_semi"))
     return Linked(seeds, R.node_scores(reached), ranked, paths, tables, select_columns(tables, paths, seeds, near, columns, o.edges, opts), L.matched_terms(questions, o))
 
